@@ -29,9 +29,11 @@ def exemplar_similarity(df: DataFrame, vec: str, exemplars: DataFrame) -> DataFr
     """
     scored = (
         df.withColumn("__unit", l2_normalize(F.col(vec)))
-        .withColumn("avg_complex", dot(F.col("__unit"), _centroid(exemplars, "complex")))
-        .withColumn("avg_trivial", dot(F.col("__unit"), _centroid(exemplars, "trivial")))
-        .drop("__unit")
+        .withColumn("__complex", _centroid(exemplars, "complex"))
+        .withColumn("__trivial", _centroid(exemplars, "trivial"))
+        .withColumn("avg_complex", dot(F.col("__unit"), F.col("__complex")))
+        .withColumn("avg_trivial", dot(F.col("__unit"), F.col("__trivial")))
+        .drop("__unit", "__complex", "__trivial")
     )
     label = F.when(F.col(vec).isNull(), F.lit(None)).otherwise(
         F.when(F.col("avg_complex") > F.col("avg_trivial"), "complex").otherwise("trivial")

@@ -177,12 +177,14 @@ def with_ctes(body: str, *names: str) -> str:
     for other in CTES:
         if _refers(body, other) or other in names:
             visit(other)
-    clauses = ",\n".join(f"{n} AS ({CTES[n]})" for n in needed)
-    recursive = "RECURSIVE " if "UNION ALL SELECT chain" in body or "/*recursive*/" in body else ""
-    if body.lstrip().upper().startswith("WITH "):
-        rest = body.lstrip()[5:]
-        return f"WITH {recursive}{clauses},\n{rest}" if clauses else f"WITH {recursive}{rest}"
-    return f"WITH {clauses}\n{body}" if clauses else body
+    clauses = [f"{n} AS ({CTES[n]})" for n in needed]
+    text = body.strip()
+    head = "WITH"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if text.startswith(start):
+            head, text = start.strip(), text[len(start) :]
+            return f"{head} " + ",\n".join([*clauses, text])
+    return f"{head} " + ",\n".join(clauses) + f"\n{text}" if clauses else text
 
 
 def _refers(text: str, name: str) -> bool:
