@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,7 +11,10 @@ from gatelens import settings as cfg
 
 
 def normalize_homoglyphs(text: Column) -> Column:
-    return F.translate(text, cfg.HOMOGLYPHS, cfg.HOMOGLYPH_TARGETS)
+    """Look-alike letters replaced; texts without a Cyrillic byte are left alone."""
+    raw = text.cast("binary")
+    cyrillic = F.contains(raw, F.lit(b"\xd0")) | F.contains(raw, F.lit(b"\xd1"))
+    return F.when(cyrillic, F.translate(text, cfg.HOMOGLYPHS, cfg.HOMOGLYPH_TARGETS)).otherwise(text)
 
 
 def _decode_run(run: Column) -> Column:
@@ -26,13 +31,17 @@ def _decode_run(run: Column) -> Column:
 
 def expand_base64(text: Column, min_len: int = cfg.BASE64_MIN_RUN) -> Column:
     """Append the decoded text of every base64-like run of at least ``min_len``."""
-    run = "[A-Za-z0-9+/]{%d,}" % min_len
-    runs = F.regexp_extract_all(text, F.lit("(" + run + "={0,2})"), F.lit(1))
+    # Listed one by one, the letters compile to a table lookup.  One pass over the
+    # text: shorter runs are stepped over whole, never retried from their middle.
+    letters = string.ascii_letters + string.digits + "+/"
+    run = f"[{letters}]{{{min_len},}}"
+    guard = f"^(?:[{letters}]{{0,{min_len - 1}}}+[^{letters}])*+[{letters}]{{{min_len}}}"
+    runs = F.regexp_extract_all(text, F.lit(f"({run}={{0,2}})"), F.lit(1))
     decoded = F.filter(
         F.transform(runs, _decode_run), lambda d: F.length(d) > cfg.BASE64_MIN_DECODED
     )
     return F.when(
-        F.rlike(text, F.lit(run)),
+        F.rlike(text, F.lit(guard)),
         F.concat_ws(" ", text, F.when(F.size(decoded) > 0, F.array_join(decoded, " "))),
     ).otherwise(text)
 
@@ -43,7 +52,8 @@ def scan_text(text: Column) -> Column:
     The two letters that only case folding, not lower-casing, maps to ASCII are
     replaced too, so patterns can be compared without case folding.
     """
-    return F.translate(F.lower(expand_base64(normalize_homoglyphs(text))), "\u0131\u017f", "is")
+    low = F.lower(expand_base64(normalize_homoglyphs(text)))
+    return F.replace(F.replace(low, F.lit("\u0131"), F.lit("i")), F.lit("\u017f"), F.lit("s"))
 
 
 def first_pattern(scanned: Column) -> Column:

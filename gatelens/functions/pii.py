@@ -15,37 +15,41 @@ from gatelens import settings as cfg
 
 ALL_TYPES = tuple(cfg.PII_PATTERNS)
 
+# Looked at before anything else of a pattern, so that positions where no match
+# can begin cost one character test instead of a Unicode word-boundary test.
+_BEGINS = {"CARD": r"(?=\d)", "SSN": r"(?=\d)", "AADHAAR": r"(?=\d)", "PHONE": r"(?=[\d+(])"}
+
 
 def _java(kind: str) -> str:
-    return "(?U)" + cfg.PII_PATTERNS[kind]
+    return "(?U)" + _BEGINS.get(kind, "") + cfg.PII_PATTERNS[kind]
 
 
 def _may_match(text: Column, kind: str) -> Column:
-    # Cheap necessary condition, so that most texts never enter the slow regex.
+    """Cheap necessary condition: an ``@``, or the four digits all others need."""
     if kind == "EMAIL":
         return F.contains(text, F.lit("@"))
-    return F.rlike(text, F.lit(r"\p{Nd}"))
+    return F.rlike(text, F.lit(r"\p{Nd}{4}"))
+
+
+def _replaced(text: Column, kind: str) -> Column:
+    return F.regexp_replace(text, F.lit(_java(kind)), F.lit(f"[REDACTED_{kind}]"))
 
 
 def redact_type(text: Column, kind: str) -> Column:
-    replaced = F.regexp_replace(text, F.lit(_java(kind)), F.lit(f"[REDACTED_{kind}]"))
-    return F.when(_may_match(text, kind), replaced).otherwise(text)
+    return F.when(_may_match(text, kind), _replaced(text, kind)).otherwise(text)
 
 
 def redact_pii(text: Column, types=ALL_TYPES) -> Column:
-    """All patterns in their fixed order, behind one guard.
+    """All patterns in their fixed order; texts that cannot match skip them.
 
-    Every pattern needs an ``@`` or a digit, so a text with neither is returned
-    as it is without running any of them.
+    Redacting mail addresses can only remove digits, so the digit test may look
+    at the text as it came in.
     """
-    chained = reduce(
-        lambda acc, kind: F.regexp_replace(
-            acc, F.lit(_java(kind)), F.lit(f"[REDACTED_{kind}]")
-        ),
-        types,
-        text,
-    )
-    return F.when(F.rlike(text, F.lit(r"[@\p{Nd}]")), chained).otherwise(text)
+    mailed = redact_type(text, "EMAIL") if "EMAIL" in types else text
+    numeric = [kind for kind in types if kind != "EMAIL"]
+    if not numeric:
+        return mailed
+    return F.when(_may_match(text, numeric[0]), reduce(_replaced, numeric, mailed)).otherwise(mailed)
 
 
 def redact_email(text: Column) -> Column:

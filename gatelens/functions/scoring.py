@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gatelens import settings as cfg
-from gatelens.functions.text import word_count
+from gatelens.functions.text import has_words
 
 
 def _when(condition: Column, points: int) -> Column:
@@ -25,15 +25,14 @@ def keyword_score(text: Column) -> Column:
 
 
 def length_score(text: Column) -> Column:
-    words = word_count(text)
-    return F.when(words > 150, F.lit(1)).when(words < 8, F.lit(-1)).otherwise(F.lit(0))
+    return F.when(~has_words(text, 8), F.lit(-1)).when(has_words(text, 151), F.lit(1)).otherwise(F.lit(0))
 
 
 def structure_score(text: Column) -> Column:
     return (
         _when(F.contains(text, F.lit("{")) & F.contains(text, F.lit("}")), 2)
         + _when(F.contains(text, F.lit("```")), 2)
-        + _when(F.contains(text, F.lit("?")) & (word_count(text) < 15), -1)
+        + _when(F.contains(text, F.lit("?")) & ~has_words(text, 15), -1)
     )
 
 

@@ -28,6 +28,11 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"(?U)\S+"))
 
 
+def has_words(text: Column, n: int) -> Column:
+    """At least ``n`` words, without looking at what follows them."""
+    return F.rlike(text, F.lit(r"(?U)^\s*+(?:\S++\s++){%d}\S" % (n - 1)))
+
+
 def preview(text: Column, chars: int) -> Column:
     """The text itself, or its first ``chars`` characters and an ellipsis."""
     return F.when(

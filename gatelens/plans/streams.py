@@ -1,2 +1,182 @@
-QUERIES = {}
-SQL = {}
+"""The streaming operators, driven over the given tables until all is read."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from gatelens import settings as cfg
+from gatelens.plans import fixtures as fx
+from gatelens.plans.cache import SQL as CACHE_SQL
+from gatelens.plans.fixture_sql import baseline, quote, with_ctes
+from gatelens.plans.security import redact_sql
+from gatelens.session import fresh_path
+from gatelens.streaming import cache, enrich, log, sse, windows
+
+
+def _available(spark, source: str, schema, start) -> None:
+    """Run a stream over everything now in ``source``; ``start`` begins the query."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", cache.ROCKSDB)
+    stream = spark.readStream.schema(schema).parquet(source)
+    query = start(stream)
+    query.awaitTermination()
+
+
+def _to_parquet(operator, out: str, marks: str):
+    def start(stream: DataFrame):
+        return (
+            operator(stream)
+            .writeStream.format("parquet")
+            .option("path", out)
+            .option("checkpointLocation", marks)
+            .trigger(availableNow=True)
+            .start()
+        )
+
+    return start
+
+
+def _in_batches(operator, write, marks: str, mode: str = "append"):
+    def start(stream: DataFrame):
+        return (
+            operator(stream)
+            .writeStream.foreachBatch(write)
+            .outputMode(mode)
+            .option("checkpointLocation", marks)
+            .trigger(availableNow=True)
+            .start()
+        )
+
+    return start
+
+
+def _streamed(spark, df: DataFrame, operator, cuts=()) -> DataFrame:
+    """``df`` through a streaming operator into a Parquet sink, read back.
+
+    With ``cuts`` (conditions splitting the rows) the parts arrive one after the
+    other, and the stream is restarted from its checkpoint for each.
+    """
+    source, out, marks = (fresh_path(spark, p) for p in ("source", "sink", "checkpoint"))
+    for part in [df.filter(c) for c in cuts] or [df]:
+        part.write.mode("append").parquet(source)
+        _available(spark, source, df.schema, _to_parquet(operator, out, marks))
+    return spark.read.parquet(out)
+
+
+def _batched(spark, df: DataFrame, operator, write, mode: str = "append") -> None:
+    source, marks = fresh_path(spark, "source"), fresh_path(spark, "checkpoint")
+    df.write.parquet(source)
+    _available(spark, source, df.schema, _in_batches(operator, write, marks, mode))
+
+
+def _raw_requests(spark, sf):
+    key = F.concat(F.lit("Bearer key-"), (F.col("request_id") % 5).cast("string"))
+    return fx.chat_requests(spark, sf).withColumn("api_key", key)
+
+
+def stream_enrich(spark, sf):
+    return _streamed(spark, _raw_requests(spark, sf), enrich.stream_enrich)
+
+
+def stream_exact_cache(spark, sf):
+    half = F.lit("2024-01-16").cast("timestamp_ntz")
+    return _streamed(
+        spark, fx.cache_log(spark, sf), cache.stream_exact_cache, [F.col("ts") < half, F.col("ts") >= half]
+    )
+
+
+def stream_sse_assemble(spark, sf):
+    seconds = F.col("stream_id") + F.greatest(F.col("seq"), F.lit(0)) % 100
+    lines = fx.sse_lines(spark, sf).withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + seconds))
+    early = (F.col("seq") < 40) & (F.col("stream_id") % 2 == 0)
+    return _streamed(spark, lines, sse.stream_sse_assemble, [early, ~early])
+
+
+def stream_cost_windows(spark, sf):
+    rows = fx.request_logs(spark, sf).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    out = fresh_path(spark, "windows")
+    _batched(
+        spark, rows, windows.stream_cost_windows, lambda df, i: log.write_batch(df, out, i), "update"
+    )
+    latest = log.latest_windows(spark.read.parquet(out), ["window_start", "model"])
+    return latest.select(
+        F.date_format("window_start", "yyyy-MM-dd").alias("day"),
+        "model",
+        "requests",
+        "prompt_tokens",
+        "completion_tokens",
+        F.round("cost", 9).alias("cost"),
+        F.round("savings", 9).alias("savings"),
+    )
+
+
+def stream_log_dedup(spark, sf):
+    once = fx.request_logs(spark, sf).select("id", F.col("timestamp").cast("timestamp"), "model", "total_tokens")
+    deduped = _streamed(spark, once.unionByName(once), log.stream_log_dedup)
+    return deduped.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+
+
+def stream_security_sink(spark, sf):
+    events, clean = fresh_path(spark, "events"), fresh_path(spark, "clean")
+    _batched(spark, fx.injection_texts(spark, sf), lambda s: s, log.security_sink(events, clean))
+    blocked = spark.read.parquet(events).select("id", F.lit("blocked").alias("outcome"))
+    passed = spark.read.parquet(clean).select(
+        F.col("request_id").alias("id"), F.lit("clean").alias("outcome")
+    )
+    return blocked.unionByName(passed)
+
+
+def stream_semantic_lookup(spark, sf):
+    out = fresh_path(spark, "lookups")
+    sink = log.semantic_sink(lambda: fx.vector_index(spark, sf), out)
+    _batched(spark, fx.vector_queries(spark, sf), lambda s: s, sink)
+    return spark.read.parquet(out).select("query_id", "seq", F.round("score", 6).alias("score"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        stream_enrich,
+        stream_exact_cache,
+        stream_sse_assemble,
+        stream_cost_windows,
+        stream_log_dedup,
+        stream_security_sink,
+        stream_semantic_lookup,
+    )
+}
+
+
+def _enrich_sql() -> str:
+    from gatelens.plans.routing import _KEYWORDS, _LENGTH, _STRUCTURE
+
+    return f"""
+        WITH last AS (SELECT request_id, text FROM fx_message_text WHERE pos = n - 1),
+        redacted AS (SELECT request_id, {redact_sql("text")} AS text FROM last),
+        scored AS (SELECT request_id, text, ({_KEYWORDS} + {_LENGTH} + {_STRUCTURE})::INTEGER AS score,
+          sha256(substr(sha256('Bearer key-' || (request_id % 5)), 1, 16) || ':' ||
+            trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS prompt_hash FROM redacted)
+        SELECT p.request_id, CASE WHEN p.reason IS NULL THEN 'accepted' ELSE 'rejected' END AS outcome,
+          NULL::VARCHAR AS pattern, s.text AS prompt, s.prompt_hash, s.score,
+          CASE WHEN s.score IS NULL THEN NULL WHEN s.score >= {cfg.FALLBACK_STRONG_SCORE} THEN 'gpt-4o' ELSE 'gpt-3.5-turbo' END AS target_model,
+          CASE WHEN s.score >= {cfg.STRONG_SCORE} THEN 'intensive_reasoning' WHEN s.score <= {cfg.LEAN_SCORE} THEN 'efficiency_optimized'
+            WHEN s.score IS NOT NULL THEN 'balanced_performance' END AS strategy
+        FROM fx_parsed p LEFT JOIN scored s ON s.request_id = p.request_id"""
+
+
+SQL = {
+    "stream_enrich": with_ctes(_enrich_sql()),
+    "stream_exact_cache": CACHE_SQL["cache_fill_replay"],
+    "stream_sse_assemble": with_ctes("SELECT * FROM fx_streams"),
+    "stream_cost_windows": with_ctes(f"""
+        SELECT day, model, requests, i AS prompt_tokens, o AS completion_tokens, round(c, 9) AS cost,
+          round(greatest(0, {baseline("i", "o")} - c), 9) AS savings FROM (
+          SELECT strftime(timestamp, '%Y-%m-%d') AS day, model, count(*)::BIGINT AS requests,
+            sum(prompt_tokens)::BIGINT AS i, sum(completion_tokens)::BIGINT AS o, sum(cost) AS c
+          FROM fx_request_logs GROUP BY 1, 2)"""),
+    "stream_log_dedup": with_ctes("SELECT id, timestamp, model, total_tokens FROM fx_request_logs"),
+    "stream_security_sink": with_ctes(f"""
+        SELECT id, 'blocked' AS outcome FROM fx_security_events
+        UNION ALL SELECT request_id, {quote("clean")} FROM fx_flagged WHERE pattern IS NULL"""),
+    "stream_semantic_lookup": CACHE_SQL["semantic_top1"],
+}
