@@ -86,7 +86,7 @@ def stream_exact_cache(spark, sf):
 
 
 def stream_sse_assemble(spark, sf):
-    seconds = F.col("stream_id") + F.greatest(F.col("seq"), F.lit(0)) % 100
+    seconds = F.greatest(F.col("seq"), F.lit(0)) % 100
     lines = fx.sse_lines(spark, sf).withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + seconds))
     early = (F.col("seq") < 40) & (F.col("stream_id") % 2 == 0)
     return _streamed(spark, lines, sse.stream_sse_assemble, [early, ~early])

@@ -13,8 +13,6 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from gatelens import settings as cfg
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_KEEP_FACTOR = 24  # state outlives the entry, so that a slow replay still finds it
-
 
 class _Fills(StatefulProcessor):
     """One number per key: when its entry was filled."""
@@ -23,8 +21,8 @@ class _Fills(StatefulProcessor):
         self._ttl = ttl_s * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        keep_ms = self._ttl // 1000 * _KEEP_FACTOR
-        self._fill = handle.getValueState("fill", "at long", keep_ms)
+        self._handle = handle
+        self._fill = handle.getValueState("fill", "at long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         # A micro-batch of one key, in time order; its size is bounded by the
@@ -43,6 +41,7 @@ class _Fills(StatefulProcessor):
         filled_at = known[np.maximum(np.searchsorted(known, times, side="right") - 1, 0)]
         if fills:
             self._fill.update((int(fills[-1]),))
+            self._handle.registerTimer((int(fills[-1]) + self._ttl) // 1000 + 1)
         yield pd.DataFrame(
             {
                 "request_id": batch["request_id"].to_numpy(),
@@ -53,18 +52,31 @@ class _Fills(StatefulProcessor):
             }
         )
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        # No request before the watermark can come any more, so an entry that
+        # ended before it is of no use.  A younger fill has a timer of its own.
+        if self._fill.exists():
+            ends_ms = (self._fill.get()[0] + self._ttl) // 1000 + 1
+            if ends_ms <= expiredTimerInfo.getExpiryTimeInMs():
+                self._fill.clear()
+        return iter([])
+
     def close(self) -> None:
         pass
 
 
 def stream_exact_cache(stream: DataFrame, key: str = "prompt_hash", ts: str = "ts",
-                       ttl_s: int = cfg.CACHE_TTL_S) -> DataFrame:
+                       ttl_s: int = cfg.CACHE_TTL_S, late: str = "10 minutes") -> DataFrame:
     """(request_id, key, ts, status, filled_at), needs the RocksDB state store.
 
-    Entries expire by the requests' own times; hits do not prolong them.
+    Entries expire by the requests' own times; hits do not prolong them.  State
+    is dropped once the watermark has passed the end of an entry.
     """
-    rows = stream.select(
-        "request_id", F.col(key).alias("k"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t")
+    at = F.col(ts).cast("timestamp")
+    rows = (
+        stream.withColumn("at", at)
+        .withWatermark("at", late)
+        .select("request_id", F.col(key).alias("k"), F.unix_micros("at").alias("t"), "at")
     )
     kinds = rows.schema
     labelled = rows.groupBy("k").transformWithStateInPandas(
@@ -72,7 +84,7 @@ def stream_exact_cache(stream: DataFrame, key: str = "prompt_hash", ts: str = "t
         f"request_id {kinds['request_id'].dataType.simpleString()}, "
         f"k {kinds['k'].dataType.simpleString()}, t long, status string, filled_at long",
         "Append",
-        "ProcessingTime",
+        "EventTime",
     )
     kind = stream.schema[ts].dataType.simpleString()
     return labelled.select(

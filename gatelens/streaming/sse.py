@@ -25,9 +25,10 @@ class _Parts(StatefulProcessor):
         self._parts = handle.getListState("parts", "seq long, delta string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        done = False
+        done, newest = False, 0
         for batch in rows:
             done = done or bool(batch["done"].any())
+            newest = max(newest, int(batch["at_ms"].max()))
             text = batch[batch["delta"].notna()]
             if len(text):
                 self._parts.appendList(
@@ -36,10 +37,12 @@ class _Parts(StatefulProcessor):
         if done:
             yield from self._finish(key)
         else:
+            # Still open: wait for a pause after the newest line seen.
+            due = newest + self._idle
             for timer in list(self._handle.listTimers()):
+                due = max(due, timer)
                 self._handle.deleteTimer(timer)
-            now = timerValues.getCurrentWatermarkInMs()
-            self._handle.registerTimer(now + self._idle)
+            self._handle.registerTimer(due)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         yield from self._finish(key)
@@ -70,6 +73,7 @@ def stream_sse_assemble(lines: DataFrame, ts: str = "ts", idle_ms: int = IDLE_MS
             "seq",
             sse_delta(F.col("line")).alias("delta"),
             (F.col("line") == DONE).alias("done"),
+            F.unix_millis(F.col(ts)).alias("at_ms"),
             ts,
         )
         .filter(F.col("delta").isNotNull() | F.col("done"))
