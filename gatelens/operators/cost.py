@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from gatelens import settings as cfg
 from gatelens.functions.models import baseline_cost
+from gatelens.functions.once import literal_rows
 
 
 def prices(spark: SparkSession) -> DataFrame:
     """The price dimension: one row per listed model."""
     rows = [(model, p_in, p_out) for model, (p_in, p_out) in cfg.PRICES.items()]
-    return spark.createDataFrame(rows, "model string, price_in double, price_out double")
+    return literal_rows(spark, ["model", "price_in", "price_out"], rows)
 
 
 def with_cost(df: DataFrame, price_table: DataFrame | None = None,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gatelens import settings as cfg
 from gatelens.functions.models import provider_of, usable_key
+from gatelens.functions.once import compute_once, literal_rows
 from gatelens.functions.scoring import heuristic_score
 from gatelens.functions.vectors import dot, l2_normalize
 
@@ -97,14 +98,14 @@ def route_prompts(
     """
     from gatelens.operators.embed import embed
 
-    scored = df.withColumn("score", heuristic_score(F.col(text)))
+    scored = compute_once(df, score=heuristic_score(F.col(text)))
     clear = scored.filter(~ambiguous(F.col("score"))).withColumn(
         "label", F.lit(None).cast("string")
     )
     if exemplars is None:
         rows = [("complex", t) for t in cfg.COMPLEX_EXEMPLARS]
         rows += [("trivial", t) for t in cfg.TRIVIAL_EXEMPLARS]
-        samples = df.sparkSession.createDataFrame(rows, "kind string, text string")
+        samples = literal_rows(df.sparkSession, ["kind", "text"], rows)
         exemplars = embed(samples, "text", encoder)
     open_ = embed(scored.filter(ambiguous(F.col("score"))), text, encoder, out="__vec")
     labelled = exemplar_similarity(open_, "__vec", exemplars).drop(

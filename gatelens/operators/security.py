@@ -11,19 +11,16 @@ from gatelens import settings as cfg
 from gatelens.functions import pii
 from gatelens.functions.injection import first_pattern, scan_text
 from gatelens.functions.models import bearer_token, key_preview
+from gatelens.functions.once import compute_once
 
 
 def flag_injection(df: DataFrame, text: str = "text") -> DataFrame:
     """Add ``pattern``, the first injection pattern of a text; NULL when clean.
 
-    Decoding happens in a projection of its own, so it runs once per text
-    however many patterns look at the result.
+    A text is decoded once, however many patterns look at the result.
     """
-    return (
-        df.withColumn("__scanned", scan_text(F.col(text)))
-        .withColumn("pattern", first_pattern(F.col("__scanned")))
-        .drop("__scanned")
-    )
+    scanned = compute_once(df, __scanned=scan_text(F.col(text)))
+    return compute_once(scanned, pattern=first_pattern(F.col("__scanned"))).drop("__scanned")
 
 
 def split_blocked(df: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:

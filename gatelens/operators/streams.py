@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatelens import settings as cfg
+from gatelens.functions.once import compute_once
 from gatelens.functions.sse import sse_delta
 from gatelens.functions.text import token_count
 from gatelens.operators.cost import with_cost
@@ -13,10 +14,8 @@ from gatelens.operators.cost import with_cost
 
 def deltas(lines: DataFrame) -> DataFrame:
     """(stream_id, seq, delta) of the lines that carry text."""
-    return (
-        lines.select("stream_id", "seq", sse_delta(F.col("line")).alias("delta"))
-        .filter(F.col("delta").isNotNull())
-    )
+    parsed = compute_once(lines.select("stream_id", "seq", "line"), delta=sse_delta(F.col("line")))
+    return parsed.filter(F.col("delta").isNotNull()).drop("line")
 
 
 def assemble_streams(parts: DataFrame) -> DataFrame:

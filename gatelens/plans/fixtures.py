@@ -21,6 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts, spread over the cores where the file has fewer splits than those.
+
+    Text functions are bound by the processor, and a small file is one row
+    group, hence one task.  A large table has splits enough and is not shuffled.
+    """
+    texts = table(spark, sf_dir, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    return texts.repartition(cores) if texts.rdd.getNumPartitions() < cores else texts
+
+
 def pick(values: list[str], index: Column) -> Column:
     """The ``index``-th sample (from 0); an empty text beyond the end."""
     return F.coalesce(F.get(F.array(*[F.lit(v) for v in values]), index.cast("int")), F.lit(""))
@@ -100,14 +111,14 @@ def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pii_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     added = pick(samples.PII, F.col("doc_id") % len(samples.PII))
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         "doc_id", F.concat(F.col("text"), F.lit(" "), added).alias("text")
     )
 
 
 def injection_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     added = pick(samples.INJECTION, F.col("doc_id") % samples.INJECTION_CYCLE)
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         F.col("doc_id").alias("request_id"),
         after_epoch(F.col("doc_id")).alias("timestamp"),
         F.concat(F.col("text"), F.lit(" "), added).alias("text"),
@@ -118,7 +129,7 @@ def injection_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def routing_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sample prompts in front of whole texts, plus the bare texts themselves."""
     added = pick(samples.ROUTING, F.col("doc_id") % len(samples.ROUTING))
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         "doc_id",
         F.col("lang").alias("tenant"),
         F.trim(F.concat(added, F.lit(" "), F.col("text"))).alias("text"),
@@ -126,7 +137,7 @@ def routing_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         F.col("doc_id").alias("request_id"),
         after_epoch(F.col("doc_id")).alias("arrival"),
         F.when(F.col("lang") != "es", F.concat(F.lit("Bearer "), F.col("lang")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gatelens import settings as cfg
 from gatelens.functions import injection, models, pii
 from gatelens.functions import messages as msg
+from gatelens.functions.once import literal_rows
 from gatelens.operators import logs, security
 from gatelens.plans import fixtures as fx
 from gatelens.plans.fixture_sql import CTES, quote, text_list, with_ctes
@@ -79,7 +80,7 @@ def blocked_injection_count(spark, sf):
 
 def api_key_filter(spark, sf):
     log = fx.api_key_log(spark, sf)
-    allowed = security.allowed_keys(spark.createDataFrame([(fx.ALLOWED_KEYS,)], "raw string"))
+    allowed = security.allowed_keys(literal_rows(spark, ["raw"], [(fx.ALLOWED_KEYS,)]))
     accepted = security.filter_api_keys(log, allowed).select(
         "request_id", "token", F.lit("accepted").alias("outcome")
     )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatelens.functions.messages import MESSAGE_TYPE
+from gatelens.functions.once import compute_once
 
 
 def parse_all(raw: DataFrame, col: str = "json") -> DataFrame:
@@ -15,7 +16,7 @@ def parse_all(raw: DataFrame, col: str = "json") -> DataFrame:
     def field(name: str, kind: str):
         return F.try_variant_get(body, f"$.{name}", kind)
 
-    rows = F.try_variant_get(body, "$.messages", f"array<{MESSAGE_TYPE}>")
+    rows = F.col("__rows")
     request = F.struct(
         F.coalesce(field("model", "string"), F.lit("auto")).alias("model"),
         rows.alias("messages"),
@@ -36,11 +37,12 @@ def parse_all(raw: DataFrame, col: str = "json") -> DataFrame:
         .when(F.size(rows) == 0, "messages empty")
         .when(F.exists(rows, lambda m: m["role"].isNull()), "role missing")
     )
-    parsed = raw.withColumn("__body", F.try_parse_json(F.col(col)))
+    parsed = compute_once(raw, __body=F.try_parse_json(F.col(col)))
+    listed = compute_once(parsed, __rows=field("messages", f"array<{MESSAGE_TYPE}>"))
     return (
-        parsed.withColumn("reason", reason)
+        compute_once(listed, reason=reason)
         .withColumn("request", F.when(F.col("reason").isNull(), request))
-        .drop("__body")
+        .drop("__body", "__rows")
     )
 
 

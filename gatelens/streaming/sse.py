@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from gatelens.functions.once import compute_once
 from gatelens.functions.sse import DONE, sse_delta
 
 IDLE_MS = 120_000
@@ -66,12 +67,12 @@ def stream_sse_assemble(lines: DataFrame, ts: str = "ts", idle_ms: int = IDLE_MS
 
     Only text-bearing and final lines reach the state; needs the RocksDB store.
     """
+    parsed = compute_once(lines.withWatermark(ts, late), delta=sse_delta(F.col("line")))
     parts = (
-        lines.withWatermark(ts, late)
-        .select(
+        parsed.select(
             "stream_id",
             "seq",
-            sse_delta(F.col("line")).alias("delta"),
+            "delta",
             (F.col("line") == DONE).alias("done"),
             F.unix_millis(F.col(ts)).alias("at_ms"),
             ts,
