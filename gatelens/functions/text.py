@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,8 +55,6 @@ def token_count(text: Column, ranks: str | None = None) -> Column:
     if ranks is None:
         return token_count_est(text)
 
-    import pandas as pd
-
     @F.pandas_udf("long")
     def counted(batch: pd.Series) -> pd.Series:
         encoding = _encoding(ranks)

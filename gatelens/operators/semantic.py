@@ -50,24 +50,20 @@ def semantic_top1(
         (_micros("expires_at") if timed else F.lit(1).cast("long")).alias("until"),
     )
     if max_entries is not None:
-        v = fifo_bound(v, max_entries, by="scope")
+        v = fifo_bound(v, max_entries, by="scope" if scope == "tenant" else None)
 
-    # Only scopes beyond one cell need slicing.  The adaptive planner sees the
-    # size of this table and broadcasts it when it is small.
-    slices = _cells(q, QUERIES_PER_GROUP, "slices")
-    q = q.join(slices, "scope", "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
-    v = v.join(slices, "scope", "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
+    v = _with_cells(v, q, QUERIES_PER_GROUP, "slices", scope)
+    q = _with_cells(q, q, QUERIES_PER_GROUP, "slices", scope)
     single_block = max_entries is not None and max_entries <= INDEX_PER_BLOCK
     if single_block:
         q = q.withColumn("block", F.lit(0))
         v = v.withColumn("block", F.lit(0))
     else:
-        blocks = _cells(v, INDEX_PER_BLOCK, "blocks")
-        q = q.join(blocks, "scope", "left").withColumn(
-            "block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))
+        q = _with_cells(q, v, INDEX_PER_BLOCK, "blocks", scope).withColumn(
+            "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
         )
-        v = v.join(blocks, "scope", "left").withColumn(
-            "block", F.pmod(F.xxhash64("seq"), F.coalesce("blocks", F.lit(1))).cast("int")
+        v = _with_cells(v, v, INDEX_PER_BLOCK, "blocks", scope).withColumn(
+            "block", F.pmod(F.xxhash64("seq"), F.col("blocks")).cast("int")
         )
     q = q.withColumn("slice", F.pmod(F.xxhash64("query_id"), F.col("slices")).cast("int"))
     v = v.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
@@ -97,9 +93,21 @@ def _micros(column: str):
     return F.unix_micros(F.col(column).cast("timestamp"))
 
 
-def _cells(df: DataFrame, size: int, name: str) -> DataFrame:
-    counted = df.groupBy("scope").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > size)
-    return counted.select("scope", F.ceil(F.col("n") / size).cast("int").alias(name))
+def _with_cells(df: DataFrame, counted: DataFrame, size: int, name: str, scope: str) -> DataFrame:
+    """Add into how many cells of ``size`` rows a scope of ``counted`` has to be cut.
+
+    Only scopes beyond one cell are in the joined table.  It is not hinted: the
+    adaptive planner knows its size and broadcasts it when it is small.
+    """
+    cells = F.ceil(F.col("n") / size).cast("int").alias(name)
+    if scope != "tenant":
+        return df.withColumn(
+            name, F.greatest(F.lit(1), counted.agg(F.count(F.lit(1)).alias("n")).select(cells).scalar())
+        )
+    large = counted.groupBy("scope").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > size)
+    return df.join(large.select("scope", cells), "scope", "left").withColumn(
+        name, F.coalesce(name, F.lit(1))
+    )
 
 
 def _unit_matrix(column: pa.ChunkedArray) -> np.ndarray:

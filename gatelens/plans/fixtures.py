@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gatelens.functions.models import baseline_cost
 from gatelens.operators.cost import with_cost
 from gatelens.plans import samples
 
@@ -431,17 +432,17 @@ def attempt_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shadow_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same requests, answered by the strong model."""
-    log = request_logs(spark, sf_dir)
-    extra = (F.col("prompt_tokens") - 10) / 7
-    return with_cost(
-        log.select(
-            "id",
-            F.lit("gpt-4o").alias("model"),
-            (F.col("latency_ms") + 100 + extra.cast("long")).alias("latency_ms"),
-            "prompt_tokens",
-            (F.col("completion_tokens") + extra.cast("long")).alias("completion_tokens"),
-        )
-    ).withColumn("total_tokens", F.col("prompt_tokens") + F.col("completion_tokens"))
+    extra = ((F.col("prompt_tokens") - 10) / 7).cast("long")
+    answered = request_logs(spark, sf_dir).select(
+        "id",
+        F.lit("gpt-4o").alias("model"),
+        (F.col("latency_ms") + 100 + extra).alias("latency_ms"),
+        "prompt_tokens",
+        (F.col("completion_tokens") + extra).alias("completion_tokens"),
+    )
+    return answered.withColumn(
+        "total_tokens", F.col("prompt_tokens") + F.col("completion_tokens")
+    ).withColumn("cost", baseline_cost(F.col("prompt_tokens"), F.col("completion_tokens")))
 
 
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
