@@ -57,10 +57,15 @@ def first_per_id(rows: DataFrame) -> DataFrame:
 
 
 def append_requests(new: DataFrame, existing: DataFrame) -> DataFrame:
-    """The log rows to insert: one per id, ids already logged left out."""
-    return first_per_id(request_rows(new)).join(existing.select("id"), "id", "left_anti").select(
-        *REQUEST_LOGS.fieldNames()
-    )
+    """The log rows to insert: one per id, ids already logged left out.
+
+    The log is first reduced to the ids that come again.  That side can be
+    filtered by the new ids (broadcast or runtime filter), so a large log is
+    scanned for one column but not shuffled as a whole.
+    """
+    rows = first_per_id(request_rows(new))
+    seen = existing.select("id").join(rows.select("id"), "id", "left_semi")
+    return rows.join(seen, "id", "left_anti").select(*REQUEST_LOGS.fieldNames())
 
 
 def event_id(request_id: Column, event_type: Column) -> Column:

@@ -19,7 +19,11 @@ def deltas(lines: DataFrame) -> DataFrame:
 
 
 def assemble_streams(parts: DataFrame) -> DataFrame:
-    """Full text per stream, in the order of ``seq``; streams without text drop out."""
+    """Full text per stream, in the order of ``seq``; streams without text drop out.
+
+    A stream is one model answer, so its size is bounded by the model's output
+    limit.
+    """
     ordered = F.array_sort(F.collect_list(F.struct("seq", "delta")))
     text = F.array_join(F.transform(ordered, lambda p: p["delta"]), "")
     return (

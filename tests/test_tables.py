@@ -135,3 +135,14 @@ def test_last_write_of_a_hash_wins(spark):
     )
     found = {r.prompt_hash: (r.response, r.expires_at) for r in cache.upsert_cache(old, fills, 60).collect()}
     assert found == {"a": ("new", later + datetime.timedelta(seconds=60)), "b": ("kept", later)}
+
+
+def test_long_conversation_goes_on_in_parts(spark):
+    from gatelens.operators.conversations import assemble_conversations
+
+    turns = spark.range(25).select(
+        F.lit(1).alias("conv_id"), (24 - F.col("id")).alias("turn"), F.lit("user").alias("role"),
+        F.col("id").cast("string").alias("text"),
+    )
+    rows = assemble_conversations(turns, 10).orderBy("part").collect()
+    assert [[m.turn for m in r.messages] for r in rows] == [list(range(10)), list(range(10, 20)), list(range(20, 25))]
