@@ -108,17 +108,20 @@ def tiered_lookup(
     looked_up = exact_lookup(requests, cache)
     exact = looked_up.filter(F.col("response").isNotNull()).withColumn("tier", F.lit("exact"))
     missed = looked_up.filter(F.col("response").isNull()).drop("response")
-    alive = cache.select("prompt_hash", "response", "expires_at")
-    live_index = index.join(alive, "prompt_hash").select("seq", "tenant", "vector", "expires_at")
+    live_index = index.join(cache.select("prompt_hash", "expires_at"), "prompt_hash").select(
+        "seq", "tenant", "vector", "expires_at"
+    )
     best = semantic_top1(
         missed.select(F.col("request_id").alias("query_id"), "tenant", "vector", "arrival"),
         live_index,
         threshold,
         scope,
     )
-    # Winners carry the entry's sequence number; its response is joined after.
-    responses = index.join(alive, "prompt_hash").select("seq", "response")
-    found = best.join(responses, "seq").select(F.col("query_id").alias("request_id"), "response")
+    # Only the few winners look up their entry; vectors and responses never meet.
+    hashes = best.join(index.select("seq", "prompt_hash"), "seq")
+    found = hashes.join(cache.select("prompt_hash", "response"), "prompt_hash").select(
+        F.col("query_id").alias("request_id"), "response"
+    )
     second = missed.join(found, "request_id", "left").withColumn(
         "tier", F.when(F.col("response").isNotNull(), "semantic").otherwise("miss")
     )

@@ -63,10 +63,11 @@ def _streamed(spark, df: DataFrame, operator, cuts=()) -> DataFrame:
     return spark.read.parquet(out)
 
 
-def _batched(spark, df: DataFrame, operator, write, mode: str = "append") -> None:
+def _batched(spark, df: DataFrame, operator, write, mode: str = "append", cuts=()) -> None:
     source, marks = fresh_path(spark, "source"), fresh_path(spark, "checkpoint")
-    df.write.parquet(source)
-    _available(spark, source, df.schema, _in_batches(operator, write, marks, mode))
+    for part in [df.filter(c) for c in cuts] or [df]:
+        part.write.mode("append").parquet(source)
+        _available(spark, source, df.schema, _in_batches(operator, write, marks, mode))
 
 
 def _raw_requests(spark, sf):
@@ -78,11 +79,20 @@ def stream_enrich(spark, sf):
     return _streamed(spark, _raw_requests(spark, sf), enrich.stream_enrich)
 
 
+def _halves():
+    middle = F.lit("2024-01-16").cast("timestamp_ntz")
+    return [F.col("ts") < middle, F.col("ts") >= middle]
+
+
 def stream_exact_cache(spark, sf):
-    half = F.lit("2024-01-16").cast("timestamp_ntz")
-    return _streamed(
-        spark, fx.cache_log(spark, sf), cache.stream_exact_cache, [F.col("ts") < half, F.col("ts") >= half]
-    )
+    return _streamed(spark, fx.cache_log(spark, sf), cache.stream_exact_cache, _halves())
+
+
+def stream_cache_replay(spark, sf):
+    out, state = fresh_path(spark, "replayed"), fresh_path(spark, "fills")
+    sink = cache.replay_sink(out, state)
+    _batched(spark, fx.cache_log(spark, sf), lambda s: s, sink, cuts=_halves())
+    return spark.read.parquet(out).drop("batch_id")
 
 
 def stream_sse_assemble(spark, sf):
@@ -138,6 +148,7 @@ QUERIES = {
     for f in (
         stream_enrich,
         stream_exact_cache,
+        stream_cache_replay,
         stream_sse_assemble,
         stream_cost_windows,
         stream_log_dedup,
@@ -167,6 +178,7 @@ def _enrich_sql() -> str:
 SQL = {
     "stream_enrich": with_ctes(_enrich_sql()),
     "stream_exact_cache": CACHE_SQL["cache_fill_replay"],
+    "stream_cache_replay": CACHE_SQL["cache_fill_replay"],
     "stream_sse_assemble": with_ctes("SELECT * FROM fx_streams"),
     "stream_cost_windows": with_ctes(f"""
         SELECT day, model, requests, i AS prompt_tokens, o AS completion_tokens, round(c, 9) AS cost,

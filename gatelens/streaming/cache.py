@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from gatelens import settings as cfg
+from gatelens.operators.cache import seconds
+from gatelens.operators.replay import cache_replay
+from gatelens.streaming.log import write_batch
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -94,3 +97,44 @@ def stream_exact_cache(stream: DataFrame, key: str = "prompt_hash", ts: str = "t
         "status",
         F.timestamp_micros("filled_at").cast(kind).alias("filled_at"),
     )
+
+
+def replay_sink(out_path: str, state_path: str, key: str = "prompt_hash", ts: str = "ts",
+                ttl_s: int = cfg.CACHE_TTL_S) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` form of the same, for streams with very busy keys.
+
+    Every micro-batch (request_id, key, ts) is replayed as a batch, so one key's
+    requests are spread over many tasks.  The fills still alive are carried from
+    batch to batch in a table; a repeated batch starts from the same table.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.select("request_id", key, ts)
+        id_type = rows.schema["request_id"].dataType
+        if batch_id == 0:
+            before = rows.limit(0).select(key, F.col(ts).alias("fill"))
+        else:
+            before = batch.sparkSession.read.parquet(f"{state_path}/batch_id={batch_id - 1}")
+        placed = rows.join(before, key, "left")
+        # Not after the known fill: answered by the entry as it is.
+        late = placed.filter(F.col(ts) <= F.col("fill")).select(
+            "request_id", key, ts, F.lit("hit").alias("status"), F.col("fill").alias("filled_at")
+        )
+        later = placed.filter(F.col("fill").isNull() | (F.col(ts) > F.col("fill"))).drop("fill")
+        carried = before.select(
+            F.lit(None).cast(id_type).alias("request_id"), key, F.col("fill").alias(ts)
+        )
+        # A carried fill is the first row of its key, so the chain goes on from it.
+        replayed = cache_replay(later.unionByName(carried), key, ts, ttl_s)
+        write_batch(
+            replayed.filter(F.col("request_id").isNotNull()).unionByName(late), out_path, batch_id
+        )
+        done = batch.sparkSession.read.parquet(f"{out_path}/batch_id={batch_id}")
+        known = before.unionByName(done.select(key, F.col("filled_at").alias("fill")))
+        newest = done.agg(F.max(ts)).scalar()
+        alive = F.col("fill") + seconds(ttl_s) > F.coalesce(newest, F.col("fill"))
+        write_batch(
+            known.groupBy(key).agg(F.max("fill").alias("fill")).filter(alive), state_path, batch_id
+        )
+
+    return write

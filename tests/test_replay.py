@@ -66,3 +66,20 @@ def test_copies_collapse_before_the_segments(spark):
     found = replay.cache_replay(log, ttl_s=TTL)
     assert found.filter(F.col("status") == "fill").count() == 4
     assert {r.request_id: (r.status, r.filled_at) for r in found.collect()} == by_hand(rows)
+
+
+def test_batches_in_turn_equal_one_log(spark, tmp_path):
+    """The foreachBatch form over uneven batches, one of them repeated after a failure."""
+    from gatelens.streaming.cache import replay_sink
+
+    rows = sorted(make_log(7, 2000), key=lambda r: (r[2], r[0]))
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    sink, bounds = replay_sink(out, state, ttl_s=TTL), [0, 100, 101, 900, 2000]
+    instants = [r[2] for r in rows]
+    cuts = [0] + [next((i for i in range(b, len(rows)) if instants[i] != instants[i - 1]), len(rows)) for b in bounds[1:]]
+    for n, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        batch = spark.createDataFrame(rows[a:b], "request_id long, prompt_hash string, ts timestamp_ntz")
+        for _ in range(2 if n == 1 else 1):
+            sink(batch, n)
+    found = spark.read.parquet(out).collect()
+    assert {r.request_id: (r.status, r.filled_at) for r in found} == by_hand(rows)
