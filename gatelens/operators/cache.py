@@ -116,6 +116,7 @@ def tiered_lookup(
         live_index,
         threshold,
         scope,
+        sizing=requests,
     )
     # Only the few winners look up their entry; vectors and responses never meet.
     hashes = best.join(index.select("seq", "prompt_hash"), "seq")

@@ -46,20 +46,17 @@ def cache_replay(
         F.col(key).alias("k"), F.col("__b").alias("b"), F.col("__t").alias("t")
     ).agg(F.min(request).alias("first_id"))
     buckets = _runs(points, ttl)
-    alone = buckets.filter("run_buckets = 1").select("k", "b", F.col("lo").alias("fill"))
-    chained = _chained_fills(
-        points.select("k", "b", "t"), buckets.filter("run_buckets > 1"), ttl, segment_buckets
-    )
-    fills = alone.unionByName(chained.select("k", F.floor(F.col("fill") / F.lit(ttl)).alias("b"), "fill"))
-    with_id = fills.join(
-        points.select("k", "b", F.col("t").alias("fill"), "first_id"), ["k", "b", "fill"]
+    alone = buckets.filter("run_buckets = 1").select(
+        "k", "b", F.col("lo").alias("fill"), F.col("lo_id").alias("first_id")
     )
+    chained = _chained_fills(points, buckets.filter("run_buckets > 1"), ttl, segment_buckets)
+    fills = alone.unionByName(chained)
 
     # One row per bucket: its own fill, and the last one before it.
     earlier = Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     known = (
         buckets.select("k", "b")
-        .join(with_id, ["k", "b"], "left")
+        .join(fills, ["k", "b"], "left")
         .withColumn("carried", F.last("fill", ignorenulls=True).over(earlier))
     )
     joined = timed.join(known, (F.col(key) == F.col("k")) & (F.col("__b") == F.col("b")))
@@ -82,7 +79,9 @@ def _runs(points: DataFrame, ttl: int) -> DataFrame:
     The window holds one row per bucket and key: its size is bounded by the
     time the log spans, not by the number of requests.
     """
-    spans = points.groupBy("k", "b").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+    spans = points.groupBy("k", "b").agg(
+        F.min("t").alias("lo"), F.max("t").alias("hi"), F.min_by("first_id", "t").alias("lo_id")
+    )
     in_time = Window.partitionBy("k").orderBy("b")
     pause = F.col("lo") - F.lag("hi").over(in_time)
     starts = F.when(F.coalesce(pause < ttl, F.lit(False)), 0).otherwise(1)
@@ -96,7 +95,7 @@ def _runs(points: DataFrame, ttl: int) -> DataFrame:
 
 
 def _chained_fills(points: DataFrame, dense: DataFrame, ttl: int, segment_buckets: int) -> DataFrame:
-    """(k, fill) within runs of several buckets."""
+    """(k, b, fill, first_id) within runs of several buckets."""
     segment = F.floor((F.col("b") - F.col("run_first")) / segment_buckets).cast("long")
     places = dense.select(
         "k",
@@ -107,7 +106,10 @@ def _chained_fills(points: DataFrame, dense: DataFrame, ttl: int, segment_bucket
     )
     key_type = points.schema["k"].dataType.simpleString()
     cell = ["k", "run", "segment"]
-    instants = points.join(places, ["k", "b"]).select(*cell, "opens", "t")
+    # Ids travel along although only the last step needs them: with the same
+    # columns everywhere, the shuffle of the points is computed once and reused.
+    instants = points.join(places, ["k", "b"]).select(*cell, "opens", "b", "t", "first_id")
+    id_type = points.schema["first_id"].dataType.simpleString()
 
     def transition(table: pa.Table) -> pa.Table:
         entry, leave = _segment_map(_sorted(table, "t"), table.column("opens")[0].as_py(), ttl)
@@ -135,19 +137,20 @@ def _chained_fills(points: DataFrame, dense: DataFrame, ttl: int, segment_bucket
     )
 
     def resolve(table: pa.Table) -> pa.Table:
-        times, due, fills = _sorted(table, "t"), table.column("due")[0].as_py(), []
-        at = int(np.searchsorted(times, due))
+        table, fills = table.sort_by("t"), []
+        times = table.column("t").to_numpy()
+        at = int(np.searchsorted(times, table.column("due")[0].as_py()))
         while at < len(times):
-            fills.append(times[at])
+            fills.append(at)
             at = int(np.searchsorted(times, times[at] + ttl))
-        name = table.column("k").slice(0, 1).take(pa.array([0] * len(fills), pa.int64()))
-        return pa.table({"k": name, "fill": pa.array(fills, pa.int64())})
+        found = table.take(pa.array(fills, pa.int64()))
+        return found.select(["k", "b", "t", "first_id"]).rename_columns(["k", "b", "fill", "first_id"])
 
     # Joining on the grouping keys keeps the partitioning of the instants.
     return (
         instants.join(entries, cell)
         .groupBy(*cell)
-        .applyInArrow(resolve, f"k {key_type}, fill long")
+        .applyInArrow(resolve, f"k {key_type}, b long, fill long, first_id {id_type}")
     )
 
 

@@ -22,6 +22,7 @@ def semantic_top1(
     threshold: float = cfg.SIMILARITY_THRESHOLD,
     scope: str = "tenant",
     max_entries: int | None = cfg.CACHE_MAX_ENTRIES,
+    sizing: DataFrame | None = None,
 ) -> DataFrame:
     """(query_id, seq, score) of the most similar vector, where it reaches ``threshold``.
 
@@ -34,6 +35,9 @@ def semantic_top1(
     slice, index block) cells of bounded size: the queries of a busy scope are
     sliced, a large index is cut into blocks, and each cell is one matrix
     product.  A cell emits at most one row per query, never pairs.
+
+    Queries are counted per scope first.  Where they are dear to compute twice,
+    ``sizing`` is a table with a ``tenant`` column and at least as many rows.
     """
     timed = "arrival" in queries.columns and "expires_at" in index.columns
     by = F.col("tenant") if scope == "tenant" else F.lit("*")
@@ -52,8 +56,9 @@ def semantic_top1(
     if max_entries is not None:
         v = fifo_bound(v, max_entries, by="scope" if scope == "tenant" else None)
 
-    v = _with_cells(v, q, QUERIES_PER_GROUP, "slices", scope)
-    q = _with_cells(q, q, QUERIES_PER_GROUP, "slices", scope)
+    counted = q if sizing is None else sizing.select(by.alias("scope"))
+    v = _with_cells(v, counted, QUERIES_PER_GROUP, "slices", scope)
+    q = _with_cells(q, counted, QUERIES_PER_GROUP, "slices", scope)
     single_block = max_entries is not None and max_entries <= INDEX_PER_BLOCK
     if single_block:
         q = q.withColumn("block", F.lit(0))
