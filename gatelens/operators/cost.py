@@ -21,17 +21,22 @@ def with_cost(df: DataFrame, price_table: DataFrame | None = None,
     """Add ``cost`` from model and token columns; unknown models cost the default.
 
     The built-in list is one row per model of the settings, so it is broadcast.
-    A caller's own table is joined without a hint: its size is the planner's
-    to judge.
+    A caller's own table (model, price_in, price_out) is joined without a hint:
+    its size is the planner's to judge.  It also prices the default model.
     """
-    default_in, default_out = cfg.PRICES[default]
-    table = F.broadcast(prices(df.sparkSession)) if price_table is None else price_table
-    priced = df.join(table, "model", "left")
+    if price_table is None:
+        table = F.broadcast(prices(df.sparkSession))
+        default_in, default_out = map(F.lit, cfg.PRICES[default])
+    else:
+        table = price_table.select("model", "price_in", "price_out")
+        of_default = price_table.filter(F.col("model") == default)
+        default_in = of_default.agg(F.first("price_in")).scalar()
+        default_out = of_default.agg(F.first("price_out")).scalar()
     cost = (
-        F.col("prompt_tokens") * F.coalesce(F.col("price_in"), F.lit(default_in))
-        + F.col("completion_tokens") * F.coalesce(F.col("price_out"), F.lit(default_out))
+        F.col("prompt_tokens") * F.coalesce(F.col("price_in"), default_in)
+        + F.col("completion_tokens") * F.coalesce(F.col("price_out"), default_out)
     ) / F.lit(1e6)
-    return priced.withColumn("cost", cost).drop("price_in", "price_out")
+    return df.join(table, "model", "left").withColumn("cost", cost).drop("price_in", "price_out")
 
 
 def usage_by_price(log: DataFrame) -> DataFrame:

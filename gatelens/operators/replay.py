@@ -41,30 +41,38 @@ def cache_replay(
     timed = log.withColumn("__t", F.unix_micros(F.col(ts).cast("timestamp")))
     timed = timed.withColumn("__b", F.floor(F.col("__t") / F.lit(ttl)).cast("long"))
 
-    # Requests of a key at one instant collapse before anything is shuffled.
-    points = timed.groupBy(
-        F.col(key).alias("k"), F.col("__b").alias("b"), F.col("__t").alias("t")
-    ).agg(F.min(request).alias("first_id"))
-    buckets = _runs(points, ttl)
-    alone = buckets.filter("run_buckets = 1").select(
-        "k", "b", F.col("lo").alias("fill"), F.col("lo_id").alias("first_id")
+    # Requests of a key at one instant collapse before anything is shuffled.  All
+    # steps below use these points with the same columns and the same filter, so
+    # the log is read and shuffled once for all of them.
+    points = (
+        timed.filter(F.col(key).isNotNull() & F.col("__b").isNotNull())
+        .groupBy(F.col(key).alias("k"), F.col("__b").alias("b"), F.col("__t").alias("t"))
+        .agg(F.min(request).alias("first_id"))
     )
+    buckets = _runs(points, ttl)
     chained = _chained_fills(points, buckets.filter("run_buckets > 1"), ttl, segment_buckets)
-    fills = alone.unionByName(chained)
 
-    # One row per bucket: its own fill, and the last one before it.
+    # One row per bucket: its own fill, and the last one before it.  A bucket on
+    # its own is filled by its first request.
+    alone = F.col("run_buckets") == 1
     earlier = Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     known = (
-        buckets.select("k", "b")
-        .join(fills, ["k", "b"], "left")
+        buckets.join(chained, ["k", "b"], "left")
+        .select(
+            "k",
+            "b",
+            F.when(alone, F.col("lo")).otherwise(F.col("chained")).alias("fill"),
+            F.when(alone, F.col("lo_id")).otherwise(F.col("chained_id")).alias("first_id"),
+        )
         .withColumn("carried", F.last("fill", ignorenulls=True).over(earlier))
     )
-    joined = timed.join(known, (F.col(key) == F.col("k")) & (F.col("__b") == F.col("b")))
+    # Requests without a key or a time stay in, without a status.
+    joined = timed.join(known, (F.col(key) == F.col("k")) & (F.col("__b") == F.col("b")), "left")
     current = F.when(F.col("fill") <= F.col("__t"), F.col("fill")).otherwise(F.col("carried"))
     is_fill = (F.col("__t") == F.col("fill")) & (F.col(request) == F.col("first_id"))
     return joined.select(
         *log.columns,
-        F.when(is_fill, "fill").otherwise("hit").alias("status"),
+        F.when(is_fill, "fill").when(current.isNotNull(), "hit").alias("status"),
         _as_type(current, log.schema[ts].dataType.simpleString()).alias("filled_at"),
     )
 
@@ -95,12 +103,13 @@ def _runs(points: DataFrame, ttl: int) -> DataFrame:
 
 
 def _chained_fills(points: DataFrame, dense: DataFrame, ttl: int, segment_buckets: int) -> DataFrame:
-    """(k, b, fill, first_id) within runs of several buckets."""
+    """(k, b, chained, chained_id): fills within runs of several buckets."""
     segment = F.floor((F.col("b") - F.col("run_first")) / segment_buckets).cast("long")
     places = dense.select(
         "k",
         "b",
         "run",
+        "lo_id",
         segment.alias("segment"),
         ((F.col("run_first") + segment * segment_buckets) * F.lit(ttl)).alias("opens"),
     )
@@ -108,7 +117,9 @@ def _chained_fills(points: DataFrame, dense: DataFrame, ttl: int, segment_bucket
     cell = ["k", "run", "segment"]
     # Ids travel along although only the last step needs them: with the same
     # columns everywhere, the shuffle of the points is computed once and reused.
-    instants = points.join(places, ["k", "b"]).select(*cell, "opens", "b", "t", "first_id")
+    instants = points.join(places, ["k", "b"]).select(
+        *cell, "opens", "b", "t", "first_id", "lo_id"
+    )
     id_type = points.schema["first_id"].dataType.simpleString()
 
     def transition(table: pa.Table) -> pa.Table:
@@ -144,13 +155,15 @@ def _chained_fills(points: DataFrame, dense: DataFrame, ttl: int, segment_bucket
             fills.append(at)
             at = int(np.searchsorted(times, times[at] + ttl))
         found = table.take(pa.array(fills, pa.int64()))
-        return found.select(["k", "b", "t", "first_id"]).rename_columns(["k", "b", "fill", "first_id"])
+        return found.select(["k", "b", "t", "first_id"]).rename_columns(
+            ["k", "b", "chained", "chained_id"]
+        )
 
     # Joining on the grouping keys keeps the partitioning of the instants.
     return (
         instants.join(entries, cell)
         .groupBy(*cell)
-        .applyInArrow(resolve, f"k {key_type}, b long, fill long, first_id {id_type}")
+        .applyInArrow(resolve, f"k {key_type}, b long, chained long, chained_id {id_type}")
     )
 
 

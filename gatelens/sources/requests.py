@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatelens.functions.messages import MESSAGE_TYPE
 from gatelens.functions.once import compute_once
 
 
+def raw_requests(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    """Request bodies out of line-delimited JSON files, as text in column ``json``.
+
+    Read as text, so that a malformed body is a reject with a reason and not a
+    lost row.
+    """
+    reader = spark.readStream if stream else spark.read
+    return reader.text(path).withColumnRenamed("value", "json")
+
+
 def parse_all(raw: DataFrame, col: str = "json") -> DataFrame:
     """Add ``request`` (defaults filled in) and ``reason`` (NULL when valid)."""
     body = F.col("__body")

@@ -89,6 +89,13 @@ def request_logs_jdbc(spark: SparkSession, url: str, since: str, until: str,
     return between(typed(reader.load(), REQUEST_LOGS), since, until)
 
 
+def append_jdbc(df: DataFrame, url: str, table: str, writers: int = 16, **options: str) -> None:
+    """Append rows to a relational table over at most ``writers`` connections."""
+    df.coalesce(writers).write.format("jdbc").options(url=url, dbtable=table, **options).mode(
+        "append"
+    ).save()
+
+
 def append(df: DataFrame, path: str) -> None:
     """Append log or event rows under a folder per day, one writer per day slice.
 

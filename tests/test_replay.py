@@ -54,6 +54,13 @@ def test_expiry_is_exclusive(spark):
     assert found == {1: "fill", 2: "fill", 3: "hit"}
 
 
+def test_requests_without_key_or_time_stay(spark):
+    rows = [(1, "a", BASE), (2, None, BASE), (3, "a", None)]
+    log = spark.createDataFrame(rows, "request_id long, prompt_hash string, ts timestamp_ntz")
+    found = {r.request_id: r.status for r in replay.cache_replay(log, ttl_s=TTL).collect()}
+    assert found == {1: "fill", 2: None, 3: None}
+
+
 def test_empty_log(spark):
     log = spark.createDataFrame([], "request_id long, prompt_hash string, ts timestamp_ntz")
     assert replay.cache_replay(log).count() == 0

@@ -146,3 +146,22 @@ def test_long_conversation_goes_on_in_parts(spark):
     )
     rows = assemble_conversations(turns, 10).orderBy("part").collect()
     assert [[m.turn for m in r.messages] for r in rows] == [list(range(10)), list(range(10, 20)), list(range(20, 25))]
+
+
+def test_own_prices(spark):
+    from gatelens.operators.cost import with_cost
+
+    prices = spark.createDataFrame([("gpt-4o", 2.0, 4.0), ("m", 1.0, 0.0)], "model string, price_in double, price_out double")
+    calls = spark.createDataFrame(
+        [("m", 1_000_000, 5), ("unknown", 1_000_000, 1_000_000), (None, 0, 500_000)],
+        "model string, prompt_tokens long, completion_tokens long",
+    )
+    assert sorted(r.cost for r in with_cost(calls, prices).collect()) == [1.0, 2.0, 6.0]
+    assert sorted(r.cost for r in with_cost(calls).collect()) == [5.000075, 7.5, 20.0]
+
+
+def test_bodies_from_files(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"messages":[{"role":"user","content":"x"}]}\n{oops\n')
+    good, bad = requests.parse_requests(requests.raw_requests(spark, str(tmp_path)))
+    assert (good.count(), bad.count()) == (1, 1)
+    assert requests.raw_requests(spark, str(tmp_path), stream=True).isStreaming
