@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -31,12 +32,15 @@ _FALLBACK: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as the cluster names it.
 
-    ``spark.checkpoint.dir`` decides.  Only where it is unset, as in tests, a
-    temporary folder of this machine stands in for it.
+    ``spark.checkpoint.dir`` decides.  Only a local session, as in tests, may
+    leave it unset and gets a temporary folder; on a cluster that is an error,
+    because each executor would write to a disk of its own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _FALLBACK:
         _FALLBACK[app] = os.environ.get("GATELENS_TEST_DIR") or tempfile.mkdtemp(prefix="gatelens-")
