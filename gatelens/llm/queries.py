@@ -5,10 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatelens.llm import simhash
+from gatelens.llm import packing, simhash
 from gatelens.llm.common import documents
 
 
+def packed_pieces(docs: DataFrame) -> DataFrame:
+    import public_tokenizers
+
+    pieces = packing.tokenize(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
+    )
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_pieces(documents(spark, sf_dir))
+
+
 def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(documents(spark, sf_dir))
     return found.select(
@@ -16,5 +29,8 @@ def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op10_simhash_components": op10_simhash_components}
+QUERIES = {
+    "op2_packing": op2_packing,
+    "op10_simhash_components": op10_simhash_components,
+}
 SQL: dict[str, str] = {}
