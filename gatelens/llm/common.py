@@ -11,8 +11,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import StructType
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
+from pyspark.sql.types import StructField, StructType
 
 from gatelens.session import fresh_path
 
@@ -78,3 +78,24 @@ def arrow_fields(schema: str) -> tuple[list[str], list[pa.DataType]]:
     """Names and Arrow types of a DDL schema."""
     fields = StructType.fromDDL(schema).fields
     return [f.name for f in fields], [to_arrow_type(f.dataType) for f in fields]
+
+
+def with_struct(df: DataFrame, name: str, fields: str, function) -> DataFrame:
+    """All rows and columns, and a struct column ``name`` with what ``function`` finds per batch.
+
+    ``function`` gets a record batch and returns one list per field.  A column that
+    has this name already is replaced.
+    """
+    df = df.drop(name)
+    names, arrow = arrow_fields(fields)
+    schema = StructType([*df.schema, StructField(name, StructType.fromDDL(fields))])
+    whole = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                found = [pa.array(c, t) for c, t in zip(function(batch), arrow, strict=True)]
+                struct = pa.StructArray.from_arrays(found, names)
+                yield pa.RecordBatch.from_arrays([*batch.columns, struct], schema=whole)
+
+    return df.mapInArrow(run, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatelens.llm import packing, simhash
+from gatelens.llm import decontaminate, packing, simhash
 from gatelens.llm.common import documents
 
 
@@ -22,6 +22,60 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_pieces(documents(spark, sf_dir))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = decontaminate.overlap(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    n_words, n_hit = F.col("overlap.n_words"), F.col("overlap.n_hit")
+    return found.select(
+        "doc_id",
+        n_words.alias("n_words"),
+        n_hit.alias("n_hit"),
+        F.size("overlap.items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "overlap.items"), 256).alias("items_sha256"),
+        decontaminate.contaminated(n_hit, n_words).alias("contaminated"),
+    )
+
+
+OP3_SQL = r"""
+WITH words AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM documents
+), item_words AS (
+    SELECT item_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM benchmark
+), item_starts AS (
+    SELECT item_id, w, least(len(w), 13) AS size, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS p
+    FROM item_words WHERE len(w) > 0
+), windows AS (
+    SELECT DISTINCT item_id, size, array_to_string(w[p:p + size - 1], ' ') AS words FROM item_starts
+), starts AS (
+    SELECT doc_id, size, w, unnest(range(1, len(w) - size + 2)) AS p
+    FROM words, (SELECT DISTINCT size FROM windows)
+    WHERE len(w) >= size
+), hits AS (
+    SELECT s.doc_id, s.p, s.size, v.item_id
+    FROM (SELECT doc_id, size, p, array_to_string(w[p:p + size - 1], ' ') AS words FROM starts) s
+    JOIN windows v ON v.size = s.size AND v.words = s.words
+), covered AS (
+    SELECT doc_id, count(DISTINCT pos) AS n_hit
+    FROM (SELECT doc_id, unnest(range(p, p + size)) AS pos FROM (SELECT DISTINCT doc_id, p, size FROM hits))
+    GROUP BY doc_id
+), found AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+    FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits)
+    GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM words LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+
 def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(documents(spark, sf_dir))
     return found.select(
@@ -31,6 +85,7 @@ def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_packing": op2_packing,
+    "op3_decontaminate": op3_decontaminate,
     "op10_simhash_components": op10_simhash_components,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op3_decontaminate": OP3_SQL}
