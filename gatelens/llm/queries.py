@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatelens.llm import decontaminate, packing, simhash
+from gatelens.llm import decontaminate, packing, secret_scan, simhash
 from gatelens.llm.common import documents
 
 
@@ -76,6 +76,20 @@ FROM words LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.secrets(documents(spark, sf_dir).select("doc_id", "text"))
+    zipped = F.arrays_zip("secrets.kinds", "secrets.starts", "secrets.ends")
+    named = F.transform(zipped, lambda s: F.concat_ws(":", s["kinds"], s["starts"], s["ends"]))
+    base = F.filter(named, lambda s: F.split_part(s, F.lit(":"), F.lit(1)).isin(*secret_scan.BASE_KINDS))
+    count = lambda kind: F.size(F.filter("secrets.kinds", lambda k: k == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        *[count(kind).alias(f"n_{kind}") for kind in secret_scan.BASE_KINDS],
+        F.sha2(F.concat_ws(",", base), 256).alias("base_sha256"),
+        F.concat_ws(",", named).alias("spans"),
+    )
+
+
 def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(documents(spark, sf_dir))
     return found.select(
@@ -86,6 +100,7 @@ def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_packing": op2_packing,
     "op3_decontaminate": op3_decontaminate,
+    "op7_secret_scan": op7_secret_scan,
     "op10_simhash_components": op10_simhash_components,
 }
 SQL: dict[str, str] = {"op3_decontaminate": OP3_SQL}
