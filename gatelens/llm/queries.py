@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatelens.llm import decontaminate, packing, secret_scan, simhash
+from gatelens.llm import decontaminate, packing, quality_rules, secret_scan, simhash
 from gatelens.llm.common import documents
 
 
@@ -76,6 +76,72 @@ FROM words LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(documents(spark, sf_dir))
+
+
+_RULES = list(quality_rules.SLACK.items())
+_LIMIT = f"high + {quality_rules.REACH} * (high - low) + slack"
+OP4_SQL = rf"""
+WITH words AS (
+    SELECT row_number() OVER () AS row, doc_id, lang, source, coalesce(text, '') AS text,
+           regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), grams AS (
+    SELECT row, p, array_to_string(w[p:p + 2], ' ') AS gram
+    FROM (SELECT row, w, unnest(range(1, len(w) - 1)) AS p FROM words)
+), twice AS (
+    SELECT row, unnest(positions) AS p
+    FROM (SELECT row, list(p) AS positions FROM grams GROUP BY row, gram HAVING count(*) > 1)
+), repeats AS (
+    SELECT row, count(DISTINCT pos) AS n FROM (SELECT row, unnest([p, p + 1, p + 2]) AS pos FROM twice) GROUP BY row
+), lines AS (
+    SELECT row, count(*) AS n, count(*) - count(DISTINCT line) AS doubles
+    FROM (SELECT row, unnest(string_split(text, chr(10))) AS line FROM words)
+    WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY row
+), counts AS (
+    SELECT row, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words,
+           CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+           CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+           CAST(coalesce(doubles, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words,
+           coalesce(l.n, 0) AS n_lines, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_capitals,
+           length(regexp_replace(text, '[^!-/:-@\[-`{{-~]', '', 'g')) AS n_marks
+    FROM words LEFT JOIN repeats r USING (row) LEFT JOIN lines l USING (row)
+), rates AS (
+    SELECT *, 1000 * n_symbols // greatest(word_chars, 1) AS symbols, 1000 * n_dup_lines // greatest(n_lines, 1) AS dup_lines,
+           1000 * n_repeat_words // greatest(n_words, 1) AS repeats, 1000 * n_capitals // greatest(word_chars, 1) AS capitals,
+           1000 * n_marks // greatest(word_chars, 1) AS marks, 100 * word_chars // greatest(n_words, 1) AS word_length
+    FROM counts
+), long AS (
+    {" UNION ALL ".join(f"SELECT row, lang, source, '{r}' AS rule, {s} AS slack, {r} AS rate FROM rates" for r, s in _RULES)}
+), truncated AS (
+    SELECT *, CAST(rate AS BIGINT) - CAST(rate AS BIGINT) % (CAST(1 AS BIGINT) << greatest(length(bin(CAST(rate AS BIGINT))) - 7, 0)) AS bucket
+    FROM long
+), sets AS (
+    SELECT 1 AS level, lang, source, rule, slack, bucket FROM truncated UNION ALL
+    SELECT 2, lang, NULL, rule, slack, bucket FROM truncated UNION ALL
+    SELECT 3, NULL, NULL, rule, slack, bucket FROM truncated
+), quartiles AS (
+    SELECT level, lang, source, rule, any_value(slack) AS slack, count(*) AS n,
+           quantile_disc(bucket, 0.25) AS low, quantile_disc(bucket, 0.75) AS high
+    FROM sets GROUP BY level, lang, source, rule
+), limits AS (
+    SELECT g.lang, g.source, g.rule, CASE WHEN g.n >= {quality_rules.LEAST} THEN g.most WHEN l.n >= {quality_rules.LEAST} THEN l.most ELSE e.most END AS most
+    FROM (SELECT *, {_LIMIT} AS most FROM quartiles WHERE level = 1) g
+    JOIN (SELECT *, {_LIMIT} AS most FROM quartiles WHERE level = 2) l ON l.rule = g.rule AND l.lang IS NOT DISTINCT FROM g.lang
+    JOIN (SELECT *, {_LIMIT} AS most FROM quartiles WHERE level = 3) e ON e.rule = g.rule
+), verdicts AS (
+    SELECT x.row, bool_and(x.rate <= t.most) AS within
+    FROM long x JOIN limits t ON t.rule = x.rule AND t.lang IS NOT DISTINCT FROM x.lang AND t.source IS NOT DISTINCT FROM x.source
+    GROUP BY x.row
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < {quality_rules.LEAST_WORDS} OR 100 * n_repeat_words > {quality_rules.MOST_REPEATED} * n_words AS base_failed,
+       NOT base_failed AND within AS kept
+FROM rates JOIN verdicts USING (row)
+"""
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.secrets(documents(spark, sf_dir).select("doc_id", "text"))
     zipped = F.arrays_zip("secrets.kinds", "secrets.starts", "secrets.ends")
@@ -100,7 +166,8 @@ def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_packing": op2_packing,
     "op3_decontaminate": op3_decontaminate,
+    "op4_quality_rules": op4_quality_rules,
     "op7_secret_scan": op7_secret_scan,
     "op10_simhash_components": op10_simhash_components,
 }
-SQL: dict[str, str] = {"op3_decontaminate": OP3_SQL}
+SQL: dict[str, str] = {"op3_decontaminate": OP3_SQL, "op4_quality_rules": OP4_SQL}
