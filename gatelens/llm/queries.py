@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatelens.llm import decontaminate, packing, quality_rules, secret_scan, simhash
+from gatelens.llm import decontaminate, packing, quality_rules, secret_scan, simhash, toxicity
 from gatelens.llm.common import documents
 
 
@@ -142,6 +142,20 @@ FROM rates JOIN verdicts USING (row)
 """
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    score = F.col("toxicity.score")
+    return toxicity.scored(docs, model).select(
+        "doc_id",
+        F.coalesce(toxicity.fold("doc_id") == 1, F.lit(False)).alias("held_out"),
+        score.alias("score"),
+        F.when(score >= toxicity.THRESHOLD, 1).otherwise(0).alias("predicted"),
+        F.col("toxicity.n_hits").alias("n_hits"),
+        F.col("toxicity.n_quoted").alias("n_quoted"),
+    )
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.secrets(documents(spark, sf_dir).select("doc_id", "text"))
     zipped = F.arrays_zip("secrets.kinds", "secrets.starts", "secrets.ends")
@@ -167,6 +181,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_decontaminate": op3_decontaminate,
     "op4_quality_rules": op4_quality_rules,
+    "op6_toxicity": op6_toxicity,
     "op7_secret_scan": op7_secret_scan,
     "op10_simhash_components": op10_simhash_components,
 }
