@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatelens.llm import decontaminate, packing, quality_rules, secret_scan, simhash, toxicity
+from gatelens.llm import decontaminate, ordinal, packing, quality_rules, secret_scan, simhash, toxicity
 from gatelens.llm.common import documents
 
 
@@ -170,6 +170,19 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = ordinal.fit(docs, ordinal.label_grades(spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    tail = lambda k: F.coalesce(F.try_element_at("quality.tails", F.lit(k)), F.lit(1.0))
+    return ordinal.graded(docs, model).select(
+        "doc_id",
+        F.col("quality.grade").alias("expected_grade"),
+        tail(1).alias("p_at_least_1"),
+        tail(2).alias("p_at_least_2"),
+        (tail(1) >= ordinal.KEEP).alias("kept"),
+    )
+
+
 def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(documents(spark, sf_dir))
     return found.select(
@@ -183,6 +196,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op6_toxicity": op6_toxicity,
     "op7_secret_scan": op7_secret_scan,
+    "op8_quality_classifier": op8_quality_classifier,
     "op10_simhash_components": op10_simhash_components,
 }
 SQL: dict[str, str] = {"op3_decontaminate": OP3_SQL, "op4_quality_rules": OP4_SQL}

@@ -68,7 +68,7 @@ def test_held_out_labels(spark):
 def test_odd_rows(spark):
     abuse = " ".join(["such a moron here"] * 3)
     rows = [(i, f"plain words number {i}") for i in range(60)] + [(100 + i, f"{abuse} {i}") for i in range(30)]
-    more = [(500, None), (501, ""), (None, abuse), (502, "a moorn"), (503, "w " * 20000), (503, "w " * 20000)]
+    more = [(500, None), (501, ""), (None, abuse), (502, "moorn"), (503, "w " * 20000), (503, "w " * 20000)]
     docs = spark.createDataFrame(rows + more, "doc_id long, text string")
     labels = spark.createDataFrame(
         [(i, int(i >= 100), "x") for i, _ in rows] + [(None, 1, "x"), (501, None, "x"), (3, 0, "x")],
@@ -77,7 +77,7 @@ def test_odd_rows(spark):
     model = toxicity.fit(docs, labels)
     found = {(r.doc_id, (r.text or "")[:9]): r.toxicity for r in toxicity.scored(docs, model).collect()}
     assert found[(None, abuse[:9])].score > 0.7 > 0.3 > found[(500, "")].score == found[(501, "")].score
-    assert found[(502, "a moorn")].n_hits == 1 and found[(503, "w w w w w")].score < 0.3
+    assert found[(502, "moorn")].n_hits == 1 and found[(503, "w w w w w")].score < 0.3
     assert toxicity.scored(docs.limit(0), model).collect() == []
     blank = toxicity.fit(docs, labels.limit(0))
     assert {r.toxicity.score for r in toxicity.scored(docs, blank).collect()} == {0.5}
