@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatelens.llm import decontaminate, ordinal, packing, quality_rules, secret_scan, simhash, toxicity
+from gatelens.llm import backoff, decontaminate, ordinal, packing, quality_rules, secret_scan, simhash, toxicity
 from gatelens.llm.common import documents
 
 
@@ -183,6 +183,10 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff.backoff_scores(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(documents(spark, sf_dir))
     return found.select(
@@ -197,6 +201,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_secret_scan": op7_secret_scan,
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_simhash_components": op10_simhash_components,
 }
 SQL: dict[str, str] = {"op3_decontaminate": OP3_SQL, "op4_quality_rules": OP4_SQL}
