@@ -62,7 +62,8 @@ def _bucket_parts(distinct: np.ndarray, buckets: int) -> tuple[list[int], list[s
     """The buckets of sorted hashes, which are equal ranges, and what falls into each."""
     number = (distinct >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
     own, first = np.unique(number, return_index=True)
-    return own.tolist(), [slice(i, j) for i, j in zip(first, [*first[1:], len(distinct)], strict=True)]
+    ends = np.append(first[1:], len(distinct))[: len(own)]
+    return own.tolist(), [slice(i, j) for i, j in zip(first, ends, strict=True)]
 
 
 def _requests(docs: DataFrame, order: int, buckets: int) -> DataFrame:
