@@ -5,10 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatelens.llm import backoff, decontaminate, ordinal, packing, quality_rules, secret_scan, simhash, toxicity
+from gatelens.llm import backoff, decontaminate, ordinal, packing, quality_rules, secret_scan, simhash, substrings, toxicity
 from gatelens.llm.common import documents
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.without_copies(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        "text",
+        F.size("copies.starts").alias("n_passages"),
+        F.col("copies.removed").alias("removed_chars"),
+        F.col("copies.first_docs").alias("first_docs"),
+    )
+
+
 def packed_pieces(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
@@ -195,6 +206,7 @@ def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_packing": op2_packing,
     "op3_decontaminate": op3_decontaminate,
     "op4_quality_rules": op4_quality_rules,
