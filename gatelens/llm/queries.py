@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatelens.llm import backoff, decontaminate, ordinal, packing, quality_rules, secret_scan, simhash, substrings, toxicity
+from gatelens.llm import backoff, chat, decontaminate, ordinal, packing, quality_rules, secret_scan, simhash, substrings, toxicity
 from gatelens.llm.common import documents
 
 
@@ -153,6 +153,13 @@ FROM rates JOIN verdicts USING (row)
 """
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    repaired = chat.repaired_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return repaired.select(
+        "conv_id", "turn", "role", "new_role", "action", "n_inserted", "rendered", "is_last", "cost"
+    )
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -210,6 +217,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_decontaminate": op3_decontaminate,
     "op4_quality_rules": op4_quality_rules,
+    "op5_chat_formatting": op5_chat_formatting,
     "op6_toxicity": op6_toxicity,
     "op7_secret_scan": op7_secret_scan,
     "op8_quality_classifier": op8_quality_classifier,
