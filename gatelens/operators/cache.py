@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from gatelens import settings as cfg
 from gatelens.functions.text import normalize_prompt, prompt_hash, tenant_salt
 
-_SPREAD = 32  # slices a hot tenant is ranked in before its final ranking
+_SEQ_BUCKET = 10_000  # consecutive insertions that are counted together
 
 
 def seconds(n: int | Column) -> Column:
@@ -35,45 +35,50 @@ def live_entries(cache: DataFrame, as_of: str, ttl_s: int = cfg.CACHE_TTL_S) ->
 def exact_lookup(requests: DataFrame, cache: DataFrame) -> DataFrame:
     """Every request with the response of its live cache entry, or NULL.
 
-    ``cache`` holds one row per hash, so requests are never multiplied.  A hash
-    that many requests share is split by the adaptive skew join.
+    An entry answers from its write on until it expires.  ``cache`` is a snapshot
+    with one row per hash, so requests are never multiplied.  A hash that many
+    requests share is split by the adaptive skew join.
     """
-    entries = cache.select(
-        "prompt_hash", F.col("response").alias("response"), F.col("expires_at").alias("expires_at")
-    )
-    r, c = requests.alias("r"), entries.alias("c")
-    alive = F.col("c.expires_at") > F.col("r.arrival")
+    r, c = requests.alias("r"), cache.select("prompt_hash", "response", "stored_at", "expires_at").alias("c")
+    arrival = F.col("r.arrival")
+    alive = (F.col("c.stored_at") <= arrival) & (F.col("c.expires_at") > arrival)
     return r.join(c, (F.col("r.prompt_hash") == F.col("c.prompt_hash")) & alive, "left").select(
         "r.*", "c.response"
     )
 
 
-def _newest(df: DataFrame, n: int, order: list[Column], by: str | None, spread: Column) -> DataFrame:
+def _newest(df: DataFrame, n: int, order: list[Column], by: str | None, coarse: Column) -> DataFrame:
+    """The first ``n`` rows by ``order``, overall or per ``by``.
+
+    ``coarse`` is a bucket number that never rises along ``order``.  Counts per
+    bucket tell which bucket holds the n-th row; rows of older buckets are left out
+    before anything is sorted, so what is ranked is ``n`` rows and one bucket.
+    """
+    keys = [] if by is None else [by]
+    rows = df.withColumn("__bucket", coarse)
+    counts = rows.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__rows"))
+    newer = Window.partitionBy(*keys).orderBy(F.desc("__bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    needed = counts.withColumn("__newer", F.coalesce(F.sum("__rows").over(newer), F.lit(0))).filter(F.col("__newer") < n)
     if by is None:
-        return df.orderBy(*order).limit(n)
-    # Rank within slices first: at most n rows per slice go into the final
-    # ranking, so no single task ever sorts a whole hot tenant.
-    sliced = Window.partitionBy(by, "__slice").orderBy(*order)
+        last = needed.agg(F.min("__bucket")).scalar()
+        return rows.filter(F.col("__bucket") >= last).drop("__bucket").orderBy(*order).limit(n)
+    last = needed.groupBy(by).agg(F.min("__bucket").alias("__last")).withColumnRenamed(by, "__by")
+    kept = rows.join(last, F.col(by).eqNullSafe(F.col("__by"))).filter(F.col("__bucket") >= F.col("__last"))
     final = Window.partitionBy(by).orderBy(*order)
-    return (
-        df.withColumn("__slice", F.pmod(F.xxhash64(spread), F.lit(_SPREAD)))
-        .withColumn("__rank", F.row_number().over(sliced))
-        .filter(F.col("__rank") <= n)
-        .withColumn("__rank", F.row_number().over(final))
-        .filter(F.col("__rank") <= n)
-        .drop("__slice", "__rank")
-    )
+    ranked = kept.withColumn("__rank", F.row_number().over(final)).filter(F.col("__rank") <= n)
+    return ranked.drop("__bucket", "__by", "__last", "__rank")
 
 
 def lru_bound(cache: DataFrame, n: int = cfg.CACHE_MAX_ENTRIES, by: str | None = None) -> DataFrame:
     """The ``n`` most recently used entries, overall or per ``by``."""
     order = [F.col("last_access").desc(), F.col("prompt_hash")]
-    return _newest(cache, n, order, by, F.col("prompt_hash"))
+    minute = F.floor(F.unix_micros(F.col("last_access").cast("timestamp")) / 60_000_000)
+    return _newest(cache, n, order, by, minute)
 
 
 def fifo_bound(index: DataFrame, n: int = cfg.CACHE_MAX_ENTRIES, by: str | None = None) -> DataFrame:
     """The ``n`` most recently inserted entries, overall or per ``by``."""
-    return _newest(index, n, [F.col("seq").desc()], by, F.col("seq"))
+    return _newest(index, n, [F.col("seq").desc()], by, F.floor(F.col("seq") / _SEQ_BUCKET))
 
 
 def upsert_cache(cache: DataFrame, fills: DataFrame, ttl_s: int = cfg.CACHE_TTL_S) -> DataFrame:
@@ -84,7 +89,8 @@ def upsert_cache(cache: DataFrame, fills: DataFrame, ttl_s: int = cfg.CACHE_TTL_
     fresh = fills.withColumn("expires_at", F.col("stored_at") + seconds(ttl_s))
     merged = cache.unionByName(fresh.select(*cache.columns))
     rest = [c for c in cache.columns if c not in ("prompt_hash", "stored_at", "seq")]
-    last = F.max(F.struct("stored_at", "seq", *rest))
+    whole = F.struct("stored_at", "seq", *rest)
+    last = F.max_by(whole, F.struct("stored_at", "seq"))
     return merged.groupBy("prompt_hash").agg(last.alias("e")).select("prompt_hash", "e.*").select(
         *cache.columns
     )
@@ -100,16 +106,16 @@ def tiered_lookup(
     """Exact tier, then the most similar live entry, else a miss; adds tier and response.
 
     ``index`` holds (seq, tenant, prompt_hash, vector).  Only requests the exact
-    tier missed reach the vector search, and entries that are dead at a
-    request's arrival are no candidates for it.
+    tier missed reach the vector search.  In both tiers an entry answers from its
+    write on until it expires.
     """
     from gatelens.operators.semantic import semantic_top1
 
     looked_up = exact_lookup(requests, cache)
     exact = looked_up.filter(F.col("response").isNotNull()).withColumn("tier", F.lit("exact"))
     missed = looked_up.filter(F.col("response").isNull()).drop("response")
-    live_index = index.join(cache.select("prompt_hash", "expires_at"), "prompt_hash").select(
-        "seq", "tenant", "vector", "expires_at"
+    live_index = index.join(cache.select("prompt_hash", "stored_at", "expires_at"), "prompt_hash").select(
+        "seq", "tenant", "vector", "stored_at", "expires_at"
     )
     best = semantic_top1(
         missed.select(F.col("request_id").alias("query_id"), "tenant", "vector", "arrival"),

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TURNS_PER_PART = 10_000
 
+def assemble_conversations(turns: DataFrame, part_turns: int | None = None) -> DataFrame:
+    """(conv_id, messages) with the messages in turn order, one row per conversation.
 
-def assemble_conversations(turns: DataFrame, part_turns: int = TURNS_PER_PART) -> DataFrame:
-    """(conv_id, part, messages) with the messages in turn order.
-
-    A conversation is one row, part 0.  Only one beyond ``part_turns`` turns, such
-    as a catch-all id, goes on in further rows, so no array grows without bound.
+    With ``part_turns`` the rows are (conv_id, part, messages): every conversation is
+    cut at multiples of that turn number, so that no array grows without bound.
     """
+    ordered = F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("messages")
+    if part_turns is None:
+        return turns.groupBy("conv_id").agg(ordered)
     part = F.floor(F.col("turn") / part_turns).cast("long").alias("part")
-    ordered = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
-    return turns.groupBy("conv_id", part).agg(ordered.alias("messages"))
+    return turns.groupBy("conv_id", part).agg(ordered)

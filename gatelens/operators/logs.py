@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatelens import settings as cfg
+from gatelens.functions.pii import redact_pii
 from gatelens.functions.text import preview
 from gatelens.sources.tables import REQUEST_LOGS, SECURITY_EVENTS, typed
 
@@ -52,7 +53,7 @@ def first_per_id(rows: DataFrame) -> DataFrame:
     shuffle, so an id repeated a billion times is not sorted in one task.
     """
     others = [c for c in rows.columns if c not in ("id", "timestamp")]
-    first = F.min(F.struct("timestamp", *others))
+    first = F.min_by(F.struct("timestamp", *others), F.struct(F.col("timestamp"), F.xxhash64(*others)))
     return rows.groupBy("id").agg(first.alias("r")).select("id", "r.*").select(*rows.columns)
 
 
@@ -74,16 +75,22 @@ def event_id(request_id: Column, event_type: Column) -> Column:
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
-def security_event_rows(blocked: DataFrame, event_type: str = "injection_blocked") -> DataFrame:
-    """Events out of blocked requests (request_id, timestamp, text, pattern, source_ip)."""
+def security_event_rows(
+    blocked: DataFrame, event_type: str = "injection_blocked", redact: bool = True
+) -> DataFrame:
+    """Events out of blocked requests (request_id, timestamp, text, pattern, source_ip).
+
+    Previews show redacted text, unless ``redact`` is off.
+    """
     kind = F.lit(event_type)
+    text = redact_pii(F.col("text")) if redact else F.col("text")
     return typed(
         blocked.select(
             event_id(F.col("request_id"), kind).alias("id"),
             "timestamp",
             kind.alias("event_type"),
             F.col("pattern").alias("pattern_matched"),
-            preview(F.col("text"), cfg.EVENT_PREVIEW_CHARS).alias("prompt_preview"),
+            preview(text, cfg.EVENT_PREVIEW_CHARS).alias("prompt_preview"),
             "source_ip",
         ),
         SECURITY_EVENTS,

@@ -65,15 +65,15 @@ Entity = tuple[int, int, str, float]  # start, end, type, score
 def entity_redact(
     df: DataFrame,
     text: str = "text",
-    recogniser: Callable[[], Callable[[str], list[Entity]]] | None = None,
+    recogniser: Callable[[], Callable[[list[str]], list[list[Entity]]]] | None = None,
     threshold: float = cfg.ENTITY_SCORE_THRESHOLD,
 ) -> DataFrame:
     """Both redaction passes: the patterns, then typed entities.
 
     Address and account patterns are built in.  ``recogniser`` is a factory that
     each Python worker calls once, for a model that finds ``(start, end, type,
-    score)`` in a text.  Without one, or where it fails on a text, the text
-    stays as the patterns left it.
+    score)`` in each of a list of texts.  Without one, or where it fails on a
+    text, the text stays as the patterns left it.
     """
     done = df.withColumn(text, pii.redact_entities(pii.redact_pii(F.col(text))))
     if recogniser is None:
@@ -82,19 +82,24 @@ def entity_redact(
     def redact_batches(batches: Iterator):
         find = recogniser()
         for batch in batches:
-            batch[text] = [_replace_entities(value, find, threshold) for value in batch[text]]
+            values = batch[text].tolist()
+            found = _found_entities(find, [v or "" for v in values])
+            batch[text] = [_replace_entities(v, f, threshold) for v, f in zip(values, found, strict=True)]
             yield batch
 
     return done.mapInPandas(redact_batches, done.schema)
 
 
-def _replace_entities(value: str | None, find, threshold: float) -> str | None:
+def _found_entities(find, texts: list[str]) -> list[list[Entity]]:
+    """Entities of each text; a list that fails is tried text by text."""
     try:
-        found = [
-            e for e in find(value) if e[3] >= threshold and e[2] in cfg.ENTITY_TYPES
-        ] if value else []
+        return find(texts)
     except Exception:
-        return value
+        return [found for t in texts for found in _found_entities(find, [t])] if len(texts) > 1 else [[]]
+
+
+def _replace_entities(value: str | None, entities: list[Entity], threshold: float) -> str | None:
+    found = [e for e in entities if e[3] >= threshold and e[2] in cfg.ENTITY_TYPES] if value else []
     out, cursor = [], 0
     # Of overlapping entities the surest wins, then the longest.
     kept: list[Entity] = []
@@ -117,29 +122,30 @@ def allowed_keys(df: DataFrame, raw: str = "raw") -> DataFrame:
     )
 
 
+def label_api_keys(df: DataFrame, allowed: DataFrame | None, header: str = "header") -> DataFrame:
+    """Add ``token``, ``key_preview`` and ``reason``, which is NULL for a usable key.
+
+    Without an allow-list, and with one that is empty, any key may be used.
+    """
+    given = F.when(F.coalesce(F.col(header), F.lit("")) != "", bearer_token(F.col(header)))
+    keyed = df.withColumn("token", given)
+    if allowed is None:
+        unlisted = F.lit(False)
+    else:
+        names = allowed.select(F.col("token").alias("__listed")).distinct()
+        keyed = keyed.join(names, F.col("token") == F.col("__listed"), "left")
+        is_open = allowed.agg(F.count(F.lit(1)) == 0).scalar()
+        unlisted = F.col("__listed").isNull() & ~is_open
+    reason = F.when(F.col("token").isNull(), "missing key").when(unlisted, "invalid key")
+    labelled = keyed.withColumn("reason", reason).withColumn("key_preview", key_preview(F.col("token")))
+    return labelled.drop("__listed")
+
+
 def filter_api_keys(df: DataFrame, allowed: DataFrame | None, header: str = "header") -> DataFrame:
-    """Requests with a usable key: listed ones, or any key without an allow-list."""
-    present = df.filter(F.coalesce(F.col(header), F.lit("")) != "").withColumn(
-        "token", bearer_token(F.col(header))
-    )
-    accepted = present if allowed is None else present.join(allowed, "token", "left_semi")
-    return accepted.withColumn("key_preview", key_preview(F.col("token")))
+    """Requests with a usable key."""
+    return label_api_keys(df, allowed, header).filter(F.col("reason").isNull()).drop("reason")
 
 
-def rejected_api_keys(df: DataFrame, allowed: DataFrame | None,
-                      header: str = "header") -> DataFrame:
+def rejected_api_keys(df: DataFrame, allowed: DataFrame | None, header: str = "header") -> DataFrame:
     """The requests ``filter_api_keys`` leaves out, with the reason."""
-    missing = (
-        df.filter(F.coalesce(F.col(header), F.lit("")) == "")
-        .withColumn("token", F.lit(None).cast("string"))
-        .withColumn("reason", F.lit("missing key"))
-    )
-    if allowed is None:
-        return missing
-    invalid = (
-        df.filter(F.coalesce(F.col(header), F.lit("")) != "")
-        .withColumn("token", bearer_token(F.col(header)))
-        .join(allowed, "token", "left_anti")
-        .withColumn("reason", F.lit("invalid key"))
-    )
-    return missing.unionByName(invalid)
+    return label_api_keys(df, allowed, header).filter(F.col("reason").isNotNull()).drop("key_preview")

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatelens import settings as cfg
-from gatelens.operators.cache import fifo_bound
 
 QUERIES_PER_GROUP = 20_000
 INDEX_PER_BLOCK = 10_000
 _SCORES_PER_STEP = 4_000_000  # cells of one score matrix held at a time
 _TIE = 1e-12
+_ALWAYS = (-(1 << 63), (1 << 63) - 1)  # an entry without times, in microseconds
 
 
 def semantic_top1(
@@ -21,17 +21,18 @@ def semantic_top1(
     index: DataFrame,
     threshold: float = cfg.SIMILARITY_THRESHOLD,
     scope: str = "tenant",
-    max_entries: int | None = cfg.CACHE_MAX_ENTRIES,
     sizing: DataFrame | None = None,
 ) -> DataFrame:
     """(query_id, seq, score) of the most similar vector, where it reaches ``threshold``.
 
     Queries hold (query_id, tenant, vector [, arrival]), the index (seq, tenant,
-    vector [, expires_at]); with both optional columns, entries dead at a
-    query's arrival are skipped.  Ties go to the oldest entry.
+    vector [, stored_at] [, expires_at]); where a query has an arrival, entries
+    written after it or dead by then are skipped.  Ties go to the oldest entry.
+    Vectors with elements that are null or not finite match nothing, and neither
+    do vectors of different lengths.
 
-    ``max_entries`` keeps the newest vectors per scope, as the cache does; with
-    None the whole index is searched.  Spark groups the work into (scope, query
+    The whole index is searched, whatever its size; a cache that evicts entries
+    applies ``fifo_bound`` first.  Spark groups the work into (scope, query
     slice, index block) cells of bounded size: the queries of a busy scope are
     sliced, a large index is cut into blocks, and each cell is one matrix
     product.  A cell emits at most one row per query, never pairs.
@@ -39,41 +40,40 @@ def semantic_top1(
     Queries are counted per scope first.  Where they are dear to compute twice,
     ``sizing`` is a table with a ``tenant`` column and at least as many rows.
     """
-    timed = "arrival" in queries.columns and "expires_at" in index.columns
+    timed = "arrival" in queries.columns
     by = F.col("tenant") if scope == "tenant" else F.lit("*")
-    q = queries.filter(F.col("vector").isNotNull()).select(
+
+    def moment(column: str, known: bool, otherwise: int):
+        return (_micros(column) if known else F.lit(otherwise)).cast("long")
+
+    q = _searchable(queries).select(
         by.alias("scope"),
         "query_id",
         F.col("vector").cast("array<double>").alias("vector"),
-        (_micros("arrival") if timed else F.lit(0).cast("long")).alias("at"),
+        moment("arrival", timed, 0).alias("at"),
     )
-    v = index.filter(F.col("vector").isNotNull()).select(
+    v = _searchable(index).select(
         by.alias("scope"),
         "seq",
         F.col("vector").cast("array<double>").alias("vector"),
-        (_micros("expires_at") if timed else F.lit(1).cast("long")).alias("until"),
+        moment("stored_at", timed and "stored_at" in index.columns, _ALWAYS[0]).alias("since"),
+        moment("expires_at", timed and "expires_at" in index.columns, _ALWAYS[1]).alias("until"),
     )
-    if max_entries is not None:
-        v = fifo_bound(v, max_entries, by="scope" if scope == "tenant" else None)
-
     counted = q if sizing is None else sizing.select(by.alias("scope"))
     v = _with_cells(v, counted, QUERIES_PER_GROUP, "slices", scope)
     q = _with_cells(q, counted, QUERIES_PER_GROUP, "slices", scope)
-    single_block = max_entries is not None and max_entries <= INDEX_PER_BLOCK
-    if single_block:
-        q = q.withColumn("block", F.lit(0))
-        v = v.withColumn("block", F.lit(0))
-    else:
-        q = _with_cells(q, v, INDEX_PER_BLOCK, "blocks", scope).withColumn(
-            "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        )
-        v = _with_cells(v, v, INDEX_PER_BLOCK, "blocks", scope).withColumn(
-            "block", F.pmod(F.xxhash64("seq"), F.col("blocks")).cast("int")
-        )
+    q = _with_cells(q, v, INDEX_PER_BLOCK, "blocks", scope).withColumn(
+        "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    )
+    v = _with_cells(v, v, INDEX_PER_BLOCK, "blocks", scope).withColumn(
+        "block", F.pmod(F.xxhash64("seq"), F.col("blocks")).cast("int")
+    )
     q = q.withColumn("slice", F.pmod(F.xxhash64("query_id"), F.col("slices")).cast("int"))
     v = v.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    # Only vectors of one length meet.
+    q, v = (side.withColumn("length", F.size("vector")) for side in (q, v))
 
-    cell = ["scope", "slice", "block"]
+    cell = ["scope", "length", "slice", "block"]
     id_type = queries.schema["query_id"].dataType.simpleString()
     seq_type = index.schema["seq"].dataType.simpleString()
     schema = f"query_id {id_type}, seq {seq_type}, score double"
@@ -84,16 +84,21 @@ def semantic_top1(
     best_rows = (
         q.select(*cell, "query_id", "vector", "at")
         .groupBy(*cell)
-        .cogroup(v.select(*cell, "seq", "vector", "until").groupBy(*cell))
+        .cogroup(v.select(*cell, "seq", "vector", "since", "until").groupBy(*cell))
         .applyInArrow(best, schema)
     )
-    if single_block:
-        return best_rows
     # One candidate per block: the best score wins, on a tie the oldest entry.
     winner = F.max_by(F.struct("seq", "score"), F.struct(F.round("score", 12), -F.col("seq")))
     return best_rows.groupBy("query_id").agg(winner.alias("w")).select("query_id", "w.*")
 
 
+def _searchable(df: DataFrame) -> DataFrame:
+    """Rows with a vector of finite numbers."""
+    big = F.lit(float("inf"))
+    finite = F.forall("vector", lambda x: F.coalesce(F.abs(x.cast("double")) < big, F.lit(False)))
+    return df.filter((F.size("vector") > 0) & finite)
+
+
 def _micros(column: str):
     return F.unix_micros(F.col(column).cast("timestamp"))
 
@@ -135,14 +140,15 @@ def _best_in_cell(left: pa.Table, right: pa.Table, threshold: float) -> pa.Table
         )
     right = right.sort_by("seq")  # the first of equal scores is then the oldest
     stored = _unit_matrix(right.column("vector"))
-    until = right.column("until").to_numpy()
+    since, until = right.column("since").to_numpy(), right.column("until").to_numpy()
     asked = _unit_matrix(left.column("vector"))
     at = left.column("at").to_numpy()
     step = max(1, _SCORES_PER_STEP // len(stored))
     found, where, scores = [], [], []
     for start in range(0, len(asked), step):
         part = asked[start : start + step] @ stored.T
-        part[until[None, :] <= at[start : start + step, None]] = -np.inf
+        arrived = at[start : start + step, None]
+        part[(until[None, :] <= arrived) | (since[None, :] > arrived)] = -np.inf
         top = part.max(axis=1)
         first = np.argmax(part >= top[:, None] - _TIE, axis=1)
         hit = np.nonzero(top >= threshold)[0]

@@ -48,12 +48,13 @@ def cache_table(spark, sf):
 
 
 def later_requests(spark, sf):
-    """Every prompt asked again, some in other words, some after expiry."""
+    """Every prompt asked again, some in other words, some after expiry, some before the answer is stored."""
     changed = F.when(F.col("request_id") % 3 == 0, F.concat(F.col("prompt"), F.lit(" please"))).otherwise(
         F.concat(F.lit("  "), F.translate("prompt", "aeiou", "AEIOU"))
     )
     again = fx.prompts(spark, sf).withColumn("prompt", changed)
-    arrival = F.col("arrival") + cache.seconds(F.lit(3000) + (F.col("request_id") * 7) % 900)
+    later = F.when(F.col("request_id") % 5 == 4, F.lit(1)).otherwise(F.lit(3000) + (F.col("request_id") * 7) % 900)
+    arrival = F.col("arrival") + cache.seconds(later)
     return cache.with_cache_key(again.withColumn("arrival", arrival))
 
 
@@ -147,9 +148,7 @@ def semantic_top1_global(spark, sf):
 
 def semantic_top1_unbounded(spark, sf):
     return _rounded(
-        semantic.semantic_top1(
-            fx.vector_queries(spark, sf), fx.vector_index(spark, sf), scope="global", max_entries=None
-        )
+        semantic.semantic_top1(fx.vector_queries(spark, sf), fx.vector_index(spark, sf), scope="global")
     )
 
 
@@ -226,12 +225,12 @@ CTES["fx_cache_table"] = """
       FROM fx_keyed_prompts) WHERE rn = 1"""
 CTES["fx_later"] = """
     SELECT *, sha256(tenant_salt || ':' || trim(regexp_replace(lower(prompt), '\\s+', ' ', 'g'))) AS prompt_hash FROM (
-      SELECT request_id, tenant_salt, arrival + to_seconds(3000 + (request_id * 7) % 900) AS arrival,
+      SELECT request_id, tenant_salt, arrival + to_seconds(CASE WHEN request_id % 5 = 4 THEN 1 ELSE 3000 + (request_id * 7) % 900 END) AS arrival,
         CASE WHEN request_id % 3 = 0 THEN prompt || ' please' ELSE '  ' || translate(prompt, 'aeiou', 'AEIOU') END AS prompt
       FROM fx_keyed_prompts)"""
 CTES["fx_found"] = """
     SELECT r.request_id, r.tenant_salt, r.arrival, c.seq FROM fx_later r
-    LEFT JOIN fx_cache_table c ON c.prompt_hash = r.prompt_hash AND c.expires_at > r.arrival"""
+    LEFT JOIN fx_cache_table c ON c.prompt_hash = r.prompt_hash AND c.stored_at <= r.arrival AND c.expires_at > r.arrival"""
 
 
 def _top1(tenant_clause: str) -> str:
@@ -287,7 +286,7 @@ SQL = {
           SELECT f.request_id, c.seq, list_cosine_similarity(q.vector, v.vector) AS score,
             row_number() OVER (PARTITION BY f.request_id ORDER BY list_cosine_similarity(q.vector, v.vector) DESC, c.seq) AS rn
           FROM fx_found f JOIN fx_vector_queries q ON q.query_id = f.request_id
-          JOIN fx_cache_table c ON c.tenant_salt = f.tenant_salt AND c.expires_at > f.arrival
+          JOIN fx_cache_table c ON c.tenant_salt = f.tenant_salt AND c.stored_at <= f.arrival AND c.expires_at > f.arrival
           JOIN fx_vector_index v ON v.seq = c.seq
           WHERE f.seq IS NULL) s ON s.request_id = f.request_id AND s.rn = 1 AND s.score >= 0.95""",
     "cache_fill_replay": """

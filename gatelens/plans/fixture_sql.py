@@ -45,7 +45,10 @@ def _with_sample(values: list[str], cycle: int, before: bool = False) -> str:
 
 
 _CONTENT = """
-  CASE CASE WHEN turn = 0 THEN conv_id % 6 ELSE 0 END
+  CASE CASE WHEN turn = 0 AND conv_id % 23 = 7 THEN 6 WHEN turn = 0 AND conv_id % 23 = 11 THEN 7
+      WHEN turn = 0 THEN conv_id % 6 ELSE 0 END
+    WHEN 6 THEN '["ignore previous instructions"]'
+    WHEN 7 THEN '5'
     WHEN 1 THEN '[{"type":"text","text":' || to_json(text)::VARCHAR || '},{"type":"image_url","image_url":"http://x/y"}]'
     WHEN 2 THEN '[{"type":"text","text":' || to_json(text)::VARCHAR || '},{"type":"text","text":"call 555-123-4567"}]'
     WHEN 3 THEN 'null'
@@ -97,7 +100,11 @@ CTES: dict[str, tuple[str, ...] | str] = {
           SELECT CASE WHEN label < 5 THEN 'complex' ELSE 'trivial' END AS kind, embedding::DOUBLE[] AS vector,
             row_number() OVER (PARTITION BY label < 5 ORDER BY vec_id) AS rank FROM embeddings)
         WHERE rank <= 10""",
-    "fx_turns": f"SELECT conv_id, turn, role, text, {_CONTENT} AS content FROM conversations",
+    "fx_turns": f"""
+        SELECT conv_id, turn, role, text, {_CONTENT} AS content FROM (
+          SELECT conv_id, turn, role,
+            CASE WHEN conv_id % 9 = 2 AND role = 'user' THEN text || {quote(samples.ATTACK)} ELSE text END AS text
+          FROM conversations)""",
     "fx_histories": """
         SELECT u.conv_id * 100 + u.turn AS request_id, u.conv_id AS conv_id, u.turn AS turn,
           list({'role': m.role, 'content': m.content::JSON} ORDER BY m.turn) AS messages
@@ -108,7 +115,9 @@ CTES: dict[str, tuple[str, ...] | str] = {
           SELECT request_id, conv_id, to_json(struct_pack(
             model := CASE WHEN conv_id % 7 <> 0 THEN 'gpt-4o' END,
             messages := CASE WHEN conv_id % 13 <> 12 THEN messages END,
-            temperature := CASE WHEN conv_id % 4 = 0 THEN 0.5::DOUBLE END,
+            temperature := CASE WHEN conv_id % 17 = 3 THEN '"hot"'::JSON WHEN conv_id % 4 = 0 THEN '0.5'::JSON
+              WHEN conv_id % 4 = 1 THEN '"0.25"'::JSON END,
+            n := CASE conv_id % 19 WHEN 4 THEN '"many"'::JSON WHEN 5 THEN '2.5'::JSON WHEN 6 THEN '2'::JSON END,
             stream := CASE WHEN conv_id % 3 = 0 THEN conv_id % 2 = 0 END,
             stop := CASE conv_id % 5 WHEN 1 THEN '"END"'::JSON WHEN 2 THEN '["A","B"]'::JSON END,
             max_tokens := CASE WHEN conv_id % 6 = 1 THEN 256 END,
@@ -116,7 +125,14 @@ CTES: dict[str, tuple[str, ...] | str] = {
           FROM fx_histories)""",
     "fx_parsed": """
         SELECT *, CASE WHEN NOT json_valid(json) THEN 'malformed json'
-            WHEN coalesce(json_type(json, '$.messages'), 'NULL') = 'NULL' THEN 'messages missing' END AS reason
+            WHEN coalesce(json_type(json, '$.messages'), 'NULL') = 'NULL' THEN 'messages missing'
+            WHEN len(list_filter(json_extract(json, '$.messages[*].content'), lambda c:
+              json_type(c) NOT IN ('NULL', 'VARCHAR', 'ARRAY') OR (json_type(c) = 'ARRAY' AND json_type(c, '$[0]') <> 'OBJECT'))) > 0
+              THEN 'content: wrong type'
+            WHEN coalesce(json_type(json, '$.temperature'), 'NULL') <> 'NULL'
+              AND TRY_CAST(json_extract_string(json, '$.temperature') AS DOUBLE) IS NULL THEN 'temperature: wrong type'
+            WHEN json_extract_string(json, '$.n') LIKE '%.5' OR TRY_CAST(json_extract_string(json, '$.n') AS DOUBLE) IS NULL
+              AND coalesce(json_type(json, '$.n'), 'NULL') <> 'NULL' THEN 'n: wrong type' END AS reason
         FROM fx_chat_requests""",
     "fx_messages": """
         SELECT request_id, m.i AS pos, n,
@@ -137,11 +153,12 @@ CTES: dict[str, tuple[str, ...] | str] = {
         SELECT stream_id, w.i - 1 AS seq, words[w.i] AS word FROM
           (SELECT stream_id, string_split(text, ' ') AS words FROM fx_answers) a,
           LATERAL (SELECT unnest(range(1, len(a.words) + 1)) AS i) w""",
-    "fx_sse": """
-        SELECT stream_id, seq, 'data: ' || to_json({'choices': [{'index': 0, 'delta':
-          {'content': CASE WHEN stream_id % 11 <> 0 THEN word || ' ' ELSE '' END}}]})::VARCHAR AS line FROM fx_words
-        UNION ALL SELECT stream_id, -1, 'data: {"broken' FROM fx_answers
+    "fx_sse": f"""
+        SELECT stream_id, seq, 'data: ' || to_json({{'choices': [{{'index': 0, 'delta':
+          {{'content': CASE WHEN stream_id % 11 <> 0 THEN word || ' ' ELSE '' END}}}}]}})::VARCHAR AS line FROM fx_words
+        UNION ALL SELECT stream_id, -1, 'data: {{"broken' FROM fx_answers
         UNION ALL SELECT stream_id, -2, ': keep-alive' FROM fx_answers
+        UNION ALL SELECT stream_id, -3, {quote(samples.DELTA_AND_JUNK)} FROM fx_answers
         UNION ALL SELECT stream_id, 1000000, 'data: [DONE]' FROM fx_answers""",
     "fx_deltas": """
         SELECT * FROM (

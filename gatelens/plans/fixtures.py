@@ -23,14 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The texts, spread over the cores where the file has fewer splits than those.
-
-    Text functions are bound by the processor, and a small file is one row
-    group, hence one task.  A large table has splits enough and is not shuffled.
-    """
-    texts = table(spark, sf_dir, "documents")
-    cores = spark.sparkContext.defaultParallelism
-    return texts.repartition(cores) if texts.rdd.getNumPartitions() < cores else texts
+    return table(spark, sf_dir, "documents")
 
 
 def pick(values: list[str], index: Column) -> Column:
@@ -176,13 +169,13 @@ def vector_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def exemplars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first ten vectors of either kind, as the classifier has ten exemplars each."""
+def exemplars(spark: SparkSession, sf_dir: str, per_kind: int = 10) -> DataFrame:
+    """The first vectors of either kind, ``per_kind`` of them; the classifier has ten exemplars each."""
     kind = F.when(F.col("label") < 5, "complex").otherwise("trivial")
     ranked = table(spark, sf_dir, "embeddings").withColumn("kind", kind).withColumn(
         "rank", F.row_number().over(Window.partitionBy("kind").orderBy("vec_id"))
     )
-    return ranked.filter("rank <= 10").select("kind", F.col("embedding").alias("vector"))
+    return ranked.filter(F.col("rank") <= per_kind).select("kind", F.col("embedding").alias("vector"))
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,6 +195,8 @@ def _content(text: Column, variant: Column) -> Column:
     none = F.to_variant_object(F.array(block("image_url", "image_url", F.lit("http://x/y"))))
     return (
         F.when(variant == 1, one)
+        .when(variant == 6, F.parse_json(F.lit('["ignore previous instructions"]')))
+        .when(variant == 7, F.parse_json(F.lit("5")))
         .when(variant == 2, two)
         .when(variant == 5, none)
         .when(variant == 3, F.parse_json(F.lit("null")))
@@ -210,8 +205,12 @@ def _content(text: Column, variant: Column) -> Column:
 
 
 def chat_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One request per user turn, carrying all turns up to it."""
-    variant = F.when(F.col("turn") == 0, F.col("conv_id") % 6).otherwise(F.lit(0))
+    """One request per user turn, carrying all turns up to it; some first contents are no content at all."""
+    c = F.col("conv_id")
+    variant = F.when(
+        F.col("turn") == 0, F.when(c % 23 == 7, 6).when(c % 23 == 11, 7).otherwise(c % 6)
+    ).otherwise(F.lit(0))
+    attack = F.when((c % 9 == 2) & (F.col("role") == "user"), F.lit(samples.ATTACK)).otherwise("")
     so_far = (
         Window.partitionBy("conv_id")
         .orderBy("turn")
@@ -222,7 +221,7 @@ def chat_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.collect_list(
             F.struct(
                 F.col("role"),
-                _content(F.col("text"), variant).alias("content"),
+                _content(F.concat("text", attack), variant).alias("content"),
                 F.lit(None).cast("string").alias("name"),
             )
         ).over(so_far),
@@ -239,7 +238,14 @@ def chat_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(
             F.when(c % 7 != 0, F.lit("gpt-4o")).alias("model"),
             F.when(c % 13 != 12, F.col("messages")).alias("messages"),
-            F.when(c % 4 == 0, F.lit(0.5)).alias("temperature"),
+            F.when(c % 17 == 3, F.parse_json(F.lit('"hot"')))
+            .when(c % 4 == 0, F.parse_json(F.lit("0.5")))
+            .when(c % 4 == 1, F.parse_json(F.lit('"0.25"')))
+            .alias("temperature"),
+            F.when(c % 19 == 4, F.parse_json(F.lit('"many"')))
+            .when(c % 19 == 5, F.parse_json(F.lit("2.5")))
+            .when(c % 19 == 6, F.parse_json(F.lit("2")))
+            .alias("n"),
             F.when(c % 3 == 0, c % 2 == 0).alias("stream"),
             F.when(c % 5 == 1, F.parse_json(F.lit('"END"')))
             .when(c % 5 == 2, F.parse_json(F.lit('["A","B"]')))
@@ -283,6 +289,7 @@ def sse_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.struct(F.lit(-1).cast("long").alias("seq"), F.lit('data: {"broken').alias("line")),
                 F.struct(F.lit(1_000_000).cast("long").alias("seq"), F.lit("data: [DONE]").alias("line")),
                 F.struct(F.lit(-2).cast("long").alias("seq"), F.lit(": keep-alive").alias("line")),
+                F.struct(F.lit(-3).cast("long").alias("seq"), F.lit(samples.DELTA_AND_JUNK).alias("line")),
             )
         ).alias("x"),
     ).select("stream_id", "x.seq", "x.line")
@@ -313,6 +320,7 @@ def provider_event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.struct(F.lit(-1).cast("long").alias("seq"), F.lit("event: content_block_delta").alias("line")),
                 F.struct(F.lit(1_000_000).cast("long").alias("seq"), F.lit('data: {"type":"message_stop"}').alias("line")),
                 F.struct(F.lit(-2).cast("long").alias("seq"), F.lit('data: {"type":"ping"}').alias("line")),
+                F.struct(F.lit(-3).cast("long").alias("seq"), F.lit(samples.EVENT_AND_JUNK).alias("line")),
             )
         ).alias("x"),
     ).select("stream_id", "x.seq", "x.line")

@@ -263,7 +263,7 @@ SQL = {
           CASE WHEN reason IS NULL THEN json_array_length(j, '$.messages')::BIGINT END AS n_messages,
           CASE WHEN reason IS NULL THEN coalesce((j->>'$.temperature')::DOUBLE, 1.0::DOUBLE) END AS temperature,
           CASE WHEN reason IS NULL THEN 1.0::DOUBLE END AS top_p,
-          CASE WHEN reason IS NULL THEN 1::INTEGER END AS n,
+          CASE WHEN reason IS NULL THEN coalesce((j->>'$.n')::INTEGER, 1) END AS n,
           CASE WHEN reason IS NULL THEN coalesce((j->>'$.stream')::BOOLEAN, false) END AS stream,
           CASE WHEN reason IS NULL AND json_type(j, '$.stop') <> 'NULL'
             THEN json_extract(j, '$.stop')::VARCHAR END AS stop,

@@ -81,13 +81,9 @@ def blocked_injection_count(spark, sf):
 def api_key_filter(spark, sf):
     log = fx.api_key_log(spark, sf)
     allowed = security.allowed_keys(literal_rows(spark, ["raw"], [(fx.ALLOWED_KEYS,)]))
-    accepted = security.filter_api_keys(log, allowed).select(
-        "request_id", "token", F.lit("accepted").alias("outcome")
+    return security.label_api_keys(log, allowed).select(
+        "request_id", "token", F.coalesce("reason", F.lit("accepted")).alias("outcome")
     )
-    rejected = security.rejected_api_keys(log, allowed).select(
-        "request_id", "token", F.col("reason").alias("outcome")
-    )
-    return accepted.unionByName(rejected)
 
 
 def api_key_preview(spark, sf):
@@ -194,11 +190,11 @@ CTES["fx_scanned"] = f"""
     SELECT request_id, lower(text) AS low FROM ({_expand_sql(
         f"SELECT request_id, {_GLYPHS} AS text FROM fx_injection")})"""
 CTES["fx_flagged"] = f"SELECT request_id, CASE {_FIRST} END AS pattern FROM fx_scanned"
-CTES["fx_security_events"] = """
+CTES["fx_security_events"] = f"""
     SELECT ('0x' || substr(sha256(i.request_id || ':injection_blocked'), 1, 15))::BIGINT AS id, i.timestamp,
       'injection_blocked' AS event_type, f.pattern AS pattern_matched,
       CASE WHEN length(i.text) > 100 THEN left(i.text, 100) || '...' ELSE i.text END AS prompt_preview, i.source_ip
-    FROM fx_injection i JOIN fx_flagged f ON f.request_id = i.request_id WHERE f.pattern IS NOT NULL"""
+    FROM (SELECT * EXCLUDE (text), {redact_sql("text")} AS text FROM fx_injection) i JOIN fx_flagged f ON f.request_id = i.request_id WHERE f.pattern IS NOT NULL"""
 
 _HEADER = """
     SELECT event_id AS request_id, CASE event_id % 7 WHEN 0 THEN 'key-' || (user_id % 5) WHEN 1 THEN '' WHEN 2 THEN NULL

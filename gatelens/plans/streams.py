@@ -6,20 +6,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatelens import settings as cfg
+from gatelens.functions.sse import DONE
 from gatelens.plans import fixtures as fx
 from gatelens.plans.cache import SQL as CACHE_SQL
 from gatelens.plans.fixture_sql import baseline, quote, with_ctes
-from gatelens.plans.security import redact_sql
+from gatelens.plans.security import _FIRST, _GLYPHS, _expand_sql, redact_sql
 from gatelens.session import fresh_path
 from gatelens.streaming import cache, enrich, log, sse, windows
 
 
 def _available(spark, source: str, schema, start) -> None:
     """Run a stream over everything now in ``source``; ``start`` begins the query."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", cache.ROCKSDB)
-    stream = spark.readStream.schema(schema).parquet(source)
-    query = start(stream)
-    query.awaitTermination()
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, cache.ROCKSDB)
+    try:
+        start(spark.readStream.schema(schema).parquet(source)).awaitTermination()
+    finally:
+        if before is None:
+            spark.conf.unset(setting)
+        else:
+            spark.conf.set(setting, before)
 
 
 def _to_parquet(operator, out: str, marks: str):
@@ -98,8 +105,17 @@ def stream_cache_replay(spark, sf):
 def stream_sse_assemble(spark, sf):
     seconds = F.greatest(F.col("seq"), F.lit(0)) % 100
     lines = fx.sse_lines(spark, sf).withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + seconds))
-    early = (F.col("seq") < 40) & (F.col("stream_id") % 2 == 0)
-    return _streamed(spark, lines, sse.stream_sse_assemble, [early, ~early])
+    # DONE lines overtake the text of their streams; an hour later the watermark has passed all.
+    tick = spark.range(1).select(
+        F.lit(-1).cast(lines.schema["stream_id"].dataType).alias("stream_id"),
+        F.lit(0).cast("long").alias("seq"),
+        F.lit(": keep-alive").alias("line"),
+        F.timestamp_seconds(F.lit(1704067200 + 3600)).alias("ts"),
+    )
+    early = ((F.col("seq") < 40) & (F.col("stream_id") % 2 == 0)) | (F.col("line") == DONE)
+    last = F.col("stream_id") == -1
+    cuts = [early & ~last, ~early & ~last, last]
+    return _streamed(spark, lines.unionByName(tick), sse.stream_sse_assemble, cuts)
 
 
 def stream_cost_windows(spark, sf):
@@ -163,16 +179,19 @@ def _enrich_sql() -> str:
 
     return f"""
         WITH last AS (SELECT request_id, text FROM fx_message_text WHERE pos = n - 1),
+        flagged AS (SELECT request_id, CASE {_FIRST} END AS pattern FROM (
+          SELECT request_id, lower(text) AS low FROM ({_expand_sql(f"SELECT request_id, {_GLYPHS} AS text FROM last")}))),
         redacted AS (SELECT request_id, {redact_sql("text")} AS text FROM last),
         scored AS (SELECT request_id, text, ({_KEYWORDS} + {_LENGTH} + {_STRUCTURE})::INTEGER AS score,
           sha256(substr(sha256('Bearer key-' || (request_id % 5)), 1, 16) || ':' ||
             trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS prompt_hash FROM redacted)
-        SELECT p.request_id, CASE WHEN p.reason IS NULL THEN 'accepted' ELSE 'rejected' END AS outcome,
-          NULL::VARCHAR AS pattern, s.text AS prompt, s.prompt_hash, s.score,
+        SELECT p.request_id, CASE WHEN p.reason IS NOT NULL THEN 'rejected' WHEN f.pattern IS NOT NULL THEN 'blocked'
+          ELSE 'accepted' END AS outcome, f.pattern, s.text AS prompt, s.prompt_hash, s.score,
           CASE WHEN s.score IS NULL THEN NULL WHEN s.score >= {cfg.FALLBACK_STRONG_SCORE} THEN 'gpt-4o' ELSE 'gpt-3.5-turbo' END AS target_model,
           CASE WHEN s.score >= {cfg.STRONG_SCORE} THEN 'intensive_reasoning' WHEN s.score <= {cfg.LEAN_SCORE} THEN 'efficiency_optimized'
             WHEN s.score IS NOT NULL THEN 'balanced_performance' END AS strategy
-        FROM fx_parsed p LEFT JOIN scored s ON s.request_id = p.request_id"""
+        FROM fx_parsed p LEFT JOIN flagged f ON f.request_id = p.request_id
+        LEFT JOIN scored s ON s.request_id = p.request_id AND f.pattern IS NULL"""
 
 
 SQL = {

@@ -13,21 +13,30 @@ from gatelens.functions.once import compute_once
 from gatelens.functions.sse import DONE, sse_delta
 
 IDLE_MS = 120_000
+KEEP_MS = 3_600_000  # how long a finished stream is remembered
 
 
 class _Parts(StatefulProcessor):
-    """The deltas seen so far, until the DONE line or a pause ends the stream."""
+    """The deltas seen so far, until the stream is over.
 
-    def __init__(self, idle_ms: int):
-        self._idle = idle_ms
+    After a DONE line a stream waits for the watermark to pass its newest line, so
+    that lines which were overtaken still count; without one it waits for a pause.
+    A finished stream is remembered for a while and swallows what still comes.
+    """
+
+    def __init__(self, idle_ms: int, keep_ms: int):
+        self._idle, self._keep = idle_ms, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
         self._parts = handle.getListState("parts", "seq long, delta string")
+        self._state = handle.getValueState("state", "done boolean, closed boolean, newest long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        done, newest = False, 0
+        done, closed, newest = self._state.get() if self._state.exists() else (False, False, 0)
         for batch in rows:
+            if closed:
+                continue
             done = done or bool(batch["done"].any())
             newest = max(newest, int(batch["at_ms"].max()))
             text = batch[batch["delta"].notna()]
@@ -35,34 +44,35 @@ class _Parts(StatefulProcessor):
                 self._parts.appendList(
                     list(zip(text["seq"].astype(int).tolist(), text["delta"].tolist(), strict=True))
                 )
-        if done:
-            yield from self._finish(key)
-        else:
-            # Still open: wait for a pause after the newest line seen.
-            due = newest + self._idle
-            for timer in list(self._handle.listTimers()):
-                due = max(due, timer)
-                self._handle.deleteTimer(timer)
-            self._handle.registerTimer(due)
+        if not closed:
+            self._state.update((done, False, newest))
+            self._wait(newest + (1 if done else self._idle))
+        yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._finish(key)
-
-    def _finish(self, key) -> Iterator[pd.DataFrame]:
+        _, closed, newest = self._state.get()
+        if closed:
+            self._state.clear()
+            return
         parts = sorted(self._parts.get()) if self._parts.exists() else []
         self._parts.clear()
-        for timer in list(self._handle.listTimers()):
-            self._handle.deleteTimer(timer)
+        self._state.update((True, True, newest))
+        self._wait(expiredTimerInfo.getExpiryTimeInMs() + self._keep)
         if parts:
             text = "".join(delta for _, delta in parts)
             yield pd.DataFrame({"stream_id": [key[0]], "text": [text]})
 
+    def _wait(self, until: int) -> None:
+        for timer in list(self._handle.listTimers()):
+            self._handle.deleteTimer(timer)
+        self._handle.registerTimer(until)
+
     def close(self) -> None:
         pass
 
 
 def stream_sse_assemble(lines: DataFrame, ts: str = "ts", idle_ms: int = IDLE_MS,
-                        late: str = "1 minute") -> DataFrame:
+                        late: str = "1 minute", keep_ms: int = KEEP_MS) -> DataFrame:
     """(stream_id, seq, line, ts) -> (stream_id, text) of every finished stream.
 
     Only text-bearing and final lines reach the state; needs the RocksDB store.
@@ -81,5 +91,5 @@ def stream_sse_assemble(lines: DataFrame, ts: str = "ts", idle_ms: int = IDLE_MS
     )
     kind = lines.schema["stream_id"].dataType.simpleString()
     return parts.groupBy("stream_id").transformWithStateInPandas(
-        _Parts(idle_ms), f"stream_id {kind}, text string", "Append", "EventTime"
+        _Parts(idle_ms, keep_ms), f"stream_id {kind}, text string", "Append", "EventTime"
     )

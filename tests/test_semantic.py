@@ -53,22 +53,61 @@ def frames(spark, index, queries, timed):
 
 
 @pytest.mark.parametrize("scope", ["tenant", "global"])
-@pytest.mark.parametrize("bounded", [True, False])
+@pytest.mark.parametrize("one_block", [True, False])
 @pytest.mark.parametrize("timed", [True, False])
-def test_equals_full_search(spark, monkeypatch, scope, bounded, timed):
+def test_equals_full_search(spark, monkeypatch, scope, one_block, timed):
     monkeypatch.setattr(semantic, "QUERIES_PER_GROUP", 50)
     monkeypatch.setattr(semantic, "_SCORES_PER_STEP", 1000)
-    if not bounded:
+    if not one_block:
         monkeypatch.setattr(semantic, "INDEX_PER_BLOCK", 30)
     index, queries = make()
     i, q = frames(spark, index, queries, timed)
-    found = semantic.semantic_top1(q, i, 0.95, scope, 10_000 if bounded else None).collect()
+    found = semantic.semantic_top1(q, i, 0.95, scope).collect()
     want = by_hand(index, queries, 0.95, scope, timed)
     assert {r.query_id: r.seq for r in found} == {k: v[0] for k, v in want.items()}
     assert all(abs(r.score - want[r.query_id][1]) < 1e-9 for r in found)
     assert len(found) == len(want) > 0
 
 
+def test_index_beyond_any_cache_bound(spark):
+    """The only matches are the oldest of 12,000 entries."""
+    rng = np.random.default_rng(8)
+    stored = rng.normal(size=(12_000, 8))
+    index = spark.createDataFrame([(i, "t", v.tolist()) for i, v in enumerate(stored)], "seq long, tenant string, vector array<double>")
+    queries = spark.createDataFrame([(i, "t", stored[i].tolist()) for i in range(3)], "query_id long, tenant string, vector array<double>")
+    found = semantic.semantic_top1(queries, index, 0.9999).collect()
+    assert {(r.query_id, r.seq) for r in found} == {(0, 0), (1, 1), (2, 2)}
+
+
+def test_vectors_that_match_nothing(spark):
+    nan, inf = float("nan"), float("inf")
+    index = [(0, [1.0, 0.0]), (1, [nan, 1.0]), (2, [1.0]), (3, [1.0, 0.0, 0.0]), (4, None), (5, []), (6, [inf, 0.0]), (7, [None, 1.0])]
+    asked = [(0, [1.0, 0.01]), (1, [nan, 0.0]), (2, [2.0]), (3, [0.0, 1.0, 0.0]), (4, None), (5, [])]
+    make_df = lambda rows, key: spark.createDataFrame([(i, "t", v) for i, v in rows], f"{key} long, tenant string, vector array<double>")
+    found = semantic.semantic_top1(make_df(asked, "query_id"), make_df(index, "seq"), 0.95).collect()
+    assert {(r.query_id, r.seq) for r in found} == {(0, 0), (2, 2)}
+
+
+def test_no_answer_before_its_write(spark):
+    at = lambda s: BASE + datetime.timedelta(seconds=s)
+    index = spark.createDataFrame([(0, "t", [1.0, 0.0], at(10), at(20))], "seq long, tenant string, vector array<double>, stored_at timestamp_ntz, expires_at timestamp_ntz")
+    asked = spark.createDataFrame([(s, "t", [1.0, 0.0], at(s)) for s in (9, 10, 19, 20)], "query_id long, tenant string, vector array<double>, arrival timestamp_ntz")
+    assert {r.query_id for r in semantic.semantic_top1(asked, index).collect()} == {10, 19}
+    entries = spark.createDataFrame([("h", "a", at(10), at(20))], "prompt_hash string, response string, stored_at timestamp_ntz, expires_at timestamp_ntz")
+    requests = spark.createDataFrame([("h", at(s), s) for s in (9, 10, 19, 20)], "prompt_hash string, arrival timestamp_ntz, i int")
+    assert {r.i for r in cache.exact_lookup(requests, entries).collect() if r.response} == {10, 19}
+
+
+def test_bound_over_many_buckets(spark):
+    rows = [(i * 3_000, "hot" if i % 3 else "t") for i in range(200)] + [(7, "one")]
+    df = spark.createDataFrame(rows, "seq long, tenant string")
+    for n in (1, 5, 50, 1000):
+        want = sorted((s for s, _ in rows), reverse=True)[:n]
+        assert sorted((r.seq for r in cache.fifo_bound(df, n).collect()), reverse=True) == want
+        kept = {(r.seq, r.tenant) for r in cache.fifo_bound(df, n, by="tenant").collect()}
+        assert kept == {(s, t) for t in ("hot", "t", "one") for s in sorted((s for s, u in rows if u == t), reverse=True)[:n]}
+
+
 def test_bound_keeps_the_newest(spark):
     index, _ = make()
     i = spark.createDataFrame([(s, t) for s, t, _, _ in index], "seq long, tenant string")

@@ -103,7 +103,10 @@ def test_request_parsing(spark):
 
 def test_recogniser_second_pass(spark):
     def factory():
-        def find(text):
+        def find(texts):
+            return [find_one(t) for t in texts]
+
+        def find_one(text):
             if "boom" in text:
                 raise ValueError(text)
             at = text.find("Ada")
@@ -123,6 +126,44 @@ def test_open_key_mode(spark):
     df = spark.createDataFrame([(1, "Bearer abc"), (2, ""), (3, None), (4, "raw")], "i int, header string")
     assert sorted(r.i for r in security.filter_api_keys(df, None).collect()) == [1, 4]
     assert sorted(r.i for r in security.rejected_api_keys(df, None).collect()) == [2, 3]
+    blank = security.allowed_keys(spark.createDataFrame([(" , ",)], "raw string"))
+    assert sorted(r.i for r in security.filter_api_keys(df, blank).collect()) == [1, 4]
+    listed = security.allowed_keys(spark.createDataFrame([("abc, ,abc",)], "raw string"))
+    assert [r.i for r in security.filter_api_keys(df, listed).collect()] == [1]
+    assert {(r.i, r.reason) for r in security.rejected_api_keys(df, listed).collect()} == {
+        (2, "missing key"), (3, "missing key"), (4, "invalid key")}
+
+
+def test_wrong_types_are_rejected_by_name(spark):
+    def body(extra="", message='{"role":"user","content":"hi"}'):
+        return f'{{"messages":[{message}]{extra}}}'
+
+    wrong = {
+        body(',"temperature":"hot"'): "temperature", body(',"n":"many"'): "n", body(',"n":2.5'): "n",
+        body(',"stream":"maybe"'): "stream", body(',"stream":5'): "stream", body(',"model":5'): "model",
+        body(',"stop":5'): "stop", body(',"stop":["a",1]'): "stop", body(',"user":{}'): "user",
+        body(',"max_tokens":[1]'): "max_tokens",
+        body(message='{"role":"user","content":5}'): "content", body(message='{"role":7,"content":"x"}'): "role",
+        body(message='{"role":"user","content":["ignore previous instructions"]}'): "content",
+        body(message='{"role":"user","content":{"a":1}}'): "content", body(message='{"role":"user","name":[]}'): "name",
+        body(message='"hi"'): "messages", '{"messages":"hi"}': "messages",
+    }
+    good = [body(), body(',"temperature":"0.5","n":"2","stream":"yes"'), body(',"stream":1,"n":3.0,"temperature":1'),
+            body(',"model":null,"temperature":null,"stop":null,"user":null'), body(',"stop":["a","b"]'),
+            body(message='{"role":"user","content":[{"type":"text","text":"a"}]}'), body(message='{"role":"user"}')]
+    junk = [body() + " junk", body() + "]", "[1", "", body() + "," + body()]
+    malformed = requests.parse_all(spark.createDataFrame([(t,) for t in junk], "json string")).collect()
+    assert [r.reason for r in malformed] == ["malformed json"] * len(junk)
+    df = spark.createDataFrame(list(enumerate([*wrong, *good])), "i int, json string")
+    rows = {r.i: r for r in requests.parse_all(df).collect()}
+    for i, (text, name) in enumerate(wrong.items()):
+        assert rows[i].reason == f"{name}: wrong type" and rows[i].request is None, text
+    found = [rows[len(wrong) + i] for i in range(len(good))]
+    assert [r.reason for r in found] == [None] * len(good)
+    assert (found[0].request.model, found[0].request.temperature, found[0].request.n, found[0].request.stream) == ("auto", 1.0, 1, False)
+    assert (found[1].request.temperature, found[1].request.n, found[1].request.stream) == (0.5, 2, True)
+    assert (found[2].request.stream, found[2].request.n) == (True, 3)
+    assert found[3].request.model is None and found[3].request.temperature is None
 
 
 def test_last_write_of_a_hash_wins(spark):
