@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatelens.llm.common import lower_words, utf8, with_struct, written
+from gatelens.llm.common import lower_words, utf8, with_struct
 
 MAX_EXAMPLES = 8_000  # ratings to learn from, about
 BUCKETS = 1 << 15
@@ -130,12 +130,13 @@ def fit(docs: DataFrame, ratings: DataFrame, most: int = MAX_EXAMPLES, buckets:
         return [[n.tolist() for n, _ in found], [v.tolist() for _, v in found]]
 
     rows = with_struct(joined.select("text", "grade"), "x", "numbers array<int>, values array<float>", run)
-    table = written(rows.select("grade", "x.*"), "quality-examples").orderBy("grade", "values", "numbers").toArrow()
-    pairs = [
-        (np.array(n, np.int64), np.array(v, float))
-        for n, v in zip(table.column("numbers").to_pylist(), table.column("values").to_pylist(), strict=True)
+    table = rows.select("grade", "x.*").toArrow()  # bounded by ``most``
+    found = [
+        (grade, np.array(n, np.int64), np.array(v, float))
+        for grade, n, v in zip(*(table.column(c).to_pylist() for c in ("grade", "numbers", "values")), strict=True)
     ]
-    return fit_ordinal(pairs, table.column("grade").to_numpy(), buckets)
+    found.sort(key=lambda f: (f[0], f[1].tobytes(), f[2].tobytes()))  # sums do not depend on how rows arrive
+    return fit_ordinal([(n, v) for _, n, v in found], np.array([g for g, *_ in found], float), buckets)
 
 
 def graded(docs: DataFrame, model: Model, result: str = "quality") -> DataFrame:
