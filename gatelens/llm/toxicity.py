@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -208,14 +209,31 @@ def fold(doc_id: str):
 
 
 def examples(docs: DataFrame, labels: DataFrame, most: int = MAX_EXAMPLES) -> DataFrame:
-    """(text, toxic) of about ``most`` labelled rows at most, of those not held out; by a hash of the id."""
+    """(text, toxic) of about ``most`` labelled rows at most, of those not held out; by a hash of the id.
+
+    Copies and near copies would count a document's words again and again, so of
+    texts with the same least shingle hash one is an example.
+    """
     own = labels.select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("toxic")).dropna()
     own = own.filter(fold("__id") != 1).groupBy("__id").agg(F.max("toxic").alias("toxic"))
     share = min(1.0, most / max(1, own.count()))
     picked = own.filter(F.pmod(F.xxhash64("__id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     # Bounded by ``most``, so it is sent to the documents, which stay where they are.
     joined = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("__id"))
-    return written(joined.select("text", "toxic"), "toxicity-examples")
+
+    def key(batch: pa.RecordBatch) -> list:
+        return [[_least_shingle(t or "") for t in batch.column(0).to_pylist()]]
+
+    keyed = with_struct(joined.select("text", "toxic"), "__key", "least long", key)
+    one = F.min_by(F.struct("text", "toxic"), F.struct(F.xxhash64("text"), F.col("toxic")))
+    return written(keyed.groupBy("__key.least").agg(one.alias("e")).select("e.*"), "toxicity-examples")
+
+
+def _least_shingle(text: str) -> int:
+    """Least hash of five words in a row; near copies mostly share it."""
+    words = _WORD.findall(text.lower())
+    runs = zip(*(words[i:] for i in range(5)), strict=False) if len(words) >= 5 else [words]
+    return min(xxhash.xxh64_intdigest(" ".join(r)) for r in runs) >> 1
 
 
 def _candidate_counts(rows: DataFrame) -> DataFrame:
