@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatelens import settings as cfg
-from gatelens.functions.models import baseline_cost
+from gatelens.functions.models import baseline_cost, exact_sum
 from gatelens.functions.once import literal_rows
 
 
@@ -66,7 +66,7 @@ def baseline_savings(log: DataFrame) -> DataFrame:
     totals = log.agg(
         F.coalesce(F.sum("prompt_tokens"), F.lit(0)).alias("prompt_tokens"),
         F.coalesce(F.sum("completion_tokens"), F.lit(0)).alias("completion_tokens"),
-        F.coalesce(F.sum("cost"), F.lit(0.0)).alias("actual_cost"),
+        F.coalesce(exact_sum(F.col("cost")), F.lit(0.0)).alias("actual_cost"),
     )
     baseline = baseline_cost(F.col("prompt_tokens"), F.col("completion_tokens"))
     return totals.withColumn("baseline_cost", baseline).withColumn(
@@ -81,7 +81,7 @@ def run_summary(log: DataFrame, by: str = "run_id") -> DataFrame:
         F.count_if(~F.col("success")).alias("failed"),
         F.count_if(F.col("success") & F.col("cached")).alias("cached"),
         F.sum("total_tokens").alias("total_tokens"),
-        F.sum("cost").alias("total_cost"),
+        exact_sum(F.col("cost")).alias("total_cost"),
     )
     flat = F.col("total_tokens") * F.lit(cfg.FLAT_BASELINE_PER_TOKEN)
     saved = F.greatest(F.lit(0.0), F.col("baseline_cost") - F.col("total_cost"))

@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatelens import settings as cfg
-from gatelens.functions.models import baseline_cost, status_color, status_label
+from gatelens.functions.models import baseline_cost, exact_sum, status_color, status_label
 from gatelens.operators.security import blocked_count
 
 
 def summary_totals(log: DataFrame) -> DataFrame:
     return log.agg(
         F.count(F.lit(1)).alias("total_queries"),
-        F.coalesce(F.sum("cost"), F.lit(0.0)).alias("total_cost"),
+        F.coalesce(exact_sum(F.col("cost")), F.lit(0.0)).alias("total_cost"),
         F.count_if(F.col("cached")).alias("queries_cached"),
     )
 
@@ -47,7 +47,7 @@ def daily_cost_series(log: DataFrame, as_of: str, days: int = cfg.SERIES_DAYS) -
         & (F.col("timestamp") < F.date_add(last, 1).cast("timestamp_ntz"))
     )
     daily = in_range.groupBy(F.to_date("timestamp").alias("day")).agg(
-        F.sum("cost").alias("cost"),
+        exact_sum(F.col("cost")).alias("cost"),
         F.sum("prompt_tokens").alias("prompt_tokens"),
         F.sum("completion_tokens").alias("completion_tokens"),
     )
@@ -119,7 +119,7 @@ def stats_summary(log: DataFrame, events: DataFrame, as_of: str,
     """
     cube = log.groupBy(F.to_date("timestamp").alias("day"), "model").agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum("cost").alias("cost"),
+        exact_sum(F.col("cost")).alias("cost"),
         F.sum("prompt_tokens").alias("prompt_tokens"),
         F.sum("completion_tokens").alias("completion_tokens"),
         F.count_if(F.col("cached")).alias("cached"),
@@ -129,7 +129,7 @@ def stats_summary(log: DataFrame, events: DataFrame, as_of: str,
     last = F.to_date(F.lit(as_of))
     first = F.date_sub(last, days - 1)
     sums = ("n", "cost", "prompt_tokens", "completion_tokens", "cached", "latency_sum", "latency_n")
-    added = [F.sum(c).alias(c) for c in sums]
+    added = [(exact_sum(F.col(c)) if c == "cost" else F.sum(c)).alias(c) for c in sums]
     # Grouping sets over the small table: total, per model, per day.
     rolled = cube.groupingSets([[], ["model"], ["day"]], "model", "day").agg(
         F.grouping_id().alias("level"), *added

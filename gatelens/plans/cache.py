@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gatelens import settings as cfg
 from gatelens.functions import text as txt
 from gatelens.functions import vectors as vec
 from gatelens.operators import cache, embed, logs, replay, semantic
@@ -182,7 +183,13 @@ def cache_fill_replay(spark, sf):
 
 
 def prompt_embed(spark, sf):
-    return embed.embed(fx.prompts(spark, sf), "prompt").select("request_id", "vector")
+    """The buckets that a prompt fills, and the largest element of its unit vector."""
+    places = F.transform("vector", lambda x, i: F.when(x > 0, i.cast("string")))
+    return embed.embed(fx.prompts(spark, sf), "prompt").select(
+        "request_id",
+        F.array_join(places, ",").alias("buckets"),
+        F.round(F.array_max("vector").cast("double"), 4).alias("largest"),
+    )
 
 
 def cache_replay_response(spark, sf):
@@ -242,7 +249,23 @@ def _top1(tenant_clause: str) -> str:
         WHERE rn = 1 AND score >= 0.95"""
 
 
+
+
+def embed_sql(source: str, key: str, text: str) -> str:
+    """(key, bucket, x) of the unit vectors of texts, zeros left out."""
+    return f"""
+        SELECT {key}, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY {key})) AS x FROM (
+          SELECT {key}, ('0x' || substr(md5(f), 1, 8))::BIGINT % {cfg.EMBEDDING_DIM} AS bucket, count(*)::DOUBLE AS n FROM (
+            SELECT {key}, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM (
+              SELECT {key}, regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}_]+') AS w FROM {source}))
+          GROUP BY 1, 2)"""
+
+
 SQL = {
+    "prompt_embed": f"""
+        SELECT p.request_id, coalesce(e.buckets, '') AS buckets, coalesce(e.largest, 0) AS largest FROM fx_prompts p LEFT JOIN (
+          SELECT request_id, string_agg(bucket, ',' ORDER BY bucket) AS buckets, round(max(x), 4) AS largest
+          FROM ({embed_sql("fx_prompts", "request_id", "prompt")}) GROUP BY 1) e ON e.request_id = p.request_id""",
     "prompt_normalize": "SELECT request_id, normalized FROM fx_keyed_prompts",
     "tenant_salt": "SELECT request_id, tenant_salt FROM fx_keyed_prompts",
     "prompt_hash": "SELECT request_id, prompt_hash FROM fx_keyed_prompts",

@@ -9,6 +9,7 @@ from gatelens.functions import scoring
 from gatelens.functions.models import fallback_model, provider_of
 from gatelens.operators import routing
 from gatelens.plans import fixtures as fx
+from gatelens.plans.cache import embed_sql
 from gatelens.plans.fixture_sql import CTES, quote, with_ctes
 
 STRONG = "gpt-4o"
@@ -128,6 +129,13 @@ _REQUESTED = """
       ELSE ['', 'none', 'claude-3-opus', 'mixtral-8x7b', 'gemini-1.5-pro', 'o1-mini'][(event_id % 6 + 1)::BIGINT] END AS model
     FROM events"""
 
+_SAMPLES = ", ".join(
+    f"({i}, '{kind}', {quote(text)})"
+    for i, (kind, text) in enumerate(
+        [("complex", t) for t in cfg.COMPLEX_EXEMPLARS] + [("trivial", t) for t in cfg.TRIVIAL_EXEMPLARS]
+    )
+)
+
 SQL = {
     "route_keyword_score": f"SELECT doc_id, ({_KEYWORDS})::INTEGER AS score FROM fx_routing",
     "route_length_score": f"SELECT doc_id, ({_LENGTH})::INTEGER AS score FROM fx_routing",
@@ -144,6 +152,20 @@ SQL = {
           SELECT s.doc_id, s.score, CASE WHEN v.vec_id IS NULL THEN NULL
             WHEN v.avg_complex > v.avg_trivial THEN 'complex' ELSE 'trivial' END AS label
           FROM fx_scored s LEFT JOIN fx_similar v ON v.vec_id = s.doc_id))""",
+    "route_prompts": f"""
+        WITH samples AS (SELECT * FROM (VALUES {_SAMPLES}) s(sample, kind, text)),
+        centroids AS (SELECT s.kind, e.bucket, sum(e.x) / any_value(s.n) AS x
+          FROM ({embed_sql("samples", "sample", "text")}) e
+          JOIN (SELECT *, count(*) OVER (PARTITION BY kind) AS n FROM samples) s ON s.sample = e.sample GROUP BY 1, 2),
+        near AS (SELECT e.doc_id, coalesce(sum(e.x * c.x) FILTER (c.kind = 'complex'), 0) AS avg_complex,
+            coalesce(sum(e.x * c.x) FILTER (c.kind = 'trivial'), 0) AS avg_trivial
+          FROM ({embed_sql("fx_routing", "doc_id", "text")}) e JOIN centroids c ON c.bucket = e.bucket GROUP BY 1),
+        labelled AS (SELECT s.doc_id, s.score, CASE WHEN s.score > {cfg.LEAN_SCORE} AND s.score < {cfg.STRONG_SCORE} THEN
+            CASE WHEN coalesce(n.avg_complex > n.avg_trivial, false) THEN 'complex' ELSE 'trivial' END END AS label
+          FROM fx_scored s LEFT JOIN near n ON n.doc_id = s.doc_id)
+        SELECT doc_id, score, label, CASE WHEN strong THEN 'gpt-4o' ELSE 'gpt-3.5-turbo' END AS target_model,
+          CASE WHEN strong THEN 'intensive_reasoning' ELSE 'efficiency_optimized' END AS strategy
+        FROM (SELECT *, coalesce(label = 'complex', score >= {cfg.STRONG_SCORE}) AS strong FROM labelled)""",
     "route_model_pair": """
         SELECT user_id AS tenant,
           CASE WHEN user_id % 4 = 0 THEN 'gpt-3.5-turbo' WHEN user_id % 3 = 0 THEN 'llama-3.1-8b-instant'

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatelens.functions.models import baseline_cost
+from gatelens.functions.models import baseline_cost, exact_sum
 
 
 def stream_cost_windows(log: DataFrame, size: str = "1 day", slide: str | None = None,
@@ -16,7 +16,7 @@ def stream_cost_windows(log: DataFrame, size: str = "1 day", slide: str | None =
         F.count(F.lit(1)).alias("requests"),
         F.sum("prompt_tokens").alias("prompt_tokens"),
         F.sum("completion_tokens").alias("completion_tokens"),
-        F.sum("cost").alias("cost"),
+        exact_sum(F.col("cost")).alias("cost"),
     )
     saved = baseline_cost(F.col("prompt_tokens"), F.col("completion_tokens")) - F.col("cost")
     return sums.select(
