@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_SECTIONS = ("requests", "security", "cache", "routing", "cost", "stats", "streams")
+_SECTIONS = ("requests", "security", "cache", "routing", "cost", "stats", "streams", "request_path")
 
 
 def _sections():

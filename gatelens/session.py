@@ -50,3 +50,14 @@ def shared_dir(spark: SparkSession) -> str:
 def fresh_path(spark: SparkSession, purpose: str) -> str:
     """A new, unused folder under the shared one."""
     return f"{shared_dir(spark)}/gatelens/{purpose}-{uuid.uuid4().hex}"
+
+
+def work_table(df, purpose: str):
+    """The same rows, read from a table written once under the shared folder.
+
+    For rows that are dear to compute and used several times; what follows is cut
+    off from their lineage and survives lost executors.
+    """
+    path = fresh_path(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
