@@ -130,13 +130,18 @@ def fit(docs: DataFrame, ratings: DataFrame, most: int = MAX_EXAMPLES, buckets:
         return [[n.tolist() for n, _ in found], [v.tolist() for _, v in found]]
 
     rows = with_struct(joined.select("text", "grade"), "x", "numbers array<int>, values array<float>", run)
-    table = rows.select("grade", "x.*").toArrow()  # bounded by ``most``
-    found = [
-        (grade, np.array(n, np.int64), np.array(v, float))
-        for grade, n, v in zip(*(table.column(c).to_pylist() for c in ("grade", "numbers", "values")), strict=True)
-    ]
-    found.sort(key=lambda f: (f[0], f[1].tobytes(), f[2].tobytes()))  # sums do not depend on how rows arrive
-    return fit_ordinal([(n, v) for _, n, v in found], np.array([g for g, *_ in found], float), buckets)
+    table = rows.select("grade", "x.*").toArrow().combine_chunks()  # bounded by ``most``
+    numbers, values = (_parts(table.column(c)) for c in ("numbers", "values"))
+    grades = table.column("grade").to_numpy()
+    # Sums do not depend on how the rows arrive.
+    order = sorted(range(len(grades)), key=lambda i: (grades[i], numbers[i].tobytes(), values[i].tobytes()))
+    return fit_ordinal([(numbers[i], values[i]) for i in order], grades[order], buckets)
+
+
+def _parts(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The lists of an Arrow column as slices of one array."""
+    lists = [chunk for chunk in column.chunks if len(chunk)]
+    return [part for c in lists for part in np.split(c.flatten().to_numpy(), np.cumsum(c.value_lengths().to_numpy())[:-1])]
 
 
 def graded(docs: DataFrame, model: Model, result: str = "quality") -> DataFrame:
