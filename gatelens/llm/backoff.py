@@ -30,6 +30,7 @@ ALPHA = 0.4
 ORDER = 2
 BLOCK_BYTES = 8 << 20  # of text
 BUCKET_GRAMS = 2_000_000  # entries of a bucket, about
+PER_TASK = 2  # blocks or buckets that a task gets, on average
 _EMPTY = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -145,8 +146,11 @@ def backoff_scores(
     buckets = max(1, -(-all_words * order // bucket_grams))
     # By place in the input, so that no id or text can fill a block.
     block = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks))
-    dealt = docs.select("doc_id", "text", block.alias("block")).repartition("block")
-    answers = _totals(_requests(dealt, order, buckets))
+    # As many tasks as the data need, so that what one holds does not grow with the input.
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = lambda n: max(least, -(-n // PER_TASK))
+    dealt = docs.select("doc_id", "text", block.alias("block")).repartition(tasks(blocks), "block")
+    answers = _totals(_requests(dealt, order, buckets).repartition(tasks(buckets), "bucket"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_words long, score_sum double, score_mean double"
 
