@@ -28,7 +28,7 @@ MOST_REPEATED = 50  # per cent of words in windows found twice
 LEAST = 30
 REACH = 3  # quartile distances
 #: Slack of each rule, in its unit.
-SLACK = {"symbols": 50, "dup_lines": 350, "repeats": 300, "capitals": 100, "marks": 50, "word_length": 150}
+SLACK = {"symbols": 50, "dup_lines": 350, "repeats": 400, "capitals": 100, "marks": 50, "word_length": 150}
 FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, " + ", ".join(
     f"{rule} long" for rule in SLACK
 )
