@@ -15,6 +15,7 @@ ids are packed one by one.  Other columns of the input are not carried.
 
 from __future__ import annotations
 
+import base64
 import re
 from collections.abc import Iterator
 
@@ -44,10 +45,10 @@ class _Ids(dict):
 
     def __init__(self, ranks_path: str, pattern: str):
         import tiktoken
-        from tiktoken.load import load_tiktoken_bpe
 
         super().__init__()
-        ranks = load_tiktoken_bpe(ranks_path)
+        with open(ranks_path, "rb") as lines:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.encode = tiktoken.Encoding("chunks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def __missing__(self, chunk: str) -> bytes:
