@@ -34,7 +34,7 @@ WINDOW = 2048
 END_ID = 1
 CACHED_CHUNKS = 400_000  # of a task; then the memory starts anew
 CACHED_CHARS = 48  # longer chunks are not remembered
-_SPACE = "\t-\r \x85\xa0  -     　"  # White_Space
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"  # White_Space
 # The pre-tokenizer never joins what these chunks keep apart.
 _CHUNK = f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 _RANKS = 1 << 44  # more pieces of one length than any corpus has
