@@ -16,6 +16,7 @@ ids are packed one by one.  Other columns of the input are not carried.
 from __future__ import annotations
 
 import base64
+import json
 import re
 from collections.abc import Iterator
 
@@ -60,12 +61,32 @@ class _Ids(dict):
         return ids
 
 
-def tokenize(docs: DataFrame, ranks_path: str, pattern: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
+def added_tokens(json_path: str) -> dict[str, int]:
+    """Added tokens of a tokenizer's JSON file and their ids; they are found in a text before all else."""
+    with open(json_path, encoding="utf-8") as file:
+        added = json.load(file)["added_tokens"]
+    if odd := [t["content"] for t in added if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]]:
+        raise ValueError(f"added tokens that are not plain strings: {odd}")
+    return {t["content"]: t["id"] for t in added}
+
+
+def tokenize(
+    docs: DataFrame,
+    ranks_path: str,
+    pattern: str,
+    window: int = WINDOW,
+    end_id: int = END_ID,
+    added: dict[str, int] | None = None,
+) -> DataFrame:
     """(doc_id, start, length, doc_tokens, ids): documents with an end token, cut into pieces of up to ``window`` ids.
 
     ``ids`` holds little-endian unsigned 32-bit numbers.  ``ranks_path`` is a byte
     BPE rank file that every executor can open, ``pattern`` its pre-tokenizer's.
+    ``added`` tokens cut a text; without them their strings are ordinary text.
     """
+    own = {content: np.array([number], "<u4").tobytes() for content, number in (added or {}).items()}
+    # The longest of those that start at one place.
+    cut = re.compile(f"({'|'.join(map(re.escape, sorted(own, key=len, reverse=True)))})").split if own else lambda t: [t]
     end = np.array([end_id], "<u4").tobytes()
     find = re.compile(_CHUNK).findall
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -75,7 +96,10 @@ def tokenize(docs: DataFrame, ranks_path: str, pattern: str, window: int = WINDO
         known = state.get("ids") or state.setdefault("ids", _Ids(ranks_path, pattern))
         rows, starts, lengths, totals, ids = [], [], [], [], []
         for row, text in enumerate(batch.column(1).to_pylist()):
-            data = b"".join(map(known.__getitem__, find(text or ""))) + end
+            parts = cut(text or "")  # every second one is an added token
+            data = b"".join(
+                own[part] if at % 2 else b"".join(map(known.__getitem__, find(part))) for at, part in enumerate(parts)
+            ) + end
             total = len(data) // 4
             for start in range(0, total, window):
                 rows.append(row)

@@ -23,7 +23,9 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def packed_pieces(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
-    pieces = packing.tokenize(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    added = packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    pieces = packing.tokenize(docs, ranks, public_tokenizers.PATTERN, added=added)
     return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
     )

@@ -100,3 +100,16 @@ def test_odd_rows_and_sequences(spark):
         assert r.ids[: 4 * r.n_ids] == data and set(r.ids[4 * r.n_ids :]) <= {0}
         assert len(r.ids) == (4 * r.n_ids if r.n_ids & (r.n_ids - 1) == 0 else 4 * 2048)
     assert packing.pack(packing.tokenize(docs.limit(0), RANKS, public_tokenizers.PATTERN)).collect() == []
+
+
+def test_added_tokens_as_the_tokenizer_finds_them(spark):
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "x  <|endoftext|> y<|endoftext|><|endoftext|>", "<|endoftext", "plain", None]
+    texts.append("word " * 2047 + "<|endoftext|> tail")
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    expected = [[*e.ids, 1] for e in own.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert expected[0] == [64, 50256, 65, 1]
+    for r in queries.packed_pieces(rows).collect():
+        piece = expected[r.doc_id][r.start : r.start + r.length]
+        assert r.doc_tokens == len(expected[r.doc_id]) and len(piece) == r.length
+        assert r.ids_crc32 == zlib.crc32(np.array(piece, "<u4").tobytes())
