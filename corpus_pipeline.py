@@ -9,8 +9,8 @@ return the columns of documents:
 4. secrets: every document stays, its secrets masked and ``n_chars`` counted anew;
 5. packing: token pieces in windows of 2048.
 
-Rows: null and empty texts pass through the stages like others, except that copies of
-one id become one document.  An empty table gives an empty table.
+Rows: null and empty texts pass through the stages like others, and so do rows without
+an id, which stay only if their group has no other.  An empty table gives an empty table.
 """
 
 from __future__ import annotations

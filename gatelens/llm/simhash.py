@@ -222,6 +222,15 @@ def _star(edges: DataFrame, emitted, with_self: bool = False) -> DataFrame:
     return rows.filter("a <> b").distinct()
 
 
+def _rooted(nodes: DataFrame, distance: int, cell_rows: int) -> DataFrame:
+    """(fp, least, root): ``nodes`` (fp, least) with the least fingerprint of their component."""
+    roots = components(links(nodes, distance, cell_rows))
+    rooted = nodes.join(roots, nodes.fp == roots.node, "left").select(
+        "fp", "least", F.coalesce("root", "fp").alias("root")
+    )
+    return written(rooted, "rooted")
+
+
 def simhash_components(
     docs: DataFrame, distance: int = MAX_DISTANCE, size: int = SHINGLE_WORDS, cell_rows: int = CELL_ROWS
 ) -> DataFrame:
@@ -232,11 +241,7 @@ def simhash_components(
     """
     own = written(fingerprints(docs, size), "fingerprints")
     nodes = written(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-nodes")
-    roots = components(links(nodes, distance, cell_rows))
-    rooted = nodes.join(roots, nodes.fp == roots.node, "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
-    rooted = written(rooted, "rooted")
+    rooted = _rooted(nodes, distance, cell_rows)
     tops = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = written(rooted.join(tops, "root").select("fp", "component_id"), "components")
     return own.join(named, "fp").select("doc_id", "fp", "component_id")
@@ -245,10 +250,22 @@ def simhash_components(
 def near_duplicates_removed(docs: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:
     """The documents with one row of each component: that with the smallest doc_id.
 
-    Of rows with the same doc_id one stays.  Rows without a doc_id stay, as no
-    decision can name them.
+    Rows without a doc_id come last, and hashes decide between rows with one doc_id,
+    so that the same row stays in every run.  Only rows alike in all columns collapse
+    by their key; other rows with one doc_id are documents of their own.
     """
-    decided = simhash_components(docs, distance)
-    keep = decided.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.filter(F.col("doc_id").isNotNull()).join(written(keep, "kept-ids"), "doc_id", "left_semi")
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.filter(F.col("doc_id").isNull()))
+    rest = F.to_json(F.struct(*[c for c in docs.columns if c != "text"]), {"ignoreNullFields": "false"})
+    version = F.concat(F.coalesce(F.md5("text"), F.lit("")), F.lit("-"), F.md5(rest))
+    keyed = docs.withColumn("__version", version)
+
+    def run(batch: pa.RecordBatch) -> list:
+        return [batch.column(0), batch.column(1), [fingerprint(lower_words(t)) for t in batch.column(2).to_pylist()]]
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    own = map_rows(keyed.select("doc_id", "__version", "text"), run, f"doc_id {kind}, version string, fp long")
+    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "version")
+    nodes = written(own.groupBy("fp").agg(F.min(key).alias("least")), "fingerprint-nodes")
+    tops = _rooted(nodes, distance, CELL_ROWS).groupBy("root").agg(F.min("least").alias("least"))
+    keep = written(tops.select(F.col("least.doc_id").alias("__id"), F.col("least.version").alias("__of")), "kept-keys")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__version") == F.col("__of"))
+    return keyed.join(keep, same, "left_semi").dropDuplicates(["doc_id", "__version"]).drop("__version")

@@ -84,3 +84,17 @@ def test_odd_rows(spark):
     assert simhash.simhash_components(empty).collect() == []
     kept = simhash.near_duplicates_removed(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(r.doc_id or -1 for r in kept) == [-1, 1, 3, 7]
+
+
+def test_one_row_of_each_component_stays(spark):
+    some = lambda seed: " ".join(str(random.Random(seed + k).random()) for k in range(0, 9000, 100))
+    a, b, c = some(1), some(2), some(3)
+    rows = [(5, a, "x"), (5, b, "x"), (1, b, "x"), *[(None, c, "x")] * 5, (None, a, "x"), (None, c, "y"), (7, None, "x")]
+    for own in (rows, rows[::-1]):
+        docs = spark.createDataFrame(own, "doc_id long, text string, lang string").repartition(3)
+        kept = simhash.near_duplicates_removed(docs).collect()
+        assert sorted((r.doc_id or -1, r.text or "") for r in kept) == sorted([(5, a), (1, b), (-1, c), (7, "")])
+        assert kept[0].asDict().keys() == {"doc_id", "text", "lang"}
+    alone = spark.createDataFrame([(4, a), (4, b), (4, a), (None, c)], "doc_id long, text string")
+    kept = simhash.near_duplicates_removed(alone).collect()
+    assert sorted((r.doc_id or -1, r.text) for r in kept) == sorted([(4, a), (4, b), (-1, c)])
