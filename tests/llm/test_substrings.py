@@ -80,3 +80,50 @@ def test_odd_rows(spark):
     assert [n for d, n in by if d == "3"].count(len(text)) == 2 or sorted(n for d, n in by if d == "3")[-1] >= len(text)
     assert next(n for d, n in by if d == "None") < 120 and next(n for d, n in by if d == "4") < 120
     assert substrings.without_copies(docs.limit(0)).collect() == []
+
+
+def test_short_passages_go_whole(spark):
+    rng = random.Random(12)
+    some = lambda n, size: " ".join("".join(rng.choice("abcdefghijklmnoprstuß") for _ in range(size)) for _ in range(n))
+    passages = [some(51 + i % 10, 3 + i % 4) for i in range(150)]
+    rows, rest = [], {}
+    for i in range(450):
+        before, after = some(40, 6), some(40, 6)
+        before, after = f"{before}{i // 150}", f"{i // 150}{after}"  # no byte beside a passage is equal
+        rows.append((i, before + "{" + passages[i % 150] + "}" + after))
+        rest[i] = rows[-1][1] if i < 150 else before + "{}" + after
+    found = substrings.without_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in found} == {
+        i: text.replace("{}", "") if i >= 150 else text for i, text in rest.items()
+    }
+    assert [(r.doc_id, r.copies.first_docs) for r in found if r.doc_id >= 150 and r.copies.first_docs != [r.doc_id % 150]] == []
+
+
+def exact(docs):
+    """doc_id -> text without bytes in windows of MIN_RUN bytes that stand at an earlier place."""
+    seen, out, size = set(), {}, substrings.MIN_RUN
+    for doc_id, text in sorted(docs):
+        data, spans = (text or "").encode(), []
+        for at in range(len(data) - size + 1):
+            window = data[at : at + size]
+            if window not in seen:
+                seen.add(window)
+            elif spans and at <= spans[-1][1]:
+                spans[-1][1] = at + size
+            else:
+                spans.append([at, at + size])
+        for a, b in reversed(spans):
+            while data[a] & 0xC0 == 0x80:
+                a += 1
+            while b < len(data) and data[b] & 0xC0 == 0x80:
+                b -= 1
+            data = data[:a] + data[b:]
+        out[doc_id] = data.decode()
+    return out
+
+
+def test_every_copied_window_goes(spark, sf_dir):
+    docs = [(d.doc_id, d.text) for d in documents(spark, sf_dir).collect()]
+    found = {r.doc_id: r.text for r in queries.op1_substring_dedup(spark, sf_dir).collect()}
+    expected = exact(docs)
+    assert {i: (len(found[i]), len(expected[i])) for i in expected if found[i] != expected[i]} == {}
