@@ -94,7 +94,8 @@ def with_struct(df: DataFrame, name: str, fields: str, function) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                found = [pa.array(c, t) for c, t in zip(function(batch), arrow, strict=True)]
+                columns = zip(function(batch), arrow, strict=True)
+                found = [c.cast(t) if isinstance(c, pa.Array) else pa.array(c, t) for c, t in columns]
                 struct = pa.StructArray.from_arrays(found, names)
                 yield pa.RecordBatch.from_arrays([*batch.columns, struct], schema=whole)
 

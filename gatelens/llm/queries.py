@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatelens.llm import backoff, chat, decontaminate, ordinal, packing, quality_rules, secret_scan, simhash, substrings, toxicity
+from gatelens.llm import (
+    backoff,
+    chat,
+    decontaminate,
+    infill,
+    ordinal,
+    packing,
+    quality_rules,
+    secret_scan,
+    simhash,
+    substrings,
+    toxicity,
+)
 from gatelens.llm.common import documents
 
 
@@ -214,6 +226,47 @@ def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = infill.infilled(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "infill.*")
+    return infill.restored(parts).select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2("restored.text", 256).alias("restored_sha256"),
+    )
+
+
+OP11_SQL = rf"""
+WITH tokens AS (
+    SELECT doc_id, coalesce(text, '') AS text, sha256('{infill.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+           regexp_extract_all(coalesce(text, ''), '[ 	-]*[^ 	-]+|[ 	-]+') AS t
+    FROM documents
+), draws AS (
+    SELECT *, CAST(len(t) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+           CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4
+    FROM tokens
+), cuts AS (
+    SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+           CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR h3 % 100 >= {infill.PERCENT} THEN 'plain'
+                WHEN h4 % 100 < {infill.SPM_PERCENT} THEN 'spm' ELSE 'psm' END AS form
+    FROM draws
+), parts AS (
+    SELECT *, array_to_string(t[1:a], '') AS prefix, array_to_string(t[a + 1:b], '') AS middle,
+           array_to_string(t[b + 1:], '') AS suffix
+    FROM cuts
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                   ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_packing": op2_packing,
@@ -225,5 +278,10 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_simhash_components": op10_simhash_components,
+    "op11_fill_in_middle": op11_fill_in_middle,
+}
+SQL: dict[str, str] = {
+    "op3_decontaminate": OP3_SQL,
+    "op4_quality_rules": OP4_SQL,
+    "op11_fill_in_middle": OP11_SQL,
 }
-SQL: dict[str, str] = {"op3_decontaminate": OP3_SQL, "op4_quality_rules": OP4_SQL}
