@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatelens.llm import (
+    anchors,
     backoff,
     chat,
     decontaminate,
@@ -18,7 +19,7 @@ from gatelens.llm import (
     substrings,
     toxicity,
 )
-from gatelens.llm.common import documents
+from gatelens.llm.common import documents, written
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,7 +243,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP11_SQL = rf"""
 WITH tokens AS (
     SELECT doc_id, coalesce(text, '') AS text, sha256('{infill.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
-           regexp_extract_all(coalesce(text, ''), '[ 	-]*[^ 	-]+|[ 	-]+') AS t
+           regexp_extract_all(coalesce(text, ''), '[ 	-
+]*[^ 	-
+]+|[ 	-
+]+') AS t
     FROM documents
 ), draws AS (
     SELECT *, CAST(len(t) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
@@ -266,6 +270,14 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BI
 FROM parts
 """
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, books = anchors.vector_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label", "embedding"))
+    rows = written(found.select("vec_id", "label", "pq.code", "pq.error"), "vector-codes")
+    totals = rows.groupBy(F.col("label").alias("__label")).agg(F.sum("error").alias("label_error"))
+    return rows.join(totals, F.col("label").eqNullSafe(F.col("__label"))).select(
+        "vec_id", "code", "error", "label_error", F.lit(anchors.books_sha256(books)).alias("codebooks_sha256")
+    )
+
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
@@ -279,6 +291,7 @@ QUERIES = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_simhash_components": op10_simhash_components,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_vector_codes": op12_vector_codes,
 }
 SQL: dict[str, str] = {
     "op3_decontaminate": OP3_SQL,
