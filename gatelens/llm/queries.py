@@ -10,6 +10,7 @@ from gatelens.llm import (
     backoff,
     chat,
     decontaminate,
+    hyperminhash,
     infill,
     ordinal,
     packing,
@@ -278,6 +279,15 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "vec_id", "code", "error", "label_error", F.lit(anchors.books_sha256(books)).alias("codebooks_sha256")
     )
 
+def op13_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = hyperminhash.near_components(documents(spark, sf_dir))
+    return found.select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        "component_id",
+        F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
+    )
+
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
@@ -292,6 +302,7 @@ QUERIES = {
     "op10_simhash_components": op10_simhash_components,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_vector_codes": op12_vector_codes,
+    "op13_minhash_components": op13_minhash_components,
 }
 SQL: dict[str, str] = {
     "op3_decontaminate": OP3_SQL,
