@@ -12,18 +12,21 @@ cell.  Orders run over occupied registers, so bands are as telling for short tex
 long ones, and a pair at the least similarity shares none of the cells with odds of about
 10**-9.  Very short texts also get bands of two registers.
 
-All pairs of a cell are never made.  In every hub round each cell names one member its
-hub, by a hash that differs from round to round, and each node is compared with the hub
-it shares most cells with, unless both are already in one component; a pair goes on if
-sizes and estimate allow it, and counts only if the full sets confirm it.  Rounds go on
-until one links nothing.  Cells that then still hold several components are compared
-register by register, in blocks, between components only, and what passes is confirmed
-on full sets too.  So big groups of near copies are joined by hubs, and no pair that
-shares a cell is left out.
+All pairs of a cell are never made.  In each of a few hub rounds, every one over its
+share of the bands, a cell names one member its hub, and each node is compared with the
+hub it shares most cells with, unless both are already in one component; a pair counts
+if sizes and estimate allow it and the full sets confirm it.  Cells that then still hold
+several components are compared register by register, in blocks and between components
+only.  First each cell gives the most similar pairs that would span its components, and
+these are confirmed, again and again until none is; what still holds apart then has all
+its possible pairs confirmed.  So big
+groups of near copies are joined by few pairs, and no pair that shares a cell is left out.
+Sets and sketches are written once, bucketed by node, and joins do not shuffle them.
 
 An estimate stops a pair only if it lies more than ``SIGMAS`` standard deviations below
 the least similarity, or if more registers differ than the two sets may differ in
-elements, which is exact.  Two different shingles share a hash with odds of 2**-64.
+elements, which is exact.  Shingles are told apart by 64-bit hashes, and so are the
+documents that stand for a set.
 
 Rows: null texts, and such without words, have an empty set and are their own component.
 With fewer than four words the whole sequence is the one shingle.  A null ``doc_id``
@@ -36,16 +39,18 @@ from __future__ import annotations
 import functools
 import itertools
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatelens.llm.common import lower_words, map_rows, written
 from gatelens.llm.simhash import components
+from gatelens.session import fresh_path
 
 SHINGLE_WORDS = 4
 PERCENT = 80  # least intersection, of the union
@@ -53,6 +58,7 @@ BUCKETS, MANTISSA = 256, 10
 BANDS, BAND, SHORT_BAND = 51, 5, 2
 SHORT = 8  # sketches with at most so many occupied registers get short bands too
 SIGMAS = 5
+HUB_ROUNDS = 3
 CELL_ROWS = 1024  # members of a cell compared at a time
 EMPTY = 0xFFFF
 _HASH_BITS = 52  # of a hash behind its bucket, as many as a float holds exactly
@@ -146,7 +152,7 @@ def may_be_near(a, b, size_a, size_b, percent: int = PERCENT) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, version, n, high, low, sketch) of every document; ``version`` tells texts with one doc_id apart."""
+    """(doc_id, place, n, high, low, sketch) of every document; ``place`` is a hash of id and text."""
 
     def run(batch: pa.RecordBatch) -> list:
         sizes, digests, sketches = [], [], []
@@ -159,131 +165,138 @@ def signatures(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
         return [batch.column(0), batch.column(1), sizes, pa.array(halves[:, 0]), pa.array(halves[:, 1]), sketches]
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("version"), "text")
-    return map_rows(keyed, run, f"doc_id {kind}, version long, n long, high long, low long, sketch binary")
+    keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("place"), "text")
+    return map_rows(keyed, run, f"doc_id {kind}, place long, n long, high long, low long, sketch binary")
 
 
 def _nodes(own: DataFrame) -> DataFrame:
-    """One row per distinct set: a number, its least doc_id, one document that has it, size and sketch."""
-    place = F.struct("doc_id", "version")
+    """(node, high, low, least, sketch), one row per distinct set; a node is the place of a document that has it."""
     found = own.filter("n > 0").groupBy("high", "low").agg(
-        F.min("doc_id").alias("least"), F.min(place).alias("place"), F.first("n").alias("n"), F.first("sketch").alias("sketch")
+        F.min("place").alias("node"), F.min("doc_id").alias("least"), F.first("sketch").alias("sketch")
     )
-    return written(found.withColumn("node", F.monotonically_increasing_id()), "set-nodes")
+    return written(found, "set-nodes")
 
 
 def _cells(nodes: DataFrame) -> DataFrame:
-    """(cell, node) of all cells with several nodes."""
+    """(cell, node, turn) of all cells with several nodes; ``turn`` is the hub round of the cell's band."""
 
     def run(batch: pa.RecordBatch) -> list:
         own = [bands(np.frombuffer(s, np.uint16)) for s in batch.column(1).to_pylist()]
-        rows = np.repeat(np.arange(len(own)), [len(b) for b in own])
-        return [pa.array(np.concatenate(own)), batch.column(0).take(pa.array(rows))]
+        lengths = [len(b) for b in own]
+        turns = np.concatenate([np.arange(n) % HUB_ROUNDS for n in lengths]).astype(np.int32)
+        rows = np.repeat(np.arange(len(own)), lengths)
+        return [pa.array(np.concatenate(own)), batch.column(0).take(pa.array(rows)), pa.array(turns)]
 
-    every = map_rows(nodes.select("node", "sketch"), run, "cell long, node long")
+    every = map_rows(nodes.select("node", "sketch"), run, "cell long, node long, turn int")
     several = every.groupBy("cell").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("cell")
-    return every.join(written(several, "shared-cells"), "cell")
+    return written(every.join(written(several, "shared-cells"), "cell"), "cells")
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, needed: DataFrame, size: int) -> DataFrame:
-    """(node, hashes) of the nodes that have partners at all."""
+def _full(docs: DataFrame, needed: DataFrame, size: int) -> DataFrame:
+    """(node, n, sketch, hashes) of the nodes that have partners at all, in buckets by node."""
 
     def run(batch: pa.RecordBatch) -> list:
-        return [batch.column(0), [shingle_set(lower_words(t), size).view(np.int64) for t in batch.column(1).to_pylist()]]
+        sets = [shingle_set(lower_words(t), size) for t in batch.column(1).to_pylist()]
+        sketches = [registers(s).tobytes() for s in sets]
+        return [batch.column(0), [len(s) for s in sets], sketches, [s.tobytes() for s in sets]]
 
-    places = nodes.join(needed, "node", "left_semi").select(
-        "node", F.col("place.doc_id").alias("__id"), F.col("place.version").alias("__of")
-    )
-    texts = docs.select("doc_id", F.xxhash64("text").alias("version"), "text")
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("version") == F.col("__of"))
-    found = texts.join(places, same).select("node", "text").dropDuplicates(["node"])
-    return written(map_rows(found, run, "node long, hashes array<long>"), "full-sets")
+    spark = docs.sparkSession
+    texts = docs.select(F.xxhash64("doc_id", "text").alias("node"), "text").groupBy("node").agg(F.first("text").alias("text"))
+    rows = map_rows(texts.join(needed, "node", "left_semi"), run, "node long, n long, sketch binary, hashes binary")
+    name, buckets = f"full_sets_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = fresh_path(spark, "full-sets")
+    rows.write.bucketBy(buckets, "node").option("path", path).format("parquet").saveAsTable(name)
+    return spark.table(name)
 
 
 # -- pairs -----------------------------------------------------------------------------
 
 
-def _with(pairs: DataFrame, table: DataFrame, column: str, side: str) -> DataFrame:
-    """Pairs with a column of one side's node."""
-    own = table.select(F.col("node").alias(side), F.col(column).alias(f"{column}_{side}"))
-    return pairs.join(own, side)
-
+def _side(table: DataFrame, side: str) -> DataFrame:
+    return table.select(F.col("node").alias(side), F.struct("n", "sketch", "hashes").alias(f"own_{side}"))
 
-def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose sketches allow the least similarity."""
-    sketched = nodes.select("node", F.struct("sketch", "n").alias("own"))
-    both = _with(_with(pairs, sketched, "own", "a"), sketched, "own", "b")
 
-    def run(batch: pa.RecordBatch) -> list:
-        sides = []
-        for k in (2, 3):
-            own = batch.column(k)
-            rows = np.frombuffer(b"".join(own.field("sketch").to_pylist()), np.uint16).reshape(-1, BUCKETS)
-            sides.append((rows, own.field("n").to_numpy()))
-        (a, n_a), (b, n_b) = sides
-        near = pa.array(may_be_near(a, b, n_a, n_b, percent))
-        return [batch.column(0).filter(near), batch.column(1).filter(near)]
+def _sketches(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, BUCKETS)
 
-    return map_rows(both.select("a", "b", "own_a", "own_b"), run, "a long, b long")
 
+def _near(both: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that sketches allow and full sets confirm."""
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose full sets are similar enough."""
-    both = _with(_with(pairs, sets, "hashes", "a"), sets, "hashes", "b")
-    common = F.size(F.array_intersect("hashes_a", "hashes_b"))
-    union: Column = F.size("hashes_a") + F.size("hashes_b") - F.col("common")
-    near = both.select("a", "b", "hashes_a", "hashes_b", common.cast("long").alias("common"))
-    return near.filter(F.col("common") * 100 >= union * percent).select("a", "b")
+    def run(batch: pa.RecordBatch) -> list:
+        x, y = batch.column(2), batch.column(3)
+        n_x, n_y = x.field("n").to_numpy(), y.field("n").to_numpy()
+        possible = may_be_near(_sketches(x.field("sketch")), _sketches(y.field("sketch")), n_x, n_y, percent)
+        near = np.zeros(batch.num_rows, bool)
+        sets_x, sets_y = x.field("hashes"), y.field("hashes")
+        for i in np.nonzero(possible)[0].tolist():
+            one, two = (np.frombuffer(s[i].as_buffer(), np.uint64) for s in (sets_x, sets_y))
+            common = len(np.intersect1d(one, two, assume_unique=True))
+            near[i] = 100 * common >= percent * (len(one) + len(two) - common)
+        keep = pa.array(near)
+        return [batch.column(0).filter(keep), batch.column(1).filter(keep)]
 
+    return map_rows(both.select("a", "b", "own_a", "own_b"), run, "a long, b long")
 
-def _hub_pairs(cells: DataFrame, turn: int) -> DataFrame:
-    """(a, b): each node with the hub it shares most cells with, of those outside its component."""
-    order = F.xxhash64("node", F.lit(turn))
-    hubs = cells.groupBy("cell").agg(F.min_by(F.struct("node", "root"), order).alias("hub"))
-    pairs = cells.join(hubs, "cell").filter("root <> hub.root")
-    shared = pairs.groupBy(F.col("hub.node").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("cells"))
-    best = shared.groupBy("b").agg(F.max(F.struct("cells", F.xxhash64("a", F.lit(turn)).alias("draw"), "a")).alias("best"))
-    return best.select("best.a", "b")
 
+def _hub_links(cells: DataFrame, full: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Confirmed (a, b) of each node b with the hub it shares most cells with, of those outside its component."""
+    hub = F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(turn))).alias("hub")
+    hubs = cells.groupBy("cell").agg(hub, F.min("root").alias("least"), F.max("root").alias("most"))
+    pairs = cells.join(hubs.filter("least <> most").select("cell", "hub"), "cell").filter("root <> hub.root")
+    mine = pairs.select(F.col("node").alias("b"), F.col("hub.node").alias("a")).repartition("b")
+    shared = mine.groupBy("b", "a").agg(F.count(F.lit(1)).alias("cells"))
+    best = shared.groupBy("b").agg(F.max_by("a", F.struct("cells", F.xxhash64("a", F.lit(turn)))).alias("a"))
+    pairs = written(best, "hub-pairs")
+    # Every node is one b at most; hubs are few, and a busy one is split by the adaptive join.
+    own_hubs = written(full.join(pairs.select(F.col("a").alias("node")).distinct(), "node"), "hubs")
+    return _near(pairs.join(_side(full, "b"), "b").join(_side(own_hubs, "a"), "a"), percent)
 
-def _open(cells: DataFrame) -> DataFrame:
-    """The rows of cells with several components."""
-    several = cells.groupBy("cell").agg(F.min("root").alias("least"), F.max("root").alias("most"))
-    return cells.join(several.filter("least <> most").select("cell"), "cell", "left_semi")
 
+def _rest_pairs(cells: DataFrame, full: DataFrame, percent: int, cell_rows: int, every: bool) -> DataFrame:
+    """(a, b) between components within a cell whose sketches allow the least similarity.
 
-def _rest_pairs(cells: DataFrame, nodes: DataFrame, percent: int, cell_rows: int) -> DataFrame:
-    """(a, b): all pairs between components within a cell whose sketches allow the least similarity."""
-    sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("members"))
-    full = written(sizes.select("cell", F.ceil(F.col("members") / cell_rows).alias("blocks")).filter("blocks > 1"), "full-cells")
+    All of them, or the pairs with the best estimates that span what they connect.
+    """
+    several = cells.groupBy("cell").agg(
+        F.min("root").alias("least"), F.max("root").alias("most"), F.ceil(F.count(F.lit(1)) / cell_rows).alias("blocks")
+    )
+    several = written(several.filter("least <> most").select("cell", "blocks"), "open-cells")
     dealt = (
-        cells.join(full, "cell", "left")
-        .withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+        cells.join(several, "cell")
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         .withColumn("pair", F.least("block", "other") * F.col("blocks") + F.greatest("block", "other"))
-        .withColumn("within", F.col("blocks") == 1)
-        .select("cell", "pair", "block", "within", "node", "root")
+        .select("cell", "pair", "block", "node", "root")
     )
-    rows = dealt.join(nodes.select("node", "n", "sketch"), "node")
-    rows = rows.select("cell", "pair", "block", "node", "root", "n", "sketch")
+    rows = dealt.join(full.select("node", "n", "sketch"), "node")
     ordered = rows.repartition("cell", "pair").sortWithinPartitions("cell", "pair", "block")
 
-    def group(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        block, node, root, n = (table.column(k).to_numpy() for k in range(2, 6))
-        sketch = np.frombuffer(b"".join(table.column(6).to_pylist()), np.uint16).reshape(-1, BUCKETS)
+    def group(table: pa.Table) -> list[np.ndarray]:
+        block, node, root, n = (table.column(k).to_numpy() for k in ("block", "node", "root", "n"))
+        sketch = _sketches(table.column("sketch"))
         two = block[0] != block[-1]
-        a, b = [], []
+        i_all, j_all, guesses = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
         for i in range(len(node) - 1):
             later = np.arange(i + 1, len(node))
             later = later[(root[later] != root[i]) & ((block[later] != block[i]) if two else True)]
-            near = later[may_be_near(sketch[[i]], sketch[later], n[i], n[later], percent)]
-            a.append(np.full(len(near), node[i]))
-            b.append(node[near])
-        if not a:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        a, b = np.concatenate(a), np.concatenate(b)
-        return np.minimum(a, b), np.maximum(a, b)
+            later = later[100 * np.minimum(n[later], n[i]) >= percent * np.maximum(n[later], n[i])]
+            later = later[may_be_near(sketch[[i]], sketch[later], n[[i]], n[later], percent)]
+            i_all.append(np.full(len(later), i))
+            j_all.append(later)
+            guesses.append(estimate(sketch[[i]], sketch[later], n[[i]], n[later])[0])
+        i, j, guess = (np.concatenate(c) for c in (i_all, j_all, guesses))
+        turned = root[i] > root[j]
+        i, j = np.where(turned, j, i), np.where(turned, i, j)
+        if not every and len(i):
+            order = np.lexsort((-guess, root[j], root[i]))
+            first = np.ones(len(order), bool)
+            first[1:] = (np.diff(root[i][order]) != 0) | (np.diff(root[j][order]) != 0)
+            best = order[first]
+            best = best[np.argsort(-guess[best], kind="stable")]
+            keep = best[_spanning(root[i[best]].tolist(), root[j[best]].tolist())]
+            i, j, guess = i[keep], j[keep], guess[keep]
+        return [node[i], node[j], root[i], root[j], guess]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -292,16 +305,46 @@ def _rest_pairs(cells: DataFrame, nodes: DataFrame, percent: int, cell_rows: int
             if not parts or (batch is not None and not batch.num_rows):
                 continue
             table = pa.Table.from_batches(parts)
-            cell, pair = table.column(0).to_numpy(), table.column(1).to_numpy()
+            cell, pair = table.column("cell").to_numpy(), table.column("pair").to_numpy()
             new = np.ones(len(cell), bool)
             new[1:] = (cell[1:] != cell[:-1]) | (pair[1:] != pair[:-1])
             starts = np.append(np.nonzero(new)[0], len(cell))
             held = [] if batch is None else table.slice(int(starts[-2])).to_batches()
-            for at, to in itertools.pairwise(starts[: None if batch is None else -1].tolist()):
-                a, b = group(table.slice(at, to - at).combine_chunks())
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            groups = [table.slice(at, to - at) for at, to in itertools.pairwise(starts[: None if batch is None else -1].tolist())]
+            columns = [np.concatenate(c) for c in zip(*[group(g.combine_chunks()) for g in groups], strict=True)]
+            if columns and len(columns[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "root_a", "root_b", "guess"])
 
-    return ordered.mapInArrow(run, "a long, b long").distinct()
+    found = ordered.mapInArrow(run, "a long, b long, root_a long, root_b long, guess double")
+    if every:
+        return found.select("a", "b").distinct()
+    best = F.max_by(F.struct("a", "b"), F.struct("guess", "a", "b")).alias("best")
+    return found.groupBy("root_a", "root_b").agg(best).select("best.*")
+
+
+def _spanning(a: list[int], b: list[int]) -> list[int]:
+    """Places of the pairs that connect something not yet connected by those before."""
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := above.get(x, x)) != x:
+            above[x] = x = above.get(up, up)
+        return x
+
+    keep = []
+    for k, (x, y) in enumerate(zip(a, b, strict=True)):
+        x, y = top(x), top(y)
+        if x != y:
+            above[x] = y
+            keep.append(k)
+    return keep
+
+
+def _rest_links(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """The confirmed ones of any pairs."""
+    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    own = written(full.join(named, "node"), "rest-sets")
+    return _near(pairs.join(_side(own, "a"), "a").join(_side(own, "b"), "b"), percent)
 
 
 # -- components ------------------------------------------------------------------------
@@ -317,33 +360,37 @@ def near_components(
     """
     own = written(signatures(docs, size), "signatures")
     nodes = _nodes(own)
-    cells = written(_cells(nodes).withColumn("root", F.col("node")), "cells")
-    sets = _sets(docs, nodes, cells.select("node").distinct(), size)
-    roots = nodes.select("node", F.col("node").alias("root"))
-    for turn in itertools.count():
-        cells = written(_open(cells), "open-cells")
-        pairs = written(_hub_pairs(cells, turn), "hub-pairs")
-        found = written(_confirmed(_possible(pairs, nodes, percent), sets, percent), "hub-links")
-        if found.isEmpty():
+    cells = _cells(nodes)
+    alone = written(cells.select("node").distinct(), "nodes-with-partners")
+    full = _full(docs, alone, size)
+    roots = alone.withColumn("root", F.col("node"))
+    for turn in range(HUB_ROUNDS):
+        rooted = cells.filter(F.col("turn") == turn).join(roots, "node")
+        found = written(_hub_links(rooted, full, turn, percent), "hub-links")
+        roots = _joined(found, roots)
+    for every in (False, True):
+        while True:
+            pairs = written(_rest_pairs(cells.join(roots, "node"), full, percent, cell_rows, every), "rest-pairs")
+            found = written(_rest_links(pairs, full, percent), "rest-links")
+            if found.isEmpty():
+                break
+            roots = _joined(found, roots)
+            if every:
+                break
+        if pairs.isEmpty():
             break
-        cells, roots = _joined(found, cells, roots)
-    rest = written(_rest_pairs(cells, nodes, percent, cell_rows), "rest-pairs")
-    found = written(_confirmed(rest, sets, percent), "rest-links")
-    if not found.isEmpty():
-        cells, roots = _joined(found, cells, roots)
-    tops = nodes.join(roots, "node").groupBy("root").agg(F.min("least").alias("component_id"))
-    named = nodes.join(roots, "node").join(tops, "root").select("high", "low", "component_id")
-    linked = own.filter("n > 0").join(written(named, "named-sets"), ["high", "low"]).select("doc_id", "n", "component_id")
+    to = F.coalesce("root", "node")
+    placed = written(nodes.join(roots, "node", "left").select("high", "low", "least", to.alias("root")), "placed-sets")
+    tops = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = written(placed.join(tops, "root").select("high", "low", "component_id"), "named-sets")
+    linked = own.filter("n > 0").join(named, ["high", "low"]).select("doc_id", "n", "component_id")
     return linked.unionAll(own.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
 
 
-def _joined(found: DataFrame, cells: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Cells and roots after more links between nodes."""
-    links = _with(_with(found, roots, "root", "a"), roots, "root", "b")
+def _joined(found: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, root) after more links between nodes."""
+    end = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+    links = found.join(end("a"), "a").join(end("b"), "b")
     moved = components(links.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
     moved = written(moved.select(F.col("node").alias("root"), F.col("root").alias("to")).filter("root <> to"), "moved")
-    to = F.coalesce("to", "root").alias("root")
-    return (
-        written(cells.join(moved, "root", "left").select("cell", "node", to), "cells"),
-        written(roots.join(moved, "root", "left").select("node", to), "roots"),
-    )
+    return written(roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots")

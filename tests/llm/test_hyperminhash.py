@@ -112,7 +112,7 @@ def test_estimate_is_near_and_free_of_chance(size):
 
 
 def test_components_equal_all_pairs(spark):
-    rows = collection(4, 250, 6)
+    rows = collection(4, 150, 6)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     assert sorted(found(docs), key=key) == sorted(brute(rows), key=key)
 
@@ -126,8 +126,11 @@ def test_large_groups_and_small_blocks(spark):
     rows = list(enumerate(rows))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = sorted(brute(rows), key=key)
-    assert sorted(found(docs), key=key) == want
-    assert sorted(found(docs, cell_rows=40), key=key) == want
+    assert sorted(found(docs, cell_rows=100), key=key) == want
+
+
+def test_spanning_pairs_connect_and_nothing_more():
+    assert hyperminhash._spanning([1, 1, 2, 4, 3], [2, 3, 3, 5, 4]) == [0, 1, 3, 4]
 
 
 def test_odd_rows(spark):
