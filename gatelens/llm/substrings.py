@@ -1,13 +1,16 @@
-"""Substring deduplication: equal passages of at least ``min_run`` bytes, found by seeds and extended bytewise.
+"""Substring deduplication: equal passages of at least ``min_run`` bytes, found by content-defined chunks.
 
 A gear hash rolls over a text's bytes.  Of every ``SPREAD`` places in a row the one
-with the least hash ends a seed of ``SEED`` bytes, so any two equal passages of
-SEED + SPREAD - 1 bytes hold a seed at the same place.  Seeds with equal 128-bit
-digests are copies; the first in order of doc_id and place stays.  Seeds that
+with the least hash is a cut, so cuts depend on nearby bytes only and an insertion moves
+no others.  The chunk between two neighbouring cuts, with the bytes that its first cut
+depends on, is digested; any two equal passages of 2 * SPREAD + 15 bytes hold a whole
+chunk at the same place.  Chunks with equal 128-bit digests are copies, called seeds
+below; the first in order of doc_id and place stays.  Seeds that
 overlap alike in both texts are one match; it is extended to both sides as far as
 the first text's neighbouring bytes are equal, less than ``SPREAD`` on either side
 where the first text holds the whole passage.  Matches of ``min_run`` bytes are
-removed, so that short phrases that many texts share stay.
+removed, so that short phrases that many texts share stay.  Where one digest repeats
+within a text, as in short periods, few of its chunks are seeds; extension covers the rest.
 
 First only 64 bits of each digest are counted, which finds the few seeds that
 occur twice; only these go on.  Frequent seeds collapse before that shuffle, and
@@ -20,6 +23,7 @@ one document and keep the same; a null doc_id comes after all others.
 
 from __future__ import annotations
 
+import itertools
 import random
 
 import numpy as np
@@ -30,11 +34,11 @@ from pyspark.sql import functions as F
 
 from gatelens.llm.common import map_rows, utf8, with_struct, written
 
-MIN_CHUNK, MAX_CHUNK = 16, 192  # bytes
-ODDS = 32  # a cut at one byte in so many, once a chunk has its least size
-SEED, SPREAD = 75, 75  # bytes of a seed; places of which one ends a seed
-MIN_RUN = 150  # bytes, at least SEED + SPREAD - 1
-CONTEXT = 192  # bytes beside a match, more than SPREAD as seeds near its ends may have other first texts
+SPREAD = 64  # places in a row of which one is a cut
+WINDOW = 16  # bytes a hash depends on
+LEAST = 2 * SPREAD + WINDOW - 1  # bytes of a passage that hold a chunk
+MIN_RUN = 150  # bytes, at least LEAST
+CONTEXT = 192  # bytes beside a match, more than a chunk as seeds near its ends may have other first texts
 _GEAR = np.array([random.Random(b).getrandbits(16) for b in range(256)], np.uint16)
 
 
@@ -46,73 +50,56 @@ def _rolled(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def seeds(data: bytes) -> tuple[list[int], list[bytes]]:
-    """Starts and digests of the seeds of a text."""
-    if len(data) < SEED + SPREAD - 1:
-        return [], []
-    h = _rolled(np.frombuffer(data, np.uint8))[SEED - 1 :].astype(np.int64)
+def chunks(data: bytes) -> list[tuple[int, int]]:
+    """(start, stop) of the chunks between neighbouring cuts, each with the bytes its first cut depends on."""
+    if len(data) < LEAST:
+        return []
+    h = _rolled(np.frombuffer(data, np.uint8))[WINDOW - 1 :].astype(np.int64)
     least, size = (h << 40) + np.arange(len(h)), 1  # the first of equal hashes
     while size < SPREAD:
         step = min(size, SPREAD - size)
         least, size = np.minimum(least[:-step], least[step:]), size + step
+    cuts = np.unique(least & ((1 << 40) - 1)).tolist()
+    return [(a, b + WINDOW) for a, b in itertools.pairwise(cuts)]
+
+
+def seeds(data: bytes) -> tuple[list[int], list[int], list[bytes]]:
+    """Starts, sizes and digests of the chunks of a text."""
     starts: list[int] = []
+    sizes: list[int] = []
     digests: list[bytes] = []
-    for start in np.unique(least & ((1 << 40) - 1)).tolist():
-        digest = xxhash.xxh3_128_digest(data[start : start + SEED])
+    for start, stop in chunks(data):
+        digest = xxhash.xxh3_128_digest(data[start:stop])
         # Of a short period the first two, which tell its length, and then few.
-        if digests[-2:] != [digest, digest] or start - starts[-1] >= SEED // 2:
+        if digests[-2:] != [digest, digest] or start - starts[-1] >= SPREAD // 2:
             starts.append(start)
+            sizes.append(stop - start)
             digests.append(digest)
-    return starts, digests
-
-
-def _cuttable(data: np.ndarray) -> np.ndarray:
-    """Places before which a text may be cut: where the hash is small, between characters."""
-    h = _rolled(data)
-    at = np.nonzero(h < (1 << 16) // ODDS)[0] + 1
-    at = at[at < len(data)]
-    return at[(data[at] & 0xC0) != 0x80]
-
-
-def chunks(data: bytes) -> list[tuple[int, int]]:
-    """(start, end) in bytes of the chunks of a text."""
-    if not data:
-        return []
-    raw, out, start = np.frombuffer(data, np.uint8), [], 0
-    for at in [*_cuttable(raw).tolist(), len(data)]:
-        while at - start > MAX_CHUNK:
-            cut = start + MAX_CHUNK
-            while raw[cut] & 0xC0 == 0x80:
-                cut -= 1
-            out.append((start, cut))
-            start = cut
-        if at - start >= MIN_CHUNK or at == len(data):
-            out.append((start, at))
-            start = at
-    return out
+    return starts, sizes, digests
 
 
 def seed_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, version, high, low, start): one row per seed; ``version`` tells texts with one doc_id apart."""
+    """(doc_id, version, high, low, start, size): one row per seed; ``version`` tells texts with one doc_id apart."""
 
     def run(batch: pa.RecordBatch) -> list:
-        rows, digests, starts = [], [], []
+        rows, digests, starts, sizes = [], [], [], []
         for row, text in enumerate(batch.column(2).to_pylist()):
-            own, of = seeds(utf8(text))
+            own, long, of = seeds(utf8(text))
             rows += [row] * len(own)
             starts += own
+            sizes += long
             digests += of
         parts = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
         at = pa.array(rows, pa.int32())
-        return [batch.column(0).take(at), batch.column(1).take(at), pa.array(parts[:, 0]), pa.array(parts[:, 1]), starts]
+        return [batch.column(0).take(at), batch.column(1).take(at), pa.array(parts[:, 0]), pa.array(parts[:, 1]), starts, sizes]
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select("doc_id", F.xxhash64("text").alias("version"), "text")
-    return map_rows(keyed, run, f"doc_id {kind}, version long, high long, low long, start int")
+    return map_rows(keyed, run, f"doc_id {kind}, version long, high long, low long, start int, size int")
 
 
 def copied_seeds(docs: DataFrame) -> DataFrame:
-    """(doc_id, version, start, first): seeds that occur earlier, and where: (unnamed, doc_id, version, start)."""
+    """(doc_id, version, start, size, first): seeds that occur earlier, and where: (unnamed, doc_id, version, start)."""
     every = seed_table(docs)
     often = every.groupBy("high").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("high")
     again = written(every.join(written(often, "often"), "high"), "seeds-again")
@@ -122,7 +109,7 @@ def copied_seeds(docs: DataFrame) -> DataFrame:
     return (
         again.join(first, ["high", "low"])
         .filter(~place.eqNullSafe(F.col("first")))
-        .select("doc_id", "version", "start", "first")
+        .select("doc_id", "version", "start", "size", "first")
     )
 
 
@@ -132,7 +119,7 @@ def matches(docs: DataFrame) -> DataFrame:
     ``place`` is where the end at ``side`` (0 before, 1 behind) lies in the first text.
     """
     shift = (F.col("start") - F.col("first.start")).alias("shift")
-    alike = F.struct("first.doc_id", "first.version", shift, "start")
+    alike = F.struct("first.doc_id", "first.version", shift, "start", "size")
     of = copied_seeds(docs).groupBy("doc_id", "version").agg(F.array_sort(F.collect_set(alike)).alias("seeds"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -142,10 +129,11 @@ def matches(docs: DataFrame) -> DataFrame:
             joined: list[list] = []
             for s in own:
                 key = (s["doc_id"], s["version"], s["shift"])
+                stop = s["start"] + s["size"]
                 if joined and joined[-1][2] == key and s["start"] <= joined[-1][1]:
-                    joined[-1][1] = s["start"] + SEED
+                    joined[-1][1] = max(stop, joined[-1][1])
                 else:
-                    joined.append([s["start"], s["start"] + SEED, key])
+                    joined.append([s["start"], stop, key])
             for start, stop, (doc, version, by) in joined:
                 rows += [row, row]
                 out += [(start, stop, doc, version, 0, start - by), (start, stop, doc, version, 1, stop - by)]
@@ -220,8 +208,8 @@ def without_copies(docs: DataFrame, min_run: int = MIN_RUN, result: str = "copie
     It holds ``starts`` and ``stops`` (code points of the old text) of what was cut,
     ``removed`` (their total) and ``first_docs``, the documents that keep it.
     """
-    if min_run < SEED + SPREAD - 1:
-        raise ValueError(f"passages below {SEED + SPREAD - 1} bytes need not hold a seed")
+    if min_run < LEAST:
+        raise ValueError(f"passages below {LEAST} bytes need not hold a chunk")
     spans = copied_spans(docs)
     keyed = docs.withColumn("__version", F.xxhash64("text")).alias("d")
     s = written(spans, "copied-spans").withColumnsRenamed({"doc_id": "__id", "version": "__of"}).alias("s")
