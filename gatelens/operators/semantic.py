@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatelens import settings as cfg
@@ -42,40 +42,54 @@ def semantic_top1(
     """
     timed = "arrival" in queries.columns
     by = F.col("tenant") if scope == "tenant" else F.lit("*")
+    q, v = asked(queries, by, timed), stored(index, by, timed)
+    counted = q if sizing is None else sizing.select(by.alias("scope"))
+    v = with_cells(v, counted, QUERIES_PER_GROUP, "slices", scope)
+    q = with_cells(q, counted, QUERIES_PER_GROUP, "slices", scope)
+    q = with_cells(q, v, INDEX_PER_BLOCK, "blocks", scope).withColumn(
+        "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    )
+    v = with_cells(v, v, INDEX_PER_BLOCK, "blocks", scope).withColumn(
+        "block", F.pmod(F.xxhash64("seq"), F.col("blocks")).cast("int")
+    )
+    return best_of_cells(q, v, ["block"], threshold)
 
-    def moment(column: str, known: bool, otherwise: int):
-        return (_micros(column) if known else F.lit(otherwise)).cast("long")
 
-    q = _searchable(queries).select(
+def asked(queries: DataFrame, by: Column, timed: bool) -> DataFrame:
+    """(scope, query_id, vector, at) of the queries that can match anything."""
+    return searchable(queries).select(
         by.alias("scope"),
         "query_id",
         F.col("vector").cast("array<double>").alias("vector"),
-        moment("arrival", timed, 0).alias("at"),
+        _moment("arrival", timed, 0).alias("at"),
     )
-    v = _searchable(index).select(
+
+
+def stored(index: DataFrame, by: Column, timed: bool, *others: str) -> DataFrame:
+    """(scope, seq, vector, since, until) of the entries that can match anything, and ``others``."""
+    return searchable(index).select(
         by.alias("scope"),
         "seq",
         F.col("vector").cast("array<double>").alias("vector"),
-        moment("stored_at", timed and "stored_at" in index.columns, _ALWAYS[0]).alias("since"),
-        moment("expires_at", timed and "expires_at" in index.columns, _ALWAYS[1]).alias("until"),
-    )
-    counted = q if sizing is None else sizing.select(by.alias("scope"))
-    v = _with_cells(v, counted, QUERIES_PER_GROUP, "slices", scope)
-    q = _with_cells(q, counted, QUERIES_PER_GROUP, "slices", scope)
-    q = _with_cells(q, v, INDEX_PER_BLOCK, "blocks", scope).withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    )
-    v = _with_cells(v, v, INDEX_PER_BLOCK, "blocks", scope).withColumn(
-        "block", F.pmod(F.xxhash64("seq"), F.col("blocks")).cast("int")
+        _moment("stored_at", timed and "stored_at" in index.columns, _ALWAYS[0]).alias("since"),
+        _moment("expires_at", timed and "expires_at" in index.columns, _ALWAYS[1]).alias("until"),
+        *others,
     )
+
+
+def best_of_cells(q: DataFrame, v: DataFrame, cells: list[str], threshold: float) -> DataFrame:
+    """(query_id, seq, score): the best entry over all cells in which a query meets entries.
+
+    Both sides have ``slices``, into how many the queries of their scope are dealt.
+    """
     q = q.withColumn("slice", F.pmod(F.xxhash64("query_id"), F.col("slices")).cast("int"))
     v = v.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     # Only vectors of one length meet.
     q, v = (side.withColumn("length", F.size("vector")) for side in (q, v))
 
-    cell = ["scope", "length", "slice", "block"]
-    id_type = queries.schema["query_id"].dataType.simpleString()
-    seq_type = index.schema["seq"].dataType.simpleString()
+    cell = ["scope", "length", "slice", *cells]
+    id_type = q.schema["query_id"].dataType.simpleString()
+    seq_type = v.schema["seq"].dataType.simpleString()
     schema = f"query_id {id_type}, seq {seq_type}, score double"
 
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -87,23 +101,23 @@ def semantic_top1(
         .cogroup(v.select(*cell, "seq", "vector", "since", "until").groupBy(*cell))
         .applyInArrow(best, schema)
     )
-    # One candidate per block: the best score wins, on a tie the oldest entry.
+    # One candidate per cell: the best score wins, on a tie the oldest entry.
     winner = F.max_by(F.struct("seq", "score"), F.struct(F.round("score", 12), -F.col("seq")))
     return best_rows.groupBy("query_id").agg(winner.alias("w")).select("query_id", "w.*")
 
 
-def _searchable(df: DataFrame) -> DataFrame:
+def searchable(df: DataFrame) -> DataFrame:
     """Rows with a vector of finite numbers."""
     big = F.lit(float("inf"))
     finite = F.forall("vector", lambda x: F.coalesce(F.abs(x.cast("double")) < big, F.lit(False)))
     return df.filter((F.size("vector") > 0) & finite)
 
 
-def _micros(column: str):
-    return F.unix_micros(F.col(column).cast("timestamp"))
+def _moment(column: str, known: bool, otherwise: int) -> Column:
+    return (F.unix_micros(F.col(column).cast("timestamp")) if known else F.lit(otherwise)).cast("long")
 
 
-def _with_cells(df: DataFrame, counted: DataFrame, size: int, name: str, scope: str) -> DataFrame:
+def with_cells(df: DataFrame, counted: DataFrame, size: int, name: str, scope: str) -> DataFrame:
     """Add into how many cells of ``size`` rows a scope of ``counted`` has to be cut.
 
     Only scopes beyond one cell are in the joined table.  It is not hinted: the
@@ -120,7 +134,7 @@ def _with_cells(df: DataFrame, counted: DataFrame, size: int, name: str, scope:
     )
 
 
-def _unit_matrix(column: pa.ChunkedArray) -> np.ndarray:
+def unit_matrix(column: pa.ChunkedArray) -> np.ndarray:
     flat = column.combine_chunks()
     rows = flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
     lengths = np.linalg.norm(rows, axis=1, keepdims=True)
@@ -139,14 +153,14 @@ def _best_in_cell(left: pa.Table, right: pa.Table, threshold: float) -> pa.Table
             }
         )
     right = right.sort_by("seq")  # the first of equal scores is then the oldest
-    stored = _unit_matrix(right.column("vector"))
+    entries = unit_matrix(right.column("vector"))
     since, until = right.column("since").to_numpy(), right.column("until").to_numpy()
-    asked = _unit_matrix(left.column("vector"))
+    wanted = unit_matrix(left.column("vector"))
     at = left.column("at").to_numpy()
-    step = max(1, _SCORES_PER_STEP // len(stored))
+    step = max(1, _SCORES_PER_STEP // len(entries))
     found, where, scores = [], [], []
-    for start in range(0, len(asked), step):
-        part = asked[start : start + step] @ stored.T
+    for start in range(0, len(wanted), step):
+        part = wanted[start : start + step] @ entries.T
         arrived = at[start : start + step, None]
         part[(until[None, :] <= arrived) | (since[None, :] > arrived)] = -np.inf
         top = part.max(axis=1)

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from gatelens import settings as cfg
 from gatelens.functions import text as txt
 from gatelens.functions import vectors as vec
-from gatelens.operators import cache, embed, logs, replay, semantic
+from gatelens.operators import cache, embed, logs, pivots, replay, semantic
 from gatelens.plans import fixtures as fx
 from gatelens.plans.fixture_sql import CTES, with_ctes
 
 AS_OF = "2024-01-01 01:05:00"
 BOUND = 100  # far below the default, so that the bound acts on the test tables
+ROWS_PER_CELL = 20
 _DIGITS = 6
 
 
@@ -147,9 +148,18 @@ def semantic_top1_global(spark, sf):
     )
 
 
+def semantic_top1_lsh(spark, sf):
+    """The same through pivot cells, small ones, so that the bounds act on the test tables."""
+    return _rounded(
+        pivots.pivot_top1(fx.vector_queries(spark, sf), fx.vector_index(spark, sf), rows_per_cell=ROWS_PER_CELL)
+    )
+
+
 def semantic_top1_unbounded(spark, sf):
     return _rounded(
-        semantic.semantic_top1(fx.vector_queries(spark, sf), fx.vector_index(spark, sf), scope="global")
+        pivots.pivot_top1(
+            fx.vector_queries(spark, sf), fx.vector_index(spark, sf), scope="global", rows_per_cell=ROWS_PER_CELL
+        )
     )
 
 
@@ -217,6 +227,7 @@ QUERIES = {
         cosine_similarity,
         semantic_top1,
         semantic_top1_global,
+        semantic_top1_lsh,
         semantic_top1_unbounded,
         cache_tiered_lookup,
         cache_fill_replay,
@@ -301,6 +312,7 @@ SQL = {
         FROM fx_vector_queries q JOIN fx_vector_index v ON v.seq = q.query_id""",
     "semantic_top1": _top1("WHERE q.tenant = v.tenant"),
     "semantic_top1_global": _top1(""),
+    "semantic_top1_lsh": _top1("WHERE q.tenant = v.tenant"),
     "semantic_top1_unbounded": _top1(""),
     "cache_tiered_lookup": """
         SELECT f.request_id, CASE WHEN f.seq IS NOT NULL THEN 'exact' WHEN s.seq IS NOT NULL THEN 'semantic' ELSE 'miss' END AS tier,
