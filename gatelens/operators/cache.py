@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gatelens import settings as cfg
 from gatelens.functions.text import normalize_prompt, prompt_hash, tenant_salt
+from gatelens.session import work_table
 
-_SEQ_BUCKET = 10_000  # consecutive insertions that are counted together
+_NEVER = -(1 << 62)  # before any time or number
 
 
 def seconds(n: int | Column) -> Column:
@@ -47,38 +51,62 @@ def exact_lookup(requests: DataFrame, cache: DataFrame) -> DataFrame:
     )
 
 
-def _newest(df: DataFrame, n: int, order: list[Column], by: str | None, coarse: Column) -> DataFrame:
+def _newest(df: DataFrame, n: int, by: str | None, levels: list[tuple[Column, bool]], order: list[Column]) -> DataFrame:
     """The first ``n`` rows by ``order``, overall or per ``by``.
 
-    ``coarse`` is a bucket number that never rises along ``order``.  Counts per
-    bucket tell which bucket holds the n-th row; rows of older buckets are left out
-    before anything is sorted, so what is ranked is ``n`` rows and one bucket.
+    ``levels`` are columns without nulls, coarse to fine, that rise (True) or fall
+    along ``order``.  Counts per value of the first tell where the n-th row is, counts
+    of the next within that value narrow it down, and so on.  Rows before the last
+    value are kept as they are; only those that share it on all levels are ranked.
     """
-    keys = [] if by is None else [by]
-    rows = df.withColumn("__bucket", coarse)
-    counts = rows.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__rows"))
-    newer = Window.partitionBy(*keys).orderBy(F.desc("__bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    needed = counts.withColumn("__newer", F.coalesce(F.sum("__rows").over(newer), F.lit(0))).filter(F.col("__newer") < n)
-    if by is None:
-        last = needed.agg(F.min("__bucket")).scalar()
-        return rows.filter(F.col("__bucket") >= last).drop("__bucket").orderBy(*order).limit(n)
-    last = needed.groupBy(by).agg(F.min("__bucket").alias("__last")).withColumnRenamed(by, "__by")
-    kept = rows.join(last, F.col(by).eqNullSafe(F.col("__by"))).filter(F.col("__bucket") >= F.col("__last"))
-    final = Window.partitionBy(by).orderBy(*order)
-    ranked = kept.withColumn("__rank", F.row_number().over(final)).filter(F.col("__rank") <= n)
-    return ranked.drop("__bucket", "__by", "__last", "__rank")
+    own, edge_of = [f"__level{i}" for i in range(len(levels))], [f"__edge{i}" for i in range(len(levels))]
+    by_col = F.lit(0) if by is None else F.col(by)
+    rows = df.withColumns({"__by": by_col, **dict(zip(own, (c for c, _ in levels), strict=True))})
+    edges = None
+    for i, (_, rises) in enumerate(levels):
+        inside, need = rows, F.lit(n).cast("long")
+        if edges is not None:
+            same = [F.col(o) == F.col(e) for o, e in zip(own[:i], edge_of[:i], strict=True)]
+            inside = rows.join(edges, reduce(and_, same, F.col("__by").eqNullSafe(F.col("__of"))))
+            need = F.col("__need")
+        known = ["__need", *edge_of[:i]] if i else []
+        counts = inside.groupBy("__by", own[i], *known).agg(F.count(F.lit(1)).alias("__rows"))
+        along = F.col(own[i]).asc() if rises else F.col(own[i]).desc()
+        earlier = Window.partitionBy("__by").orderBy(along).rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn("__before", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)))
+        at_edge = counts.filter((F.col("__before") < need) & (F.col("__before") + F.col("__rows") >= need))
+        edges = at_edge.select(
+            F.col("__by").alias("__of"), (need - F.col("__before")).alias("__need"), *edge_of[:i], F.col(own[i]).alias(edge_of[i])
+        )
+    edges = work_table(edges, "eviction-edges")  # one row per ``by``
+    placed = rows.join(edges, F.col("__by").eqNullSafe(F.col("__of")), "left")
+    last, before = F.lit(True), F.lit(False)
+    for o, e, (_, rises) in reversed(list(zip(own, edge_of, levels, strict=True))):
+        ahead = F.col(o) < F.col(e) if rises else F.col(o) > F.col(e)
+        last, before = (F.col(o) == F.col(e)) & last, ahead | ((F.col(o) == F.col(e)) & before)
+    kept = placed.filter(F.col("__need").isNull() | before)
+    rank = F.row_number().over(Window.partitionBy("__by").orderBy(*order))
+    ranked = placed.filter(last).withColumn("__rank", rank).filter(F.col("__rank") <= F.col("__need"))
+    return kept.select(*df.columns).unionAll(ranked.select(*df.columns))
 
 
 def lru_bound(cache: DataFrame, n: int = cfg.CACHE_MAX_ENTRIES, by: str | None = None) -> DataFrame:
-    """The ``n`` most recently used entries, overall or per ``by``."""
-    order = [F.col("last_access").desc(), F.col("prompt_hash")]
-    minute = F.floor(F.unix_micros(F.col("last_access").cast("timestamp")) / 60_000_000)
-    return _newest(cache, n, order, by, minute)
+    """The ``n`` most recently used entries, overall or per ``by``; those never used count as the oldest."""
+    micros = F.coalesce(F.unix_micros(F.col("last_access").cast("timestamp")), F.lit(_NEVER))
+    levels = [
+        (F.floor(micros / 60_000_000), False),
+        (F.floor(micros / 10_000), False),
+        (micros, False),
+        (F.coalesce(F.substring("prompt_hash", 1, 3), F.lit("")), True),  # a bulk load at one instant
+    ]
+    return _newest(cache, n, by, levels, [F.col("last_access").desc_nulls_last(), F.col("prompt_hash")])
 
 
 def fifo_bound(index: DataFrame, n: int = cfg.CACHE_MAX_ENTRIES, by: str | None = None) -> DataFrame:
-    """The ``n`` most recently inserted entries, overall or per ``by``."""
-    return _newest(index, n, [F.col("seq").desc()], by, F.floor(F.col("seq") / _SEQ_BUCKET))
+    """The ``n`` most recently inserted entries, overall or per ``by``; those without a number count as the oldest."""
+    seq = F.coalesce(F.col("seq").cast("long"), F.lit(_NEVER))
+    levels = [(F.floor(seq / 1_000_000), False), (F.floor(seq / 1_000), False)]
+    return _newest(index, n, by, levels, [F.col("seq").desc_nulls_last()])
 
 
 def upsert_cache(cache: DataFrame, fills: DataFrame, ttl_s: int = cfg.CACHE_TTL_S) -> DataFrame:

@@ -108,6 +108,27 @@ def test_bound_over_many_buckets(spark):
         assert kept == {(s, t) for t in ("hot", "t", "one") for s in sorted((s for s, u in rows if u == t), reverse=True)[:n]}
 
 
+def test_entries_without_order_are_the_oldest(spark):
+    rows = [(i, "a") for i in range(15)] + [(None, "a")] * 5 + [(None, None)] * 3 + [(70, None)]
+    df = spark.createDataFrame(rows, "seq long, tenant string")
+    count = lambda n, by=None: sorted((r.seq if r.seq is not None else -1, r.tenant or "") for r in cache.fifo_bound(df, n, by).collect())
+    assert len(count(100)) == len(rows) and len(count(18)) == 18 and sum(s < 0 for s, _ in count(18)) == 2
+    assert count(17, "tenant")[:5] == [(-1, ""), (-1, ""), (-1, ""), (-1, "a"), (-1, "a")] and len(count(17, "tenant")) == 21
+    only = spark.createDataFrame([(None, f"{i:04x}") for i in range(30)], "last_access timestamp_ntz, prompt_hash string")
+    assert sorted(r.prompt_hash for r in cache.lru_bound(only, 7).collect()) == [f"{i:04x}" for i in range(7)]
+
+
+def test_a_bulk_load_at_one_instant_is_split(spark):
+    at = lambda s: BASE + datetime.timedelta(microseconds=s)
+    rows = [(at(0), f"{i * 7919 % 65536:04x}", "t") for i in range(3000)] + [(at(i), f"x{i}", "t") for i in range(1, 6)] + [(at(90_000_000), "new", "u")]
+    df = spark.createDataFrame(rows, "last_access timestamp_ntz, prompt_hash string, tenant string")
+    want = ["new", "x5", "x4", "x3", "x2", "x1", *sorted(h for t, h, _ in rows if t == at(0))]
+    for n in (1, 4, 6, 500, 9000):
+        assert sorted(r.prompt_hash for r in cache.lru_bound(df, n).collect()) == sorted(want[:n])
+    per = {r.prompt_hash for r in cache.lru_bound(df, 8, by="tenant").collect()}
+    assert per == {"new", *want[1:9]}
+
+
 def test_bound_keeps_the_newest(spark):
     index, _ = make()
     i = spark.createDataFrame([(s, t) for s, t, _, _ in index], "seq long, tenant string")
