@@ -79,7 +79,13 @@ def _newest(df: DataFrame, n: int, by: str | None, levels: list[tuple[Column, bo
             F.col("__by").alias("__of"), (need - F.col("__before")).alias("__need"), *edge_of[:i], F.col(own[i]).alias(edge_of[i])
         )
     edges = work_table(edges, "eviction-edges")  # one row per ``by``
-    placed = rows.join(edges, F.col("__by").eqNullSafe(F.col("__of")), "left")
+    if by is None:
+        edge = edges.first()
+        if edge is None:
+            return df
+        placed = rows.withColumns({c: F.lit(edge[c]) for c in ("__need", *edge_of)})
+    else:
+        placed = rows.join(edges, F.col("__by").eqNullSafe(F.col("__of")), "left")
     last, before = F.lit(True), F.lit(False)
     for o, e, (_, rises) in reversed(list(zip(own, edge_of, levels, strict=True))):
         ahead = F.col(o) < F.col(e) if rises else F.col(o) > F.col(e)

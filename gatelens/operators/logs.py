@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gatelens import settings as cfg
 from gatelens.functions.pii import redact_pii
 from gatelens.functions.text import preview
-from gatelens.sources.tables import REQUEST_LOGS, SECURITY_EVENTS, typed
+from gatelens.sources.tables import ID_BUCKETS, REQUEST_LOGS, SECURITY_EVENTS, append_batch, id_table, typed
 
 
 def usage(response: Column) -> Column:
@@ -60,15 +60,21 @@ def first_per_id(rows: DataFrame) -> DataFrame:
 def append_requests(new: DataFrame, existing: DataFrame) -> DataFrame:
     """The log rows to insert: one per id, ids already logged left out.
 
-    The log is first reduced to the ids that come again.  That side can be
-    filtered by the new ids (broadcast or runtime filter), so a large log is
-    scanned for one column but not shuffled as a whole.
+    The log is first reduced to the ids that come again.  The new ids are the
+    hashed side of that join, so old ones pass by without being sorted; as an
+    ``id_table``, which is bucketed, they are not shuffled either.
     """
     rows = first_per_id(request_rows(new))
-    seen = existing.select("id").join(rows.select("id"), "id", "left_semi")
+    seen = existing.select("id").join(rows.select("id").hint("shuffle_hash"), "id", "left_semi")
     return rows.join(seen, "id", "left_anti").select(*REQUEST_LOGS.fieldNames())
 
 
+def append_log_batch(new: DataFrame, path: str, ids_path: str, batch_id: int, buckets: int = ID_BUCKETS) -> DataFrame:
+    """Log a batch of completions whose ids are not logged yet; returns the rows written."""
+    known = id_table(new.sparkSession, ids_path, buckets)
+    return append_batch(append_requests(new, known), path, ids_path, batch_id, buckets)
+
+
 def event_id(request_id: Column, event_type: Column) -> Column:
     """A 60-bit id out of request and event type: the same on every re-run."""
     digest = F.sha2(F.concat(request_id.cast("string"), F.lit(":"), event_type), 256)

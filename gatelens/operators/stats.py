@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatelens import settings as cfg
@@ -109,27 +109,64 @@ def traffic_log(recent: DataFrame) -> DataFrame:
     )
 
 
-def stats_summary(log: DataFrame, events: DataFrame, as_of: str,
-                  days: int = cfg.SERIES_DAYS, n: int = cfg.RECENT_REQUESTS) -> DataFrame:
-    """All dashboard statistics as one row.
+_MONEY = "decimal(38,12)"
+CUBE_SUMS = ("n", "cost", "prompt_tokens", "completion_tokens", "cached", "latency_sum", "latency_n")
 
-    The log is read twice: once into (day, model) sums, from which every total,
-    the model mix and the daily series follow, and once for the newest rows.
-    The sums are days x models in size; only they are combined further.
-    """
-    cube = log.groupBy(F.to_date("timestamp").alias("day"), "model").agg(
+
+def log_cube(log: DataFrame) -> DataFrame:
+    """Sums per (day, model); cubes of parts of a log add up to that of the whole, in any order."""
+    return log.groupBy(F.to_date("timestamp").alias("day"), "model").agg(
         F.count(F.lit(1)).alias("n"),
-        exact_sum(F.col("cost")).alias("cost"),
+        F.sum(F.col("cost").try_cast("decimal(30,12)")).cast(_MONEY).alias("cost"),
         F.sum("prompt_tokens").alias("prompt_tokens"),
         F.sum("completion_tokens").alias("completion_tokens"),
         F.count_if(F.col("cached")).alias("cached"),
         F.sum("latency_ms").alias("latency_sum"),
         F.count("latency_ms").alias("latency_n"),
     )
+
+
+def extend_cube(rows: DataFrame, path: str, batch_id: int) -> None:
+    """Add the cube of newly logged rows to the kept one; a repeated batch replaces its part."""
+    log_cube(rows).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+
+def kept_cube(spark: SparkSession, path: str) -> DataFrame:
+    """The cube of all batches so far."""
+    parts = spark.read.parquet(path)
+    return parts.groupBy("day", "model").agg(*[F.sum(c).cast(parts.schema[c].dataType).alias(c) for c in CUBE_SUMS])
+
+
+def compact_cube(spark: SparkSession, path: str, into: str) -> None:
+    """The kept cube as one batch of a new folder, for the batches to come."""
+    kept_cube(spark, path).write.mode("overwrite").parquet(f"{into}/batch_id=-1")
+
+
+def _newest_days(log: DataFrame, cube: DataFrame, n: int) -> DataFrame:
+    """The log's days that hold its newest ``n`` rows, as a range on the raw column."""
+    per_day = cube.filter(F.col("day").isNotNull()).groupBy("day").agg(F.sum("n").alias("n"))
+    held = 0
+    for r in per_day.orderBy(F.col("day").desc()).limit(n).collect():  # each day has a row at least
+        held += r.n
+        if held >= n:
+            return log.filter(F.col("timestamp") >= F.lit(r.day).cast("timestamp_ntz"))
+    return log
+
+
+def stats_summary(log: DataFrame, events: DataFrame, as_of: str, days: int = cfg.SERIES_DAYS,
+                  n: int = cfg.RECENT_REQUESTS, cube: DataFrame | None = None) -> DataFrame:
+    """All dashboard statistics as one row.
+
+    Without ``cube`` the log is read twice: once into (day, model) sums, from which
+    every total, the model mix and the daily series follow, and once for the newest
+    rows.  With a kept cube only the newest days of the log are read.  The sums are
+    days x models in size; only they are combined further.
+    """
+    newest_log = log if cube is None else _newest_days(log, cube, n)
+    cube = log_cube(log) if cube is None else cube
     last = F.to_date(F.lit(as_of))
     first = F.date_sub(last, days - 1)
-    sums = ("n", "cost", "prompt_tokens", "completion_tokens", "cached", "latency_sum", "latency_n")
-    added = [(exact_sum(F.col(c)) if c == "cost" else F.sum(c)).alias(c) for c in sums]
+    added = [(exact_sum(F.col(c)) if c == "cost" else F.sum(c)).alias(c) for c in CUBE_SUMS]
     # Grouping sets over the small table: total, per model, per day.
     rolled = cube.groupingSets([[], ["model"], ["day"]], "model", "day").agg(
         F.grouping_id().alias("level"), *added
@@ -195,7 +232,7 @@ def stats_summary(log: DataFrame, events: DataFrame, as_of: str,
             F.transform(calendar, saved_on).alias("saved_cost"),
         ).alias("cost_over_time"),
     )
-    recent = recent_requests(log, n)
+    recent = recent_requests(newest_log, n)
     shown = ["id", "model", "strategy", "cost", "savings_amt", "status_text", "status_color"]
     newest = recent.agg(
         F.transform(

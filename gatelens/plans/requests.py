@@ -10,6 +10,7 @@ from gatelens.functions import sse
 from gatelens.operators import conversations, logs, providers, streams
 from gatelens.plans import fixtures as fx
 from gatelens.plans.fixture_sql import cost, quote, with_ctes
+from gatelens.session import fresh_path
 from gatelens.sources import requests as req
 from gatelens.sources import tables
 
@@ -36,6 +37,14 @@ def request_log_append(spark, sf):
     return logs.append_requests(done, logged)
 
 
+def request_log_append_batches(spark, sf):
+    """The same as two batches of a log that keeps its ids bucketed; the second batch as written."""
+    done = fx.completions(spark, sf)
+    log, ids = fresh_path(spark, "log"), fresh_path(spark, "logged-ids")
+    logs.append_log_batch(done.filter(F.hour("timestamp") < 12), log, ids, 0, buckets=8)
+    return logs.append_log_batch(done, log, ids, 1, buckets=8)
+
+
 def security_event_append(spark, sf):
     from gatelens.plans.security import security_event_table
 
@@ -198,6 +207,7 @@ QUERIES = {
         request_log_scan,
         security_event_scan,
         request_log_append,
+        request_log_append_batches,
         security_event_append,
         chat_request_parse,
         message_text,
@@ -256,6 +266,11 @@ SQL = {
         SELECT {_LOG_COLUMNS} FROM (
           SELECT *, row_number() OVER (PARTITION BY id ORDER BY timestamp) AS rn FROM completions
           WHERE id NOT IN (SELECT id FROM completions WHERE hour(timestamp) < 12)) WHERE rn = 1""",
+    "request_log_append_batches": f"""
+        WITH completions AS ({_COMPLETIONS})
+        SELECT {_LOG_COLUMNS} FROM (
+          SELECT *, row_number() OVER (PARTITION BY id ORDER BY timestamp) AS rn FROM completions
+          WHERE id NOT IN (SELECT id FROM completions WHERE hour(timestamp) < 12)) WHERE rn = 1""",
     "security_event_append": "SELECT * FROM fx_security_events",
     "chat_request_parse": """
         SELECT request_id, reason,

@@ -9,6 +9,7 @@ from gatelens.operators import shadow, stats
 from gatelens.plans import fixtures as fx
 from gatelens.plans.fixture_sql import baseline, with_ctes
 from gatelens.plans.security import security_event_table
+from gatelens.session import fresh_path
 
 
 def summary_totals(spark, sf):
@@ -64,7 +65,19 @@ def _money(value):
 
 def stats_summary(spark, sf):
     """The one-row summary; its lists are rendered as text to compare exactly."""
-    summary = stats.stats_summary(fx.request_logs(spark, sf), security_event_table(spark, sf), fx.AS_OF)
+    return _as_text(stats.stats_summary(fx.request_logs(spark, sf), security_event_table(spark, sf), fx.AS_OF))
+
+
+def stats_summary_kept(spark, sf):
+    """The same from a cube that three appends extended, one of them twice."""
+    log, path = fx.request_logs(spark, sf), fresh_path(spark, "cube")
+    for batch_id in (0, 1, 1, 2):
+        stats.extend_cube(log.filter(F.pmod(F.xxhash64("id"), F.lit(3)) == batch_id), path, batch_id)
+    kept = stats.kept_cube(spark, path)
+    return _as_text(stats.stats_summary(log, security_event_table(spark, sf), fx.AS_OF, cube=kept))
+
+
+def _as_text(summary):
     series = F.col("cost_over_time")
     return summary.select(
         "total_savings",
@@ -106,6 +119,7 @@ def shadow_compare(spark, sf):
         F.round("avg_latency_delta", 6).alias("avg_latency_delta"),
         "token_delta",
         F.round("cost_delta", 9).alias("cost_delta"),
+        *[f"p{p}_{m}" for m in shadow.MEASURES for p in (50, 95)],
     )
 
 
@@ -121,6 +135,7 @@ QUERIES = {
         request_status_label,
         avg_latency,
         stats_summary,
+        stats_summary_kept,
         traffic_log_view,
         shadow_compare,
     )
@@ -144,6 +159,18 @@ _RECENT = f"""
     SELECT right(id, 8) AS id, timestamp, model, strategy, cost,
       CASE WHEN cached THEN {_BASE} ELSE greatest(0, {_BASE} - cost) END AS savings_amt, {_LABEL}
     FROM fx_request_logs ORDER BY timestamp DESC, id LIMIT 5"""
+
+
+def _percentiles(measure: str) -> str:
+    """Least buckets that reach the percentiles, per model."""
+    return f"""
+        SELECT model, {", ".join(f"min(bucket) FILTER (upto * 100 >= total * {p})::BIGINT AS p{p}_{measure}" for p in (50, 95))} FROM (
+          SELECT model, bucket, sum(n) OVER (PARTITION BY model ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY model) AS total FROM (
+            SELECT model, sign({measure}) * (abs({measure}) - abs({measure}) %
+              (1::BIGINT << greatest(length(bin(abs({measure})::BIGINT)) - {shadow.LEADING_BITS}, 0))) AS bucket, count(*) AS n
+            FROM pairs WHERE {measure} IS NOT NULL GROUP BY 1, 2)) GROUP BY model"""
+
+
 _TOTAL_SAVINGS = f"""
     SELECT CASE WHEN s < 1 THEN round(s, 4) ELSE round(s, 2) END AS total_savings FROM (
       SELECT greatest(0, {baseline("sum(prompt_tokens)", "sum(completion_tokens)")} - sum(cost)) AS s FROM fx_request_logs)"""
@@ -175,11 +202,18 @@ SQL = {
     "traffic_log_view": f"""
         SELECT 'REQ-' || id || ' [REDACTED]' AS request, model AS route, status_text AS status,
           '$' || printf('%.4f', greatest(savings_amt, 0)) AS savings FROM ({_RECENT})""",
-    "shadow_compare": """
-        SELECT model AS primary_model, 'gpt-4o' AS shadow_model, count(*)::BIGINT AS compared,
-          round(avg(latency_ms + 100 + k), 6) AS avg_shadow_latency_ms, round(avg(100 + k), 6) AS avg_latency_delta,
-          sum(k)::BIGINT AS token_delta,
-          round(sum((prompt_tokens * 5.0::DOUBLE + (completion_tokens + k) * 15.0::DOUBLE) / 1e6 - cost), 9) AS cost_delta
-        FROM (SELECT *, ((prompt_tokens - 10) // 7) AS k FROM fx_request_logs) WHERE model <> 'gpt-4o' GROUP BY model""",
+    "shadow_compare": f"""
+        WITH pairs AS (
+          SELECT *, latency_ms + 100 + k AS shadow_latency_ms, 100 + k AS latency_delta
+          FROM (SELECT *, ((prompt_tokens - 10) // 7) AS k FROM fx_request_logs) WHERE model <> 'gpt-4o'),
+        means AS (
+          SELECT model AS primary_model, 'gpt-4o' AS shadow_model, count(*)::BIGINT AS compared,
+            round(avg(shadow_latency_ms), 6) AS avg_shadow_latency_ms, round(avg(latency_delta), 6) AS avg_latency_delta,
+            sum(k)::BIGINT AS token_delta,
+            round(sum((prompt_tokens * 5.0::DOUBLE + (completion_tokens + k) * 15.0::DOUBLE) / 1e6 - cost), 9) AS cost_delta
+          FROM pairs GROUP BY model)
+        SELECT m.*, {", ".join(f"p{p}_{x}" for x in shadow.MEASURES for p in (50, 95))} FROM means m
+        {" ".join(f"LEFT JOIN ({_percentiles(x)}) {x}_q ON {x}_q.model = m.primary_model" for x in shadow.MEASURES)}""",
 }
+SQL["stats_summary_kept"] = SQL["stats_summary"]
 SQL = {key: with_ctes(text) for key, text in SQL.items()}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -86,7 +88,9 @@ def request_logs_jdbc(spark: SparkSession, url: str, since: str, until: str,
         numPartitions=str(partitions),
         **options,
     )
-    return between(typed(reader.load(), REQUEST_LOGS), since, until)
+    # The range is on the column as it is stored, so that the database applies it.
+    rows = reader.load().filter((F.col("timestamp") >= F.lit(since).cast("timestamp")) & (F.col("timestamp") < F.lit(until).cast("timestamp")))
+    return typed(rows, REQUEST_LOGS)
 
 
 def append_jdbc(df: DataFrame, url: str, table: str, writers: int = 16, **options: str) -> None:
@@ -97,12 +101,48 @@ def append_jdbc(df: DataFrame, url: str, table: str, writers: int = 16, **option
 
 
 def append(df: DataFrame, path: str) -> None:
-    """Append log or event rows under a folder per day, one writer per day slice.
+    """Append log or event rows under a folder per day.
 
-    Rows are spread by day and a hash of the id, so that a single busy day is
-    written by many tasks.
+    The adaptive planner sizes the writers by the days' rows: a busy day is split
+    over many tasks, quiet days share one.
     """
     dated = df.withColumn("log_date", F.to_date("timestamp"))
-    dated.repartition("log_date", F.pmod(F.xxhash64("id"), F.lit(32))).write.mode(
-        "append"
-    ).partitionBy("log_date").parquet(path)
+    dated.hint("rebalance", "log_date").write.mode("append").partitionBy("log_date").parquet(path)
+
+
+ID_BUCKETS = 64
+
+
+def id_table(spark: SparkSession, path: str, buckets: int = ID_BUCKETS) -> DataFrame:
+    """The ids logged so far, bucketed by hash, so that joins on them do not shuffle them.
+
+    ``path`` names the table, and ``buckets`` has to stay what it was at first: about
+    a hundred million ids each.  The table is declared anew in every session.
+    """
+    name = _id_table_name(path)
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {name} (id STRING) USING parquet "
+        f"CLUSTERED BY (id) INTO {int(buckets)} BUCKETS LOCATION '{path}'"
+    )
+    return spark.table(name)
+
+
+def _id_table_name(path: str) -> str:
+    return f"logged_ids_{hashlib.md5(path.encode()).hexdigest()}"
+
+
+def append_batch(rows: DataFrame, path: str, ids_path: str, batch_id: int, buckets: int = ID_BUCKETS) -> DataFrame:
+    """Append log rows as one batch and note their ids; returns the rows as written.
+
+    A batch has folders of its own under its days, so a repeated batch replaces what
+    it wrote before; ids follow the rows, and noting an id twice changes nothing.
+    """
+    spark = rows.sparkSession
+    dated = rows.withColumn("log_date", F.to_date("timestamp")).withColumn("batch", F.lit(batch_id))
+    writer = dated.hint("rebalance", "log_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("log_date", "batch").parquet(path)
+    whole = T.StructType([*REQUEST_LOGS.fields, _LOG_DATE, T.StructField("batch", T.IntegerType())])
+    done = spark.read.schema(whole).parquet(path).filter(F.col("batch") == batch_id).select(*REQUEST_LOGS.fieldNames())
+    id_table(spark, ids_path, buckets)
+    done.select("id").repartition(buckets, "id").write.insertInto(_id_table_name(ids_path))
+    return done

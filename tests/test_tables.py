@@ -7,7 +7,8 @@ import datetime
 from pyspark.sql import functions as F
 
 from gatelens.functions import messages as msg
-from gatelens.operators import cache, logs, security, stats
+from gatelens.operators import cache, logs, security, shadow, stats
+from gatelens.plans import fixtures
 from gatelens.sources import requests, tables
 
 BASE = datetime.datetime(2024, 3, 1)
@@ -206,3 +207,85 @@ def test_bodies_from_files(spark, tmp_path):
     good, bad = requests.parse_requests(requests.raw_requests(spark, str(tmp_path)))
     assert (good.count(), bad.count()) == (1, 1)
     assert requests.raw_requests(spark, str(tmp_path), stream=True).isStreaming
+
+
+def test_batches_skip_logged_ids_and_repeat_safely(spark, sf_dir, tmp_path):
+    done = fixtures.completions(spark, sf_dir)
+    path, ids = f"{tmp_path}/batches", f"{tmp_path}/ids"
+    early = done.filter(F.hour("timestamp") < 12)
+    first = logs.append_log_batch(early, path, ids, 0, buckets=4)
+    n = first.count()
+    assert n == early.select("id").distinct().count() > 0
+    second = logs.append_log_batch(done, path, ids, 1, buckets=4)
+    assert second.join(early, "id", "left_semi").count() == 0
+    # A batch that died before it noted its ids comes again and replaces its own rows.
+    again = tables.append_batch(first, path, ids, 0, buckets=4)
+    assert again.count() == n
+    whole = tables.request_logs(spark, path)
+    assert whole.count() == whole.select("id").distinct().count() == done.select("id").distinct().count()
+    assert logs.append_log_batch(done, path, ids, 2, buckets=4).count() == 0
+
+
+def test_logged_ids_are_not_shuffled(spark, sf_dir, tmp_path):
+    done, ids = fixtures.completions(spark, sf_dir), f"{tmp_path}/known"
+    logs.append_log_batch(done.limit(50), f"{tmp_path}/log", ids, 0, buckets=4)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = logs.append_requests(done, tables.id_table(spark, ids, 4))
+        lines = rows._jdf.queryExecution().executedPlan().toString().split("\n")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    at = next(i for i, line in enumerate(lines) if "logged_ids" in line and "Scan" in line)
+    depth, above = lines[at].index("Scan"), []
+    for line in reversed(lines[:at]):
+        own = len(line) - len(line.lstrip(" :+-*()0123456789"))
+        if own < depth:
+            above.append(line.strip(" :+-*()0123456789"))
+            depth = own
+        if "Join" in line:
+            break
+    assert "HashedJoin" in above[-1] or "HashJoin" in above[-1]
+    assert not any("Exchange" in line or line.startswith("Sort") for line in above)
+
+
+def test_shadow_sketches_merge_and_are_near(spark):
+    import datetime
+
+    day = lambda i: datetime.datetime(2024, 1, 1 + i % 3)
+    rows = [(f"{i}", day(i), "a" if i % 4 else "b", i * i % 9973 - 50, 1, 0.0) for i in range(4000)] + [("x", None, "c", None, 1, 0.0)]
+    kinds = "id string, timestamp timestamp_ntz, model string, latency_ms long, total_tokens long, cost double"
+    primary = spark.createDataFrame(rows, kinds)
+    slower = primary.withColumn("latency_ms", F.col("latency_ms") * 2 + 7).withColumn("model", F.lit("s"))
+    pairs = shadow.shadow_pairs(primary, slower)
+    whole = shadow.sketch_quantiles(shadow.shadow_sketches(pairs))
+    parts = [shadow.shadow_sketches(pairs.filter(F.dayofmonth("day").eqNullSafe(d))) for d in (1, 2, 3, None)]
+    merged = shadow.sketch_quantiles(parts[3].union(parts[0]).union(parts[2]).union(parts[1]))
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, merged.collect()))
+    for r in whole.collect():
+        own = sorted(2 * x + 7 for _, _, m, x, _, _ in rows if m == r.primary_model and x is not None)
+        for p in (50, 95):
+            exact = own[-(-len(own) * p // 100) - 1]
+            assert abs(r[f"p{p}_shadow_latency_ms"] - exact) <= abs(exact) / 64
+    compared = {r.primary_model: r for r in shadow.shadow_compare(primary, slower).collect()}
+    assert compared["c"].compared == 1 and compared["c"].p50_latency_delta is None
+
+
+def test_kept_cube(spark, tmp_path):
+    rows = [completion(f"{i}", BASE + datetime.timedelta(hours=i), ("a", "b", None)[i % 3], cost=i / 3) for i in range(200)]
+    rows += [completion("late", None, None, cost=None)]
+    log = logs.request_rows(spark.createDataFrame(rows, COMPLETION))
+    path = f"{tmp_path}/cube"
+    parts = [log.filter(F.col("timestamp").isNull() | (F.hour("timestamp") < 5)), log.filter(F.hour("timestamp") >= 5)]
+    for batch_id in (0, 1, 1):
+        stats.extend_cube(parts[batch_id], path, batch_id)
+    stats.compact_cube(spark, path, f"{tmp_path}/compact")
+    as_of = "2024-03-09"
+    plain = stats.stats_summary(log, spark.createDataFrame([], tables.SECURITY_EVENTS), as_of).collect()
+    for kept in (stats.kept_cube(spark, path), stats.kept_cube(spark, f"{tmp_path}/compact"), stats.log_cube(log)):
+        summary = stats.stats_summary(log, spark.createDataFrame([], tables.SECURITY_EVENTS), as_of, cube=kept)
+        assert summary.collect() == plain
+    tables.append(log, f"{tmp_path}/log")
+    logged = tables.request_logs(spark, f"{tmp_path}/log")
+    summary = stats.stats_summary(logged, spark.createDataFrame([], tables.SECURITY_EVENTS), as_of, cube=kept)
+    scans = [line for line in summary._jdf.queryExecution().toString().split("\n") if "PushedFilters" in line and "latency_ms" not in line]
+    assert summary.collect() == plain and any("GreaterThanOrEqual(timestamp,2024-03-09" in line for line in scans)
