@@ -10,6 +10,7 @@ from gatelens.functions.sse import DONE
 from gatelens.plans import fixtures as fx
 from gatelens.plans.cache import SQL as CACHE_SQL
 from gatelens.plans.fixture_sql import baseline, quote, with_ctes
+from gatelens.plans.requests import SQL as REQUEST_SQL
 from gatelens.plans.security import _FIRST, _GLYPHS, _expand_sql, redact_sql
 from gatelens.session import fresh_path
 from gatelens.streaming import cache, enrich, log, sse, windows
@@ -92,7 +93,18 @@ def _halves():
 
 
 def stream_exact_cache(spark, sf):
-    return _streamed(spark, fx.cache_log(spark, sf), cache.stream_exact_cache, _halves())
+    """Requests in an order of their own; a last one, far behind, lets the watermark pass all."""
+    requests = fx.cache_log(spark, sf)
+    tick = requests.agg(
+        F.lit(-1).cast(requests.schema["request_id"].dataType).alias("request_id"),
+        F.lit("tick").alias("prompt_hash"),
+        (F.max("ts") + F.expr("INTERVAL 100 DAYS")).alias("ts"),
+    )
+    part = F.pmod(F.xxhash64("request_id"), F.lit(2))
+    last = F.col("request_id") == -1
+    rows = requests.select(*tick.columns).unionByName(tick)
+    operator = lambda s: cache.stream_exact_cache(s, late="90 days")
+    return _streamed(spark, rows, operator, [(part == 1) & ~last, (part == 0) & ~last, last])
 
 
 def stream_cache_replay(spark, sf):
@@ -102,20 +114,53 @@ def stream_cache_replay(spark, sf):
     return spark.read.parquet(out).drop("batch_id")
 
 
-def stream_sse_assemble(spark, sf):
+_START = 1704067200
+
+
+def _timed_lines(spark, sf):
+    """Answer lines with times; DONE lines overtake the text of their streams."""
     seconds = F.greatest(F.col("seq"), F.lit(0)) % 100
-    lines = fx.sse_lines(spark, sf).withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + seconds))
-    # DONE lines overtake the text of their streams; an hour later the watermark has passed all.
+    lines = fx.sse_lines(spark, sf).withColumn("ts", F.timestamp_seconds(F.lit(_START) + seconds))
+    early = ((F.col("seq") < 40) & (F.col("stream_id") % 2 == 0)) | (F.col("line") == DONE)
+    # An hour later the watermark has passed all.
     tick = spark.range(1).select(
         F.lit(-1).cast(lines.schema["stream_id"].dataType).alias("stream_id"),
         F.lit(0).cast("long").alias("seq"),
         F.lit(": keep-alive").alias("line"),
-        F.timestamp_seconds(F.lit(1704067200 + 3600)).alias("ts"),
+        F.timestamp_seconds(F.lit(_START + 3600)).alias("ts"),
     )
-    early = ((F.col("seq") < 40) & (F.col("stream_id") % 2 == 0)) | (F.col("line") == DONE)
+    return lines, early, tick
+
+
+def stream_sse_assemble(spark, sf):
+    lines, early, tick = _timed_lines(spark, sf)
     last = F.col("stream_id") == -1
-    cuts = [early & ~last, ~early & ~last, last]
-    return _streamed(spark, lines.unionByName(tick), sse.stream_sse_assemble, cuts)
+    return _streamed(
+        spark, lines.unionByName(tick), sse.stream_sse_assemble, [early & ~last, ~early & ~last, last]
+    )
+
+
+def stream_completion_records(spark, sf):
+    """Records of streams whose requests come first, with the answer, or after it ended."""
+    lines, early, tick = _timed_lines(spark, sf)
+    turn = F.col("stream_id") % 3
+    asked = fx.stream_requests(spark, sf).select(
+        "stream_id", "prompt", "model", "strategy", "latency_ms",
+        F.timestamp_seconds(F.lit(_START) + F.when(turn == 2, 3500).otherwise(0)).alias("ts"),
+        F.when(turn == 0, 0).when(turn == 1, 1).otherwise(3).alias("part"),
+    )
+    part = F.when(F.col("stream_id") == -1, 2).when(early, 0).otherwise(1).alias("part")
+    end = tick.withColumn("part", F.lit(3)).withColumn("ts", F.timestamp_seconds(F.lit(_START + 7000)))
+    said = lines.unionByName(tick).select("*", part).unionByName(end)
+    rows = said.unionByName(asked, allowMissingColumns=True)
+
+    def operator(stream):
+        return sse.stream_completion_records(
+            stream.filter(F.col("line").isNotNull()), stream.filter(F.col("line").isNull()), late="1 minute"
+        )
+
+    found = _streamed(spark, rows, operator, [F.col("part") == k for k in range(4)])
+    return found.withColumn("estimated_cost", F.round("estimated_cost", 9))
 
 
 def stream_cost_windows(spark, sf):
@@ -166,6 +211,7 @@ QUERIES = {
         stream_exact_cache,
         stream_cache_replay,
         stream_sse_assemble,
+        stream_completion_records,
         stream_cost_windows,
         stream_log_dedup,
         stream_security_sink,
@@ -199,6 +245,7 @@ SQL = {
     "stream_exact_cache": CACHE_SQL["cache_fill_replay"],
     "stream_cache_replay": CACHE_SQL["cache_fill_replay"],
     "stream_sse_assemble": with_ctes("SELECT * FROM fx_streams"),
+    "stream_completion_records": REQUEST_SQL["stream_completion_record"],
     "stream_cost_windows": with_ctes(f"""
         SELECT day, model, requests, i AS prompt_tokens, o AS completion_tokens, round(c, 9) AS cost,
           round(greatest(0, {baseline("i", "o")} - c), 9) AS savings FROM (

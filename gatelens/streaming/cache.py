@@ -18,7 +18,11 @@ from gatelens.streaming.log import write_batch
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 class _Fills(StatefulProcessor):
-    """One number per key: when its entry was filled."""
+    """When a key's entry was filled, and the requests the watermark has not passed yet.
+
+    Requests wait until none before them can come any more; then they are answered in
+    the order of their own times, whatever the order they came in.
+    """
 
     def __init__(self, ttl_s: int):
         self._ttl = ttl_s * 1_000_000
@@ -26,12 +30,35 @@ class _Fills(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
         self._fill = handle.getValueState("fill", "at long")
+        self._waiting = handle.getListState("waiting", "t long, id string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # A micro-batch of one key, in time order; its size is bounded by the
-        # rate limit of the source.
-        batch = pd.concat(list(rows)).sort_values(["t", "request_id"])
-        times = batch["t"].to_numpy()
+        # A micro-batch of one key; its size is bounded by the rate limit of the source.
+        newest = 0
+        for batch in rows:
+            times = batch["t"].astype(int).tolist()
+            newest = max(newest, *times)
+            self._waiting.appendList(list(zip(times, batch["request_id"].astype(str).tolist(), strict=True)))
+        self._handle.registerTimer(newest // 1000 + 1)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = expiredTimerInfo.getExpiryTimeInMs()
+        waiting = sorted(self._waiting.get()) if self._waiting.exists() else []
+        due = [w for w in waiting if w[0] < passed * 1000]
+        if due:
+            self._waiting.clear()
+            if len(due) < len(waiting):
+                self._waiting.appendList(waiting[len(due) :])
+            yield self._answered(key[0], np.array([t for t, _ in due]), [i for _, i in due])
+        # An entry that ended before the watermark is of no use.  A younger fill has a timer of its own.
+        if len(due) == len(waiting) and self._fill.exists() and self._ends(self._fill.get()[0]) <= passed:
+            self._fill.clear()
+
+    def _ends(self, fill: int) -> int:
+        return (fill + self._ttl) // 1000 + 1
+
+    def _answered(self, key: str, times: np.ndarray, ids: list[str]) -> pd.DataFrame:
         before = self._fill.get()[0] if self._fill.exists() else None
         fills, is_fill, at = [], np.zeros(len(times), bool), 0
         if before is not None:
@@ -41,28 +68,14 @@ class _Fills(StatefulProcessor):
             is_fill[at] = True
             at = int(np.searchsorted(times, times[at] + self._ttl))
         known = np.array([before, *fills] if before is not None else fills)
-        filled_at = known[np.maximum(np.searchsorted(known, times, side="right") - 1, 0)]
+        filled_at = known[np.searchsorted(known, times, side="right") - 1]
+        # Requests at the instant of a fill are fills as well, as in the batch form.
+        is_fill |= np.isin(times, known)
         if fills:
             self._fill.update((int(fills[-1]),))
-            self._handle.registerTimer((int(fills[-1]) + self._ttl) // 1000 + 1)
-        yield pd.DataFrame(
-            {
-                "request_id": batch["request_id"].to_numpy(),
-                "k": key[0],
-                "t": times,
-                "status": np.where(is_fill, "fill", "hit"),
-                "filled_at": filled_at,
-            }
-        )
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        # No request before the watermark can come any more, so an entry that
-        # ended before it is of no use.  A younger fill has a timer of its own.
-        if self._fill.exists():
-            ends_ms = (self._fill.get()[0] + self._ttl) // 1000 + 1
-            if ends_ms <= expiredTimerInfo.getExpiryTimeInMs():
-                self._fill.clear()
-        return iter([])
+            self._handle.registerTimer(self._ends(int(fills[-1])))
+        status = np.where(is_fill, "fill", "hit")
+        return pd.DataFrame({"request_id": ids, "k": key, "t": times, "status": status, "filled_at": filled_at})
 
     def close(self) -> None:
         pass
@@ -72,8 +85,9 @@ def stream_exact_cache(stream: DataFrame, key: str = "prompt_hash", ts: str = "t
                        ttl_s: int = cfg.CACHE_TTL_S, late: str = "10 minutes") -> DataFrame:
     """(request_id, key, ts, status, filled_at), needs the RocksDB state store.
 
-    Entries expire by the requests' own times; hits do not prolong them.  State
-    is dropped once the watermark has passed the end of an entry.
+    Entries expire by the requests' own times; hits do not prolong them.  Requests
+    may come in any order within ``late``; a request is answered once the watermark
+    has passed it.  State is dropped once it has passed the end of an entry.
     """
     at = F.col(ts).cast("timestamp")
     rows = (
@@ -84,14 +98,13 @@ def stream_exact_cache(stream: DataFrame, key: str = "prompt_hash", ts: str = "t
     kinds = rows.schema
     labelled = rows.groupBy("k").transformWithStateInPandas(
         _Fills(ttl_s),
-        f"request_id {kinds['request_id'].dataType.simpleString()}, "
-        f"k {kinds['k'].dataType.simpleString()}, t long, status string, filled_at long",
+        f"request_id string, k {kinds['k'].dataType.simpleString()}, t long, status string, filled_at long",
         "Append",
         "EventTime",
     )
     kind = stream.schema[ts].dataType.simpleString()
     return labelled.select(
-        "request_id",
+        F.col("request_id").cast(kinds["request_id"].dataType).alias("request_id"),
         F.col("k").alias(key),
         F.timestamp_micros("t").cast(kind).alias(ts),
         "status",

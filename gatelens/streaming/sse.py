@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from gatelens.functions.once import compute_once
 from gatelens.functions.sse import DONE, sse_delta
+from gatelens.operators.streams import stream_records
 
 IDLE_MS = 120_000
 KEEP_MS = 3_600_000  # how long a finished stream is remembered
@@ -71,24 +72,91 @@ class _Parts(StatefulProcessor):
         pass
 
 
+class _Records(_Parts):
+    """The same, with the request that the answer belongs to; it may come before, during or after the answer."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self._request = handle.getValueState("request", "prompt string, model string, strategy string, latency_ms long")
+        self._text = handle.getValueState("text", "text string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        lines = []
+        for batch in rows:
+            asked = batch["model"].notna()
+            for r in batch[asked].itertuples():
+                self._request.update((r.prompt, r.model, r.strategy, int(r.latency_ms)))
+            if not asked.all():
+                lines.append(batch[~asked])
+        if lines:
+            yield from super().handleInputRows(key, iter(lines), timerValues)
+        elif not self._state.exists():  # a request whose answer never comes is forgotten
+            self._state.update((False, False, timerValues.getCurrentWatermarkInMs()))
+            self._wait(timerValues.getCurrentWatermarkInMs() + self._keep)
+        yield from self._both(key)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        closed = self._state.get()[1]
+        for done in super().handleExpiredTimer(key, timerValues, expiredTimerInfo):
+            self._text.update((done["text"].iloc[0],))
+        yield from self._both(key)
+        if closed:
+            self._request.clear()
+            self._text.clear()
+
+    def _both(self, key) -> Iterator[pd.DataFrame]:
+        if self._text.exists() and self._request.exists():
+            prompt, model, strategy, latency = self._request.get()
+            row = {"stream_id": key[0], "text": self._text.get()[0], "prompt": prompt, "model": model}
+            yield pd.DataFrame([row | {"strategy": strategy, "latency_ms": latency}])
+            self._text.clear()
+            self._request.clear()
+
+
+def stream_completion_records(lines: DataFrame, requests: DataFrame, ts: str = "ts", idle_ms: int = IDLE_MS,
+                              late: str = "1 minute", keep_ms: int = KEEP_MS,
+                              price_table: DataFrame | None = None) -> DataFrame:
+    """Log records of finished streams: answer lines (stream_id, seq, line, ts) with their requests.
+
+    ``requests`` holds (stream_id, prompt, model, strategy, latency_ms, ts).  The two
+    streams meet in one keyed state; either side waits up to ``keep_ms`` for the other.
+    """
+    null = lambda kind: F.lit(None).cast(kind)
+    asked = ("prompt", "model", "strategy")
+    left = _text_lines(lines, ts).select(
+        "stream_id", "seq", "delta", "done", "at_ms", ts, *[null("string").alias(c) for c in asked], null("long").alias("latency_ms")
+    )
+    right = requests.select(
+        "stream_id", null("long").alias("seq"), null("string").alias("delta"), F.lit(False).alias("done"),
+        F.unix_millis(F.col(ts)).alias("at_ms"), ts, "prompt", F.coalesce("model", F.lit("")).alias("model"), "strategy",
+        F.col("latency_ms").cast("long").alias("latency_ms"),
+    )
+    kind = lines.schema["stream_id"].dataType.simpleString()
+    finished = left.unionByName(right).withWatermark(ts, late).groupBy("stream_id").transformWithStateInPandas(
+        _Records(idle_ms, keep_ms),
+        f"stream_id {kind}, text string, prompt string, model string, strategy string, latency_ms long",
+        "Append",
+        "EventTime",
+    )
+    return stream_records(finished, price_table)
+
+
+def _text_lines(lines: DataFrame, ts: str) -> DataFrame:
+    """Text-bearing and final lines."""
+    parsed = compute_once(lines, delta=sse_delta(F.col("line")))
+    parts = parsed.select(
+        "stream_id", "seq", "delta", (F.col("line") == DONE).alias("done"), F.unix_millis(F.col(ts)).alias("at_ms"), ts
+    )
+    return parts.filter(F.col("delta").isNotNull() | F.col("done"))
+
+
 def stream_sse_assemble(lines: DataFrame, ts: str = "ts", idle_ms: int = IDLE_MS,
                         late: str = "1 minute", keep_ms: int = KEEP_MS) -> DataFrame:
     """(stream_id, seq, line, ts) -> (stream_id, text) of every finished stream.
 
     Only text-bearing and final lines reach the state; needs the RocksDB store.
     """
-    parsed = compute_once(lines.withWatermark(ts, late), delta=sse_delta(F.col("line")))
-    parts = (
-        parsed.select(
-            "stream_id",
-            "seq",
-            "delta",
-            (F.col("line") == DONE).alias("done"),
-            F.unix_millis(F.col(ts)).alias("at_ms"),
-            ts,
-        )
-        .filter(F.col("delta").isNotNull() | F.col("done"))
-    )
+    parts = _text_lines(lines.withWatermark(ts, late), ts)
     kind = lines.schema["stream_id"].dataType.simpleString()
     return parts.groupBy("stream_id").transformWithStateInPandas(
         _Parts(idle_ms, keep_ms), f"stream_id {kind}, text string", "Append", "EventTime"
