@@ -105,12 +105,16 @@ def bands(sketch: np.ndarray) -> np.ndarray:
     if not count:
         return np.empty(0, np.int64)
     values = _mixed((np.arange(BUCKETS, dtype=np.uint64) << np.uint64(16)) + sketch.astype(np.uint64) + np.uint64(1))
-    rank = np.cumsum(occupied[_ORDERS], axis=1) if count < BUCKETS else np.broadcast_to(np.arange(1, BUCKETS + 1), _ORDERS.shape)
     lengths = [BAND, SHORT_BAND] if count <= SHORT else [BAND]
-    out = []
+    # The front of the orders mostly holds enough occupied registers.
+    front = min(BUCKETS, 2 * BAND * BUCKETS // count)
+    rank = np.cumsum(occupied[_ORDERS[:, :front]], axis=1)
+    if front < BUCKETS and (rank[:, -1] < BAND).any():
+        front, rank = BUCKETS, np.cumsum(occupied[_ORDERS], axis=1)
+    orders, out = _ORDERS[:, :front], []
     for length in lengths:
-        taken = occupied[_ORDERS] & (rank <= length)
-        own = np.where(taken, values[_ORDERS], np.uint64(0)).sum(axis=1, dtype=np.uint64)
+        taken = occupied[orders] & (rank <= length)
+        own = np.where(taken, values[orders], np.uint64(0)).sum(axis=1, dtype=np.uint64)
         out.append(_mixed(own + np.arange(BANDS, dtype=np.uint64) + np.uint64(BANDS * length)))
     return np.concatenate(out).view(np.int64)
 
@@ -286,6 +290,8 @@ def _rest_pairs(cells: DataFrame, full: DataFrame, percent: int, cell_rows: int,
             j_all.append(later)
             guesses.append(estimate(sketch[[i]], sketch[later], n[[i]], n[later])[0])
         i, j, guess = (np.concatenate(c) for c in (i_all, j_all, guesses))
+        here = _first_shared(sketch, i, j, table.column("cell")[0].as_py())  # other cells of a pair leave it out
+        i, j, guess = i[here], j[here], guess[here]
         turned = root[i] > root[j]
         i, j = np.where(turned, j, i), np.where(turned, i, j)
         if not every and len(i):
@@ -322,6 +328,22 @@ def _rest_pairs(cells: DataFrame, full: DataFrame, percent: int, cell_rows: int,
     return found.groupBy("root_a", "root_b").agg(best).select("best.*")
 
 
+def _first_shared(sketches: np.ndarray, i: np.ndarray, j: np.ndarray, cell: int) -> np.ndarray:
+    """Whether ``cell`` is the first that the sketches of a pair have in common."""
+    used, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+    rows = np.empty((len(used), 2 * BANDS), np.int64)
+    for k, u in enumerate(used.tolist()):
+        own = bands(sketches[u])
+        rows[k, : len(own)], rows[k, len(own) :] = own, -1 - k  # what is not there equals nothing
+    x, y = at[: len(i)], at[len(i) :]
+    out = np.zeros(len(i), bool)
+    for low in range(0, len(i), 1 << 14):
+        a, b = x[low : low + (1 << 14)], y[low : low + (1 << 14)]
+        first = (rows[a] == rows[b]).argmax(axis=1)
+        out[low : low + len(a)] = rows[a, first] == cell
+    return out
+
+
 def _spanning(a: list[int], b: list[int]) -> list[int]:
     """Places of the pairs that connect something not yet connected by those before."""
     above: dict[int, int] = {}

@@ -129,6 +129,28 @@ def test_large_groups_and_small_blocks(spark):
     assert sorted(found(docs, cell_rows=100), key=key) == want
 
 
+def test_bands_by_their_rule():
+    rng = np.random.default_rng(6)
+    for occupied in (1, 3, 8, 9, 30, 120, 255, 256):
+        x = np.full(256, hyperminhash.EMPTY, np.uint16)
+        x[rng.permutation(256)[:occupied]] = rng.integers(0, 50000, occupied)
+        for other in (x.copy(), np.where(np.arange(256) == np.nonzero(x != hyperminhash.EMPTY)[0][0], 60000, x).astype(np.uint16)):
+            fronts = [[[(b, int(s[b])) for b in order if s[b] != hyperminhash.EMPTY][:5] for order in hyperminhash._ORDERS] for s in (x, other)]
+            same = [p == q for p, q in zip(*fronts, strict=True)]
+            found = hyperminhash.bands(x)[:51] == hyperminhash.bands(other)[:51]
+            assert found.tolist() == same
+
+
+def test_a_pair_belongs_to_its_first_cell():
+    rng = np.random.default_rng(7)
+    x = rng.integers(0, 50000, 256).astype(np.uint16)
+    y = np.where(rng.random(256) < 0.1, 60000, x).astype(np.uint16)
+    shared = [c for c in hyperminhash.bands(x).tolist() if c in hyperminhash.bands(y).tolist()]
+    pair = np.array([0]), np.array([1])
+    assert len(shared) > 3
+    assert [bool(hyperminhash._first_shared(np.array([x, y]), *pair, c)[0]) for c in shared] == [True] + [False] * (len(shared) - 1)
+
+
 def test_spanning_pairs_connect_and_nothing_more():
     assert hyperminhash._spanning([1, 1, 2, 4, 3], [2, 3, 3, 5, 4]) == [0, 1, 3, 4]
 
