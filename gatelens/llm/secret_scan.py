@@ -2,9 +2,10 @@
 
 Three patterns give spans as they match.  Beyond them a candidate is only
 reported when it decodes to what it claims to be: an armored or bare base64 run,
-or a hex run, whose bytes parse as a key encoding with lengths that nest and add
-up (DER, or an OpenSSH key), and a dotted token whose header is a JSON object
-that names an algorithm.
+or a hex run, whose bytes parse as a private key with lengths that nest and add
+up (in DER: PKCS#8, PKCS#1, DSA or SEC1; or an OpenSSH key), and a dotted token
+whose header is a JSON object that names an algorithm.  Signatures, certificates
+and public keys are DER too, but have other parts and are not reported.
 
 Rows: a null text is empty.  Spans are in code points, end exclusive, by start and
 then by kind.  Patterns are found leftmost and non-overlapping per kind, whatever
@@ -46,7 +47,11 @@ _ARMOR = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s\\]
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
 _HEX_KEY = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-fA-F]{2}){32,}(?![0-9A-Za-z])")
 _OPENSSH = b"openssh-key-v1\0"
+_SEAL = 16  # bytes that some ciphers add behind the private part
 _DEPTH = 16
+_INTEGER, _OCTETS, _OID, _SEQUENCE = 0x02, 0x04, 0x06, 0x30
+#: Object identifiers of password-based encryption: PKCS#5 and PKCS#12.
+_PASSWORD_BASED = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 
 
 def _bytes_of(run: str) -> bytes | None:
@@ -84,24 +89,60 @@ def _der_end(data: bytes, at: int, stop: int, depth: int = 0) -> int | None:
     return at + size
 
 
+def _content(data: bytes, at: int) -> int:
+    """Where the content of the DER value at ``at`` begins."""
+    return at + 2 + (data[at + 1] & 0x7F if data[at + 1] & 0x80 else 0)
+
+
+def _parts(data: bytes, at: int, stop: int) -> list[tuple[int, bytes]]:
+    """(tag, content) of the values that fill the bytes; their lengths are known to add up."""
+    found = []
+    while at < stop:
+        end = _der_end(data, at, stop)
+        found.append((data[at], data[_content(data, at) : end]))
+        at = end
+    return found
+
+
 def is_der_key(data: bytes) -> bool:
-    """A DER sequence over all the bytes that begins with a version or an algorithm."""
-    if len(data) < 24 or data[0] != 0x30 or _der_end(data, 0, len(data)) != len(data):
+    """A private key in DER over all the bytes: PKCS#8, also encrypted, PKCS#1, DSA or SEC1."""
+    if len(data) < 24 or data[0] != _SEQUENCE or _der_end(data, 0, len(data)) != len(data):
         return False
-    first = 2 + (data[1] & 0x7F if data[1] & 0x80 else 0)
-    return data[first] in (0x02, 0x30)
+    parts = _parts(data, _content(data, 0), len(data))
+    tags, first = [tag for tag, _ in parts], parts[0][1]
+    if tags == [_SEQUENCE, _OCTETS]:
+        return _algorithm(first).startswith(_PASSWORD_BASED)
+    if tags[:3] == [_INTEGER, _SEQUENCE, _OCTETS]:  # attributes and a public key may follow
+        return first in (b"\0", b"\1") and bool(_algorithm(parts[1][1])) and set(tags[3:]) <= {0xA0, 0xA1, 0x81}
+    if tags[:2] == [_INTEGER, _OCTETS]:  # a curve and a public key may follow
+        return first == b"\1" and tags[2:] in ([], [0xA0], [0xA1], [0xA0, 0xA1])
+    if first == b"\1":  # more than two primes, in a list behind
+        return tags == [_INTEGER] * 9 + [_SEQUENCE]
+    return first == b"\0" and tags in ([_INTEGER] * 9, [_INTEGER] * 6)
+
+
+def _algorithm(content: bytes) -> bytes:
+    """The object identifier that an algorithm begins with, or nothing."""
+    parts = _parts(content, 0, len(content))
+    return parts[0][1] if parts and parts[0][0] == _OID else b""
 
 
 def is_openssh_key(data: bytes) -> bool:
-    """The magic word, then cipher, kdf and options as strings whose lengths fit."""
+    """The magic word, cipher, kdf and options, the public keys, and the private part, which ends the bytes."""
     if not data.startswith(_OPENSSH):
         return False
     at = len(_OPENSSH)
+    number = lambda: int.from_bytes(data[at : at + 4], "big")
     for _ in range(3):
-        if at + 4 > len(data):
+        at += 4 + number()
+    keys, at = number(), at + 4
+    if keys < 1 or 4 * keys > len(data):
+        return False
+    for _ in range(keys + 1):
+        if at + 4 > len(data) or not number():
             return False
-        at += 4 + int.from_bytes(data[at : at + 4], "big")
-    return at + 4 <= len(data) and int.from_bytes(data[at : at + 4], "big") >= 1
+        at += 4 + number()
+    return len(data) - at in (0, _SEAL)
 
 
 def is_key(data: bytes | None) -> bool:

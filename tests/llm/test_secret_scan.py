@@ -37,6 +37,45 @@ JWT = ".".join(base64.urlsafe_b64encode(json.dumps(p).encode()).decode().rstrip(
                for p in ({"alg": "HS256", "typ": "JWT"}, {"sub": "1"})) + ".c2lnbmF0dXJl"
 
 
+ED25519 = der(0x30, der(6, bytes.fromhex("2b6570")))  # algorithm
+OCTETS = hashlib.sha256(b"key").digest()
+PRIVATE = [
+    der(0x30, der(2, b"\0") + ED25519 + der(4, der(4, OCTETS))),  # PKCS#8
+    der(0x30, der(2, b"\1") + ED25519 + der(4, der(4, OCTETS)) + der(0x81, b"\0" + OCTETS)),  # with its public key
+    KEY,  # PKCS#1
+    der(0x30, der(2, b"\0") + der(2, OCTETS) * 5),  # DSA
+    der(0x30, der(2, b"\1") + der(4, OCTETS) + der(0xA0, der(6, bytes.fromhex("2a8648ce3d030107")))),  # SEC1
+    der(0x30, der(0x30, der(6, bytes.fromhex("2a864886f70d01050d")) + der(0x30, b"")) + der(4, OCTETS)),  # encrypted
+]
+OTHER = [
+    der(0x30, der(2, OCTETS) * 2),  # a signature
+    der(0x30, ED25519 + der(3, b"\0" + OCTETS)),  # a public key
+    der(0x30, der(0x30, der(2, b"\2") + ED25519) + ED25519 + der(3, b"\0" + OCTETS)),  # a certificate
+    der(0x30, der(0x30, der(6, bytes.fromhex("608648016503040201")) + der(5, b"")) + der(4, OCTETS)),  # a digest
+    der(0x30, der(2, b"\1") + der(2, OCTETS) * 8),  # nine numbers of no known version
+    der(0x30, der(2, b"\0") + der(0x30, b"") + der(4, OCTETS)),  # no algorithm named
+    der(0x30, der(2, b"\0") + der(4, OCTETS)),  # SEC1 of version 0
+    der(0x30, b"") + b"\0" * 30,
+]
+
+
+def openssh(public, private, seal=b""):
+    string = lambda b: len(b).to_bytes(4, "big") + b
+    head = b"openssh-key-v1\0" + string(b"none") * 2 + string(b"") + len(public).to_bytes(4, "big")
+    return head + b"".join(map(string, public)) + string(private) + seal
+
+
+def test_only_private_keys_are_keys():
+    for data in [*PRIVATE, openssh([b"a" * 20, b"b" * 20], b"c" * 64), openssh([b"a" * 20], b"c" * 64, b"s" * 16)]:
+        for text in (base64.b64encode(data).decode(), base64.urlsafe_b64encode(data).decode().rstrip("="), data.hex()):
+            assert [(k, a, b) for a, k, b in secret_scan.confirmed_spans(text)] == [(4, 0, len(text))], data
+    ssh = openssh([b"a" * 20], b"c" * 64)
+    for data in [*OTHER, ssh[:-1], ssh + b"x", ssh.replace(b"\0\0\0\1", b"\xff\xff\xff\xff"), openssh([], b"c" * 64), ssh[:30],
+                 *(key[:-1] for key in PRIVATE), *(key + b"\0" for key in PRIVATE)]:
+        for text in (base64.b64encode(data).decode(), data.hex()):
+            assert not list(secret_scan.confirmed_spans(text)), data
+
+
 def test_whole_query(spark, sf_dir):
     rows = {r.doc_id: r for r in queries.op7_secret_scan(spark, sf_dir).collect()}
     docs = documents(spark, sf_dir).collect()
@@ -51,7 +90,7 @@ def test_whole_query(spark, sf_dir):
 
 def test_structures():
     pem = "-----BEGIN RSA PRIVATE KEY-----\n" + base64.encodebytes(KEY).decode() + "-----END RSA PRIVATE KEY-----"
-    ssh = base64.b64encode(b"openssh-key-v1\0" + (b"\0\0\0\4none" * 2) + b"\0\0\0\0" + b"\0\0\0\1" + b"x" * 30).decode()
+    ssh = base64.b64encode(openssh([b"x" * 30], b"y" * 40)).decode()
     good = {"token": [JWT], "key": [pem, base64.b64encode(KEY).decode(), KEY.hex().upper(), ssh]}
     for kind, texts in good.items():
         for text in texts:
