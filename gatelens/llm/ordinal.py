@@ -9,7 +9,7 @@ ratings; scoring is one pass over the documents.
 
 Rows: a null or empty text has no features; its grades follow from the thresholds.
 Ratings without an id or grade are left out, of several for one id the lowest
-counts.  With fewer than two grades among the ratings all documents get that grade.
+counts, and of several documents with one id the text with the least hash.  With fewer than two grades among the ratings all documents get that grade.
 """
 
 from __future__ import annotations
@@ -129,7 +129,10 @@ def fit(docs: DataFrame, ratings: DataFrame, most: int = MAX_EXAMPLES, buckets:
         found = [features(t, buckets) for t in batch.column(0).to_pylist()]
         return [[n.tolist() for n, _ in found], [v.tolist() for _, v in found]]
 
-    rows = with_struct(joined.select("text", "grade"), "x", "numbers array<int>, values array<float>", run)
+    # One row per rating: an id may be on any number of documents.
+    one = F.min_by(F.struct("text", "grade"), F.xxhash64("text")).alias("e")
+    single = joined.groupBy("__id").agg(one).select("e.*")
+    rows = with_struct(single, "x", "numbers array<int>, values array<float>", run)
     table = rows.select("grade", "x.*").toArrow().combine_chunks()  # bounded by ``most``
     numbers, values = (_parts(table.column(c)) for c in ("numbers", "values"))
     grades = table.column("grade").to_numpy()

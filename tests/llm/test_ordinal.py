@@ -56,3 +56,13 @@ def test_odd_rows(spark):
     assert ids.count(500) in (0, 2)
     assert ordinal.accepted(docs.limit(0), labels).collect() == []
     assert ordinal.accepted(docs, labels.limit(0)).count() == docs.count()
+
+
+def test_an_id_on_many_documents_is_one_example(spark, monkeypatch):
+    rows = [(1, f"one id on many texts {i}") for i in range(300)] + [(2, "another text"), (3, None), (3, "a third")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    ratings = spark.createDataFrame([(1, 0), (2, 1), (3, 1)], "doc_id long, grade int")
+    seen = []
+    monkeypatch.setattr(ordinal, "fit_ordinal", lambda rows, grades, buckets: seen.append(grades.tolist()))
+    ordinal.fit(docs, ratings)
+    assert seen == [[0.0, 1.0, 1.0]]
