@@ -212,7 +212,8 @@ def examples(docs: DataFrame, labels: DataFrame, most: int = MAX_EXAMPLES) -> Da
     """(text, toxic) of about ``most`` labelled rows at most, of those not held out; by a hash of the id.
 
     Copies and near copies would count a document's words again and again, so of
-    texts with the same least shingle hash one is an example.
+    texts with the same least shingle hash one is an example.  An id may be on any
+    number of documents; the text with the least hash stands for it.
     """
     own = labels.select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("toxic")).dropna()
     own = own.filter(fold("__id") != 1).groupBy("__id").agg(F.max("toxic").alias("toxic"))
@@ -224,7 +225,9 @@ def examples(docs: DataFrame, labels: DataFrame, most: int = MAX_EXAMPLES) -> Da
     def key(batch: pa.RecordBatch) -> list:
         return [[_least_shingle(t or "") for t in batch.column(0).to_pylist()]]
 
-    keyed = with_struct(joined.select("text", "toxic"), "__key", "least long", key)
+    own_text = F.min_by(F.struct("text", "toxic"), F.xxhash64("text")).alias("e")
+    single = joined.groupBy("__id").agg(own_text).select("e.*")
+    keyed = with_struct(single, "__key", "least long", key)
     one = F.min_by(F.struct("text", "toxic"), F.struct(F.xxhash64("text"), F.col("toxic")))
     return written(keyed.groupBy("__key.least").agg(one.alias("e")).select("e.*"), "toxicity-examples")
 

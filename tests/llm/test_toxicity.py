@@ -81,3 +81,11 @@ def test_odd_rows(spark):
     assert toxicity.scored(docs.limit(0), model).collect() == []
     blank = toxicity.fit(docs, labels.limit(0))
     assert {r.toxicity.score for r in toxicity.scored(docs, blank).collect()} == {0.5}
+
+
+def test_an_id_on_many_documents_is_one_example(spark):
+    rows = [(8, f"one id on {i} many quite different texts {i * i}") for i in range(300)] + [(1, "another text"), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    labels = spark.createDataFrame([(i, i % 2) for i in (1, 7, 8)], "doc_id long, toxic int")
+    assert all(zlib.crc32(str(i).encode()) % 3 != 1 for i in (1, 7, 8))
+    assert toxicity.examples(docs, labels).count() == 3
