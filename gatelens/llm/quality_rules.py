@@ -1,13 +1,15 @@
 """Quality rules whose thresholds follow each language and source.
 
-Every rate of a document (per mille, whole numbers) goes into a quantile sketch
-per language and source: counts by the rate's seven leading bits.  Such sketches
-merge by adding counts, so tasks summarize before the shuffle, no order changes
-them, and one group may hold any share of the rows.  A rule's threshold is the
-group's upper quartile, and as many times its quartile distance, and a slack
-that spares groups in which nearly all rates are alike.  A group of fewer than
-``least`` documents takes the merged sketch of its language, and a language of
-fewer that of all documents.  Documents then join with the thresholds.
+Every rate of a document that passes the base rule (per mille, whole numbers) goes
+into a quantile sketch per language and source: counts by the rate's seven leading
+bits.  Such sketches merge by adding counts, so tasks summarize before the shuffle,
+no order changes them, and one group may hold any share of the rows.  A rule's
+threshold lies ``REACH`` quartile distances above the group's upper quartile, so
+marks, capitals and word lengths have no cutoff of their own: what is usual in one
+source is too much in another.  Repeats are absent from most documents, so their
+quartiles are mostly nil; only these two rules have an allowance on top.  A group
+of fewer than ``least`` such documents takes the merged sketch of its language, and
+a language of fewer that of all documents.  Documents then join with the thresholds.
 
 Rows: a null text has no words and fails the base rule.  Null languages and
 sources are groups like any other.  Repeated rows count and are judged each.
@@ -17,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -26,9 +28,9 @@ from gatelens.llm.common import utf8, with_struct, written
 LEAST_WORDS = 50
 MOST_REPEATED = 50  # per cent of words in windows found twice
 LEAST = 30
-REACH = 3  # quartile distances
-#: Slack of each rule, in its unit.
-SLACK = {"symbols": 50, "dup_lines": 350, "repeats": 400, "capitals": 100, "marks": 50, "word_length": 150}
+REACH = 5  # quartile distances
+#: Allowance of each rule, in its unit.
+SLACK = {"dup_lines": 350, "repeats": 400, "capitals": 0, "marks": 0, "word_length": 0}
 FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, " + ", ".join(
     f"{rule} long" for rule in SLACK
 )
@@ -72,7 +74,6 @@ def measure(text: str | None) -> tuple[int, ...]:
         symbols,
         doubles,
         repeated,
-        1000 * symbols // per_char,
         1000 * doubles // per_line,
         1000 * repeated // per_word,
         1000 * _count(data, _CAPITALS) // per_char,
@@ -96,11 +97,15 @@ def sketch(rates: DataFrame, by: list[str]) -> DataFrame:
     rows = rates.select(
         *by, F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("rate")) for r in SLACK])).alias("r")
     ).select(*by, "r.rule", "r.rate")
-    rest = F.greatest(F.length(F.bin("rate")) - 7, F.lit(0))
-    rows = rows.withColumn("rest", rest).withColumn("bucket", F.expr("shiftleft(shiftright(rate, rest), rest)"))
+    rows = rows.withColumn("rest", _rest("rate")).withColumn("bucket", F.expr("shiftleft(shiftright(rate, rest), rest)"))
     return rows.groupBy(*by, "rule", "bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _rest(rate: str) -> Column:
+    """How many bits follow the seven leading ones."""
+    return F.greatest(F.length(F.bin(rate)) - 7, F.lit(0))
+
+
 def thresholds(counts: DataFrame, by: list[str]) -> DataFrame:
     """(by, n, one threshold per rule) from a sketch."""
     own = Window.partitionBy(*by, "rule")
@@ -111,7 +116,9 @@ def thresholds(counts: DataFrame, by: list[str]) -> DataFrame:
         F.first("all").alias("n"), quartile(1).alias("low"), quartile(3).alias("high")
     )
     slack = F.create_map(*[F.lit(x) for pair in SLACK.items() for x in pair])[F.col("rule")]
-    limit = F.col("high") + REACH * (F.col("high") - F.col("low")) + slack
+    limits = limits.withColumn("rest", _rest("high"))
+    high = F.expr("high + shiftleft(1L, rest) - 1")  # the last rate of its bucket
+    limit = high + REACH * (high - F.col("low")) + slack
     pick = lambda rule: F.max(F.when(F.col("rule") == rule, limit)).alias(f"most_{rule}")
     return limits.groupBy(*by).agg(F.max("n").alias("n"), *map(pick, SLACK))
 
@@ -136,10 +143,10 @@ def judged(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc_id, the counts, base_failed, kept), one row per document."""
     slim = measured(docs.select("doc_id", "text", "lang", "source"))
     slim = written(slim.select("doc_id", "lang", "source", "measures.*"), "measures")
-    limits = written(group_thresholds(slim, least), "thresholds").alias("t")
+    base = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
+    limits = written(group_thresholds(slim.filter(~base), least), "thresholds").alias("t")
     m = slim.alias("m")
     same = F.col("m.lang").eqNullSafe(F.col("t.lang")) & F.col("m.source").eqNullSafe(F.col("t.source"))
-    base = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     within = F.lit(True)
     for rule in SLACK:
         within = within & (F.col(f"m.{rule}") <= F.col(f"t.most_{rule}"))

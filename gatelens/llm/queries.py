@@ -135,22 +135,24 @@ WITH words AS (
            length(regexp_replace(text, '[^!-/:-@\[-`{{-~]', '', 'g')) AS n_marks
     FROM words LEFT JOIN repeats r USING (row) LEFT JOIN lines l USING (row)
 ), rates AS (
-    SELECT *, 1000 * n_symbols // greatest(word_chars, 1) AS symbols, 1000 * n_dup_lines // greatest(n_lines, 1) AS dup_lines,
+    SELECT *, n_words < {quality_rules.LEAST_WORDS} OR 100 * n_repeat_words > {quality_rules.MOST_REPEATED} * n_words AS base_failed,
+           1000 * n_dup_lines // greatest(n_lines, 1) AS dup_lines,
            1000 * n_repeat_words // greatest(n_words, 1) AS repeats, 1000 * n_capitals // greatest(word_chars, 1) AS capitals,
            1000 * n_marks // greatest(word_chars, 1) AS marks, 100 * word_chars // greatest(n_words, 1) AS word_length
     FROM counts
 ), long AS (
-    {" UNION ALL ".join(f"SELECT row, lang, source, '{r}' AS rule, {s} AS slack, {r} AS rate FROM rates" for r, s in _RULES)}
+    {" UNION ALL ".join(f"SELECT row, lang, source, base_failed, '{r}' AS rule, {s} AS slack, {r} AS rate FROM rates" for r, s in _RULES)}
 ), truncated AS (
-    SELECT *, CAST(rate AS BIGINT) - CAST(rate AS BIGINT) % (CAST(1 AS BIGINT) << greatest(length(bin(CAST(rate AS BIGINT))) - 7, 0)) AS bucket
-    FROM long
+    SELECT *, CAST(1 AS BIGINT) << greatest(length(bin(CAST(rate AS BIGINT))) - 7, 0) AS width,
+           CAST(rate AS BIGINT) - CAST(rate AS BIGINT) % width AS bucket
+    FROM long WHERE NOT base_failed
 ), sets AS (
-    SELECT 1 AS level, lang, source, rule, slack, bucket FROM truncated UNION ALL
-    SELECT 2, lang, NULL, rule, slack, bucket FROM truncated UNION ALL
-    SELECT 3, NULL, NULL, rule, slack, bucket FROM truncated
+    SELECT 1 AS level, lang, source, rule, slack, bucket, width FROM truncated UNION ALL
+    SELECT 2, lang, NULL, rule, slack, bucket, width FROM truncated UNION ALL
+    SELECT 3, NULL, NULL, rule, slack, bucket, width FROM truncated
 ), quartiles AS (
     SELECT level, lang, source, rule, any_value(slack) AS slack, count(*) AS n,
-           quantile_disc(bucket, 0.25) AS low, quantile_disc(bucket, 0.75) AS high
+           quantile_disc(bucket, 0.25) AS low, quantile_disc(bucket + width - 1, 0.75) AS high
     FROM sets GROUP BY level, lang, source, rule
 ), limits AS (
     SELECT g.lang, g.source, g.rule, CASE WHEN g.n >= {quality_rules.LEAST} THEN g.most WHEN l.n >= {quality_rules.LEAST} THEN l.most ELSE e.most END AS most
@@ -159,12 +161,10 @@ WITH words AS (
     JOIN (SELECT *, {_LIMIT} AS most FROM quartiles WHERE level = 3) e ON e.rule = g.rule
 ), verdicts AS (
     SELECT x.row, bool_and(x.rate <= t.most) AS within
-    FROM long x JOIN limits t ON t.rule = x.rule AND t.lang IS NOT DISTINCT FROM x.lang AND t.source IS NOT DISTINCT FROM x.source
+    FROM long x LEFT JOIN limits t ON t.rule = x.rule AND t.lang IS NOT DISTINCT FROM x.lang AND t.source IS NOT DISTINCT FROM x.source
     GROUP BY x.row
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-       n_words < {quality_rules.LEAST_WORDS} OR 100 * n_repeat_words > {quality_rules.MOST_REPEATED} * n_words AS base_failed,
-       NOT base_failed AND within AS kept
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND within AS kept
 FROM rates JOIN verdicts USING (row)
 """
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import random
 from collections import Counter
 
 from gatelens.llm import quality_rules as rules
 from gatelens.llm import queries
+from gatelens.llm.common import documents
 
 
 def test_measures():
@@ -48,3 +50,28 @@ def test_large_groups_have_their_own_thresholds(spark):
     docs = spark.createDataFrame([*rows, (200, dots, "en", "b")], "doc_id long, text string, lang string, source string")
     kept = {r.doc_id for r in rules.judged(docs).filter("kept").collect()}
     assert kept == {*range(50), *range(100, 150)}
+
+
+def test_every_rule_fires(spark):
+    rng = random.Random(4)
+    words = lambda n, chars=5: ["".join(rng.choices("abcdefghijklmnop", k=chars)) for _ in range(n)]
+    usual = lambda: " ".join(w.capitalize() + "." if rng.random() < 0.1 else w for w in words(rng.randint(60, 90)))
+    odd = {
+        1: "\n".join([" ".join(words(20)) for _ in range(3)] + ["same"] * 5),  # lines
+        2: " ".join(words(40) + 2 * words(14)),  # repeats
+        3: " ".join(words(60)).upper(),  # capitals
+        4: " ".join(w + "#" for w in words(60)),  # marks
+        5: " ".join(words(60, 15)),  # word length
+    }
+    rows = [(100 + i, usual(), "en", "a") for i in range(200)] + [(i, text, "en", "a") for i, text in odd.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = rules.judged(docs).collect()
+    assert {r.doc_id for r in found if not r.kept} == set(odd) and not any(r.base_failed for r in found)
+
+
+def test_limits_differ_between_groups(spark):
+    sf_dir = "/root/testdata/sf0.1"
+    slim = rules.measured(documents(spark, sf_dir).select("doc_id", "text", "lang", "source"))
+    slim = slim.select("doc_id", "lang", "source", "measures.*")
+    own = rules.group_thresholds(slim.filter("n_words >= 50 and 2 * n_repeat_words <= n_words")).collect()
+    assert len({r.most_marks for r in own}) > 20 and len({r.most_word_length for r in own}) > 20
