@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import re
+import string
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -26,6 +27,7 @@ TEXTS = st.lists(
     min_size=20,
     max_size=60,
 )
+ALPHABET = string.ascii_uppercase + string.ascii_lowercase + string.digits + "+/"
 QUICK = settings(
     max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture, HealthCheck.too_slow]
 )
@@ -44,15 +46,17 @@ def py_redact(value: str) -> str:
 
 
 def py_expand(value: str) -> str:
-    parts = []
-    for run in re.findall(r"[A-Za-z0-9+/]{20,}={0,2}", value):
-        try:
-            decoded = base64.b64decode(run).decode("utf-8", errors="ignore")
-        except Exception:
-            continue
-        if len(decoded) > 5:
-            parts.append(decoded)
-    return " ".join([value, *parts])
+    """The blueprint's rule (7.4, item 3): which lengths and paddings are base64, six bits a character."""
+    valid = {(0, 0), (0, 1), (0, 2), (2, 2), (3, 1), (3, 2)}
+
+    def text_of(body: str, padding: int) -> str:
+        if (len(body) % 4, padding) not in valid:
+            return ""
+        bits = "".join(format(ALPHABET.index(c), "06b") for c in body)
+        return bytes(int(bits[k : k + 8], 2) for k in range(0, len(bits) - 7, 8)).decode("utf-8", "ignore")
+
+    texts = [text_of(m[1], len(m[2])) for m in re.finditer("([A-Za-z0-9+/]{20,})(={0,2})", value)]
+    return " ".join([value, *(t for t in texts if len(t) > 5)])
 
 
 def py_pattern(value: str):
