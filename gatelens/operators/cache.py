@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import and_
 
@@ -136,18 +137,26 @@ def tiered_lookup(
     index: DataFrame,
     threshold: float = cfg.SIMILARITY_THRESHOLD,
     scope: str = "tenant",
+    vectors: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Exact tier, then the most similar live entry, else a miss; adds tier and response.
 
     ``index`` holds (seq, tenant, prompt_hash, vector).  Only requests the exact
     tier missed reach the vector search.  In both tiers an entry answers from its
     write on until it expires.
+
+    Requests bring their ``vector``, or ``vectors`` adds it to those that the exact
+    tier missed; then exact hits have none, and what was embedded is kept in a work
+    table, so that nothing is embedded twice.
     """
     from gatelens.operators.semantic import semantic_top1
 
     looked_up = exact_lookup(requests, cache)
-    exact = looked_up.filter(F.col("response").isNotNull()).withColumn("tier", F.lit("exact"))
-    missed = looked_up.filter(F.col("response").isNull()).drop("response")
+    if vectors is not None:
+        embedded = vectors(looked_up.filter(F.col("response").isNull()))
+        hits = looked_up.filter(F.col("response").isNotNull())
+        looked_up = work_table(embedded.unionByName(hits, allowMissingColumns=True), "looked-up")
+    missed = looked_up.filter(F.col("response").isNull())
     live_index = index.join(cache.select("prompt_hash", "stored_at", "expires_at"), "prompt_hash").select(
         "seq", "tenant", "vector", "stored_at", "expires_at"
     )
@@ -160,13 +169,15 @@ def tiered_lookup(
     )
     # Only the few winners look up their entry; vectors and responses never meet.
     hashes = best.join(index.select("seq", "prompt_hash"), "seq")
-    found = hashes.join(cache.select("prompt_hash", "response"), "prompt_hash").select(
-        F.col("query_id").alias("request_id"), "response"
+    found = hashes.join(cache.select("prompt_hash", F.col("response").alias("__near")), "prompt_hash").select(
+        F.col("query_id").alias("request_id"), "__near"
     )
-    second = missed.join(found, "request_id", "left").withColumn(
-        "tier", F.when(F.col("response").isNotNull(), "semantic").otherwise("miss")
+    tier = F.when(F.col("response").isNotNull(), "exact").when(F.col("__near").isNotNull(), "semantic").otherwise("miss")
+    return (
+        looked_up.join(found, "request_id", "left")
+        .withColumns({"tier": tier, "response": F.coalesce("response", "__near")})
+        .drop("__near")
     )
-    return exact.unionByName(second)
 
 
 def cache_hit_rows(hits: DataFrame) -> DataFrame:

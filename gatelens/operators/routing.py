@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatelens import settings as cfg
@@ -47,6 +47,25 @@ def ambiguous(score: Column) -> Column:
     return (score > cfg.LEAN_SCORE) & (score < cfg.STRONG_SCORE)
 
 
+def sample_exemplars(spark: SparkSession, encoder=None) -> DataFrame:
+    """(kind, text, vector) of the built-in sample prompts, embedded as the prompts are."""
+    from gatelens.operators.embed import embed
+
+    rows = [("complex", t) for t in cfg.COMPLEX_EXEMPLARS]
+    rows += [("trivial", t) for t in cfg.TRIVIAL_EXEMPLARS]
+    return embed(literal_rows(spark, ["kind", "text"], rows), "text", encoder)
+
+
+def label_open(scored: DataFrame, vec: str, exemplars: DataFrame) -> DataFrame:
+    """Add the classifier's ``label`` to scores the heuristic leaves open; it is NULL elsewhere.
+
+    The exemplars are folded to two centroids, so this is one pass without a
+    shuffle and works on a stream as well.
+    """
+    labelled = exemplar_similarity(scored, vec, exemplars).drop("avg_complex", "avg_trivial")
+    return labelled.withColumn("label", F.when(ambiguous(F.col("score")), F.col("label")))
+
+
 def decide_route(
     df: DataFrame,
     score: str = "score",
@@ -103,10 +122,7 @@ def route_prompts(
         "label", F.lit(None).cast("string")
     )
     if exemplars is None:
-        rows = [("complex", t) for t in cfg.COMPLEX_EXEMPLARS]
-        rows += [("trivial", t) for t in cfg.TRIVIAL_EXEMPLARS]
-        samples = literal_rows(df.sparkSession, ["kind", "text"], rows)
-        exemplars = embed(samples, "text", encoder)
+        exemplars = sample_exemplars(df.sparkSession, encoder)
     open_ = embed(scored.filter(ambiguous(F.col("score"))), text, encoder, out="__vec")
     labelled = exemplar_similarity(open_, "__vec", exemplars).drop(
         "__vec", "avg_complex", "avg_trivial"

@@ -136,6 +136,29 @@ _SAMPLES = ", ".join(
     )
 )
 
+
+def kind_sql(source: str, key: str, text: str) -> str:
+    """(key, kind) of the nearer centroid of the sample prompts, for texts that share a feature with one."""
+    samples = f"(SELECT * FROM (VALUES {_SAMPLES}) s(sample, kind, text))"
+    return f"""
+        SELECT e.{key}, CASE WHEN coalesce(sum(e.x * c.x) FILTER (c.kind = 'complex'), 0)
+            > coalesce(sum(e.x * c.x) FILTER (c.kind = 'trivial'), 0) THEN 'complex' ELSE 'trivial' END AS kind
+        FROM ({embed_sql(source, key, text)}) e JOIN (
+          SELECT s.kind, e.bucket, sum(e.x) / any_value(s.n) AS x FROM ({embed_sql(samples, "sample", "text")}) e
+          JOIN (SELECT *, count(*) OVER (PARTITION BY kind) AS n FROM {samples}) s ON s.sample = e.sample
+          GROUP BY 1, 2) c ON c.bucket = e.bucket GROUP BY 1"""
+
+
+def label_sql(score: str, kind: str) -> str:
+    """The classifier's label of an open score."""
+    return f"CASE WHEN {score} > {cfg.LEAN_SCORE} AND {score} < {cfg.STRONG_SCORE} THEN coalesce({kind}, 'trivial') END"
+
+
+def strong_sql(score: str, label: str) -> str:
+    """Whether the strong model is chosen, where every open score has a label."""
+    return f"coalesce({label} = 'complex', {score} >= {cfg.STRONG_SCORE})"
+
+
 SQL = {
     "route_keyword_score": f"SELECT doc_id, ({_KEYWORDS})::INTEGER AS score FROM fx_routing",
     "route_length_score": f"SELECT doc_id, ({_LENGTH})::INTEGER AS score FROM fx_routing",
@@ -153,19 +176,11 @@ SQL = {
             WHEN v.avg_complex > v.avg_trivial THEN 'complex' ELSE 'trivial' END AS label
           FROM fx_scored s LEFT JOIN fx_similar v ON v.vec_id = s.doc_id))""",
     "route_prompts": f"""
-        WITH samples AS (SELECT * FROM (VALUES {_SAMPLES}) s(sample, kind, text)),
-        centroids AS (SELECT s.kind, e.bucket, sum(e.x) / any_value(s.n) AS x
-          FROM ({embed_sql("samples", "sample", "text")}) e
-          JOIN (SELECT *, count(*) OVER (PARTITION BY kind) AS n FROM samples) s ON s.sample = e.sample GROUP BY 1, 2),
-        near AS (SELECT e.doc_id, coalesce(sum(e.x * c.x) FILTER (c.kind = 'complex'), 0) AS avg_complex,
-            coalesce(sum(e.x * c.x) FILTER (c.kind = 'trivial'), 0) AS avg_trivial
-          FROM ({embed_sql("fx_routing", "doc_id", "text")}) e JOIN centroids c ON c.bucket = e.bucket GROUP BY 1),
-        labelled AS (SELECT s.doc_id, s.score, CASE WHEN s.score > {cfg.LEAN_SCORE} AND s.score < {cfg.STRONG_SCORE} THEN
-            CASE WHEN coalesce(n.avg_complex > n.avg_trivial, false) THEN 'complex' ELSE 'trivial' END END AS label
-          FROM fx_scored s LEFT JOIN near n ON n.doc_id = s.doc_id)
-        SELECT doc_id, score, label, CASE WHEN strong THEN 'gpt-4o' ELSE 'gpt-3.5-turbo' END AS target_model,
-          CASE WHEN strong THEN 'intensive_reasoning' ELSE 'efficiency_optimized' END AS strategy
-        FROM (SELECT *, coalesce(label = 'complex', score >= {cfg.STRONG_SCORE}) AS strong FROM labelled)""",
+        WITH labelled AS (SELECT s.doc_id, s.score, {label_sql("s.score", "n.kind")} AS label
+          FROM fx_scored s LEFT JOIN ({kind_sql("fx_routing", "doc_id", "text")}) n ON n.doc_id = s.doc_id)
+        SELECT doc_id, score, label, CASE WHEN {strong_sql("score", "label")} THEN 'gpt-4o' ELSE 'gpt-3.5-turbo' END AS target_model,
+          CASE WHEN {strong_sql("score", "label")} THEN 'intensive_reasoning' ELSE 'efficiency_optimized' END AS strategy
+        FROM labelled""",
     "route_model_pair": """
         SELECT user_id AS tenant,
           CASE WHEN user_id % 4 = 0 THEN 'gpt-3.5-turbo' WHEN user_id % 3 = 0 THEN 'llama-3.1-8b-instant'

@@ -221,7 +221,7 @@ QUERIES = {
 
 
 def _enrich_sql() -> str:
-    from gatelens.plans.routing import _KEYWORDS, _LENGTH, _STRUCTURE
+    from gatelens.plans.routing import _KEYWORDS, _LENGTH, _STRUCTURE, kind_sql, label_sql, strong_sql
 
     return f"""
         WITH last AS (SELECT request_id, text FROM fx_message_text WHERE pos = n - 1),
@@ -230,14 +230,16 @@ def _enrich_sql() -> str:
         redacted AS (SELECT request_id, {redact_sql("text")} AS text FROM last),
         scored AS (SELECT request_id, text, ({_KEYWORDS} + {_LENGTH} + {_STRUCTURE})::INTEGER AS score,
           sha256(substr(sha256('Bearer key-' || (request_id % 5)), 1, 16) || ':' ||
-            trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS prompt_hash FROM redacted)
+            trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS prompt_hash FROM redacted),
+        labelled AS (SELECT s.*, {label_sql("s.score", "k.kind")} AS label
+          FROM scored s LEFT JOIN ({kind_sql("redacted", "request_id", "text")}) k ON k.request_id = s.request_id)
         SELECT p.request_id, CASE WHEN p.reason IS NOT NULL THEN 'rejected' WHEN f.pattern IS NOT NULL THEN 'blocked'
-          ELSE 'accepted' END AS outcome, f.pattern, s.text AS prompt, s.prompt_hash, s.score,
-          CASE WHEN s.score IS NULL THEN NULL WHEN s.score >= {cfg.FALLBACK_STRONG_SCORE} THEN 'gpt-4o' ELSE 'gpt-3.5-turbo' END AS target_model,
-          CASE WHEN s.score >= {cfg.STRONG_SCORE} THEN 'intensive_reasoning' WHEN s.score <= {cfg.LEAN_SCORE} THEN 'efficiency_optimized'
-            WHEN s.score IS NOT NULL THEN 'balanced_performance' END AS strategy
+          ELSE 'accepted' END AS outcome, f.pattern, s.text AS prompt, s.prompt_hash, s.score, s.label,
+          CASE WHEN s.score IS NULL THEN NULL WHEN {strong_sql("s.score", "s.label")} THEN 'gpt-4o' ELSE 'gpt-3.5-turbo' END AS target_model,
+          CASE WHEN s.score IS NULL THEN NULL WHEN {strong_sql("s.score", "s.label")} THEN 'intensive_reasoning'
+            ELSE 'efficiency_optimized' END AS strategy
         FROM fx_parsed p LEFT JOIN flagged f ON f.request_id = p.request_id
-        LEFT JOIN scored s ON s.request_id = p.request_id AND f.pattern IS NULL"""
+        LEFT JOIN labelled s ON s.request_id = p.request_id AND f.pattern IS NULL"""
 
 
 SQL = {
