@@ -80,15 +80,3 @@ def matches(text: Column, kind: str) -> Column:
     """Number of matches of one PII type."""
     counted = F.regexp_count(text, F.lit(_java(kind)))
     return F.when(_may_match(text, kind), counted).otherwise(0).cast("long")
-
-
-def redact_entities(text: Column) -> Column:
-    """The entity types a pattern alone can recognise (addresses, account numbers)."""
-    chained = reduce(
-        lambda acc, kind: F.regexp_replace(
-            acc, F.lit(cfg.ENTITY_PATTERNS[kind]), F.lit(f"[REDACTED_{kind}]")
-        ),
-        cfg.ENTITY_PATTERNS,
-        text,
-    )
-    return F.when(F.rlike(text, F.lit("[0-9]")), chained).otherwise(text)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatelens import settings as cfg
-from gatelens.functions import pii
+from gatelens.functions import entities, pii
 from gatelens.functions.injection import first_pattern, scan_text
 from gatelens.functions.models import bearer_token, key_preview
 from gatelens.functions.once import compute_once
@@ -70,12 +70,24 @@ def entity_redact(
 ) -> DataFrame:
     """Both redaction passes: the patterns, then typed entities.
 
-    Address and account patterns are built in.  ``recogniser`` is a factory that
-    each Python worker calls once, for a model that finds ``(start, end, type,
-    score)`` in each of a list of texts.  Without one, or where it fails on a
-    text, the text stays as the patterns left it.
+    The types that a pattern can carry are built in, all but names of persons:
+    mail and network addresses, phones, cards and accounts (with their check
+    digits), social security numbers, passports and driving licences (by the words
+    before them).  What overlaps goes as one, under the type of the best score.
+    Places are looked up per entity, so a text's cost grows with its length and
+    with its number of entities times its length.
+
+    ``recogniser`` is a factory that each Python worker calls once, for a model
+    that finds ``(start, end, type, score)`` in each of a list of texts.  Without
+    one, or where it fails on a text, the text stays as the patterns left it.
     """
-    done = df.withColumn(text, pii.redact_entities(pii.redact_pii(F.col(text))))
+    redacted = compute_once(df, __redacted=pii.redact_pii(F.col(text)))
+    first = redacted.withColumn(text, F.col("__redacted")).drop("__redacted")
+    kept = F.col(text)
+    found = F.when(entities.may_have_entities(kept), entities.entity_spans(kept, threshold))
+    spanned = compute_once(first, __spans=found)
+    replaced = F.when(F.size("__spans") > 0, entities.replace_spans(kept, F.col("__spans"))).otherwise(kept)
+    done = spanned.withColumn(text, replaced).drop("__spans")
     if recogniser is None:
         return done
 

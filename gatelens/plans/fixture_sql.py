@@ -70,6 +70,7 @@ CTES: dict[str, tuple[str, ...] | str] = {
                ELSE 'balanced_performance' END AS strategy
         FROM fx_raw_logs""",
     "fx_pii": f"SELECT doc_id, {_with_sample(samples.PII, len(samples.PII))} AS text FROM documents",
+    "fx_entities": f"SELECT doc_id, {_with_sample(samples.ENTITIES, len(samples.ENTITIES))} AS text FROM fx_pii",
     "fx_injection": f"""
         SELECT doc_id AS request_id, TIMESTAMP '{EPOCH}' + to_seconds(doc_id) AS timestamp,
           {_with_sample(samples.INJECTION, samples.INJECTION_CYCLE)} AS text,

@@ -110,6 +110,11 @@ def pii_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def entity_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    added = pick(samples.ENTITIES, F.col("doc_id") % len(samples.ENTITIES))
+    return pii_texts(spark, sf_dir).select("doc_id", F.concat("text", F.lit(" "), added).alias("text"))
+
+
 def injection_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     added = pick(samples.INJECTION, F.col("doc_id") % samples.INJECTION_CYCLE)
     return documents(spark, sf_dir).select(

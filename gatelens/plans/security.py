@@ -46,7 +46,7 @@ def pii_type_counts(spark, sf):
 
 
 def entity_redact(spark, sf):
-    return security.entity_redact(fx.pii_texts(spark, sf))
+    return security.entity_redact(fx.entity_texts(spark, sf))
 
 
 def homoglyph_normalize(spark, sf):
@@ -152,10 +152,64 @@ def _count_sql(kind: str) -> str:
     return f"((length(s) - length(replace(s, {quote(tag)}, ''))) // {len(tag)})"
 
 
-def _entities_sql(text: str) -> str:
-    for kind, pattern in cfg.ENTITY_PATTERNS.items():
-        text = f"regexp_replace({text}, {quote(pattern)}, {quote(f'[REDACTED_{kind}]')}, 'g')"
-    return text
+_IBAN_CUT = "regexp_replace({}, ' [A-Z0-9]{{1,4}}$', '')"
+_IBAN = """list_reduce(list_prepend(0, list_transform(string_split(substr({0}, 5) || left({0}, 4), ''), lambda c: ord(c))),
+    lambda acc, c: (acc * CASE WHEN c < 58 THEN 10 ELSE 100 END + c - CASE WHEN c < 58 THEN 48 ELSE 55 END) % 97) = 1"""
+_DIGITS = "regexp_replace(hit, '[^0-9]', '', 'g')"
+
+
+def _part_sql(check: str | None) -> str:
+    """What of ``hit`` passes the check of its rule."""
+    if check == "iban":
+        cuts = ["hit", _IBAN_CUT.format("hit"), _IBAN_CUT.format(_IBAN_CUT.format("hit"))]
+        valid = [f"CASE WHEN {_IBAN.format(f"replace({c}, ' ', '')")} THEN {c} END" for c in cuts]
+        return f"coalesce({', '.join(valid)})"
+    if check == "luhn":
+        doubled = "list_transform(string_split(reverse(" + _DIGITS + "), ''), lambda c, i: c::INT * (2 - i % 2))"
+        return f"CASE WHEN list_sum(list_transform({doubled}, lambda x: x // 10 + x % 10)) % 10 = 0 THEN hit END"
+    if check == "ssn":
+        area, group, serial = (f"substr({_DIGITS}, {at}, {n})" for at, n in ((1, 3), (4, 2), (6, 4)))
+        bad = f"{area} IN ('000', '666') OR {area} >= '900' OR {group} = '00' OR {serial} = '0000'"
+        return f"CASE WHEN NOT ({bad}) THEN hit END"
+    return "hit"
+
+
+def _rule_sql(rule: int) -> str:
+    """(doc_id, start, len, score, rule, kind) of one rule's matches that stand alone and pass its check."""
+    kind, pattern, score, check, words = cfg.ENTITY_RULES[rule]
+    sure = 1.0 if check in ("luhn", "iban") else score
+    near = f"lower(right(before, {cfg.ENTITY_CONTEXT_CHARS}))"
+    spoken = " OR ".join([f"contains({near}, {quote(w)})" for w in words] or ["false"])
+    boosted = min(1.0, max(sure + cfg.ENTITY_CONTEXT_BOOST, cfg.ENTITY_SCORE_THRESHOLD))
+    return f"""
+        SELECT doc_id, start, length(part) AS len, score, {rule} AS rule, '{kind}' AS kind FROM (
+          SELECT doc_id, start, {_part_sql(check)} AS part, (CASE WHEN {spoken} THEN {boosted} ELSE {sure} END)::DOUBLE AS score FROM (
+            SELECT doc_id, hit, before, after, k, n,
+              (sum(length(before) + length(hit)) OVER (PARTITION BY doc_id ORDER BY k) - length(hit))::BIGINT AS start
+            FROM (SELECT doc_id, hits[k] AS hit, gaps[k] AS before, gaps[k + 1] AS after, k, len(hits) AS n FROM (
+              SELECT doc_id, hits, gaps, unnest(range(1, len(hits) + 1)) AS k FROM (
+                SELECT doc_id, regexp_extract_all(text, {quote(pattern)}) AS hits,
+                  string_split_regex(text, {quote(pattern)}) AS gaps FROM redacted))))
+          WHERE NOT regexp_matches(right(before, 1), '[\\p{{L}}\\p{{N}}_]') AND NOT regexp_matches(left(after, 1), '[\\p{{L}}\\p{{N}}_]')
+            AND (k = 1 OR before <> '') AND (k = n OR after <> ''))
+        WHERE part IS NOT NULL AND score >= {cfg.ENTITY_SCORE_THRESHOLD}"""
+
+
+_ENTITIES = f"""
+    WITH redacted AS MATERIALIZED (SELECT doc_id, {redact_sql("text")} AS text FROM fx_entities),
+    spans AS ({" UNION ALL ".join(_rule_sql(i) for i in range(len(cfg.ENTITY_RULES)))}),
+    runs AS (SELECT *, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY start, start + len, rule
+        ROWS UNBOUNDED PRECEDING) AS run FROM (
+      SELECT *, coalesce(max(start + len) OVER (PARTITION BY doc_id ORDER BY start, start + len, rule
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= start, true) AS fresh FROM spans)),
+    merged AS (SELECT doc_id, min(start) AS start, max(start + len) AS stop,
+        first(kind ORDER BY score DESC, len DESC, start, rule) AS kind FROM runs GROUP BY doc_id, run),
+    placed AS (SELECT *, coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY start), 0) AS since FROM merged),
+    pieces AS (SELECT p.doc_id, max(p.stop) AS stop,
+        string_agg(substr(r.text, p.since + 1, p.start - p.since) || '[REDACTED_' || p.kind || ']', '' ORDER BY p.start) AS head
+      FROM placed p JOIN redacted r ON r.doc_id = p.doc_id GROUP BY 1)
+    SELECT r.doc_id, coalesce(p.head || substr(r.text, p.stop + 1), r.text) AS text
+    FROM redacted r LEFT JOIN pieces p ON p.doc_id = r.doc_id"""
 
 
 _GLYPHS = f"translate(text, {quote(cfg.HOMOGLYPHS)}, {quote(cfg.HOMOGLYPH_TARGETS)})"
@@ -219,7 +273,7 @@ SQL = {
         f"FROM (SELECT {_sub('text', kind)} AS s FROM fx_pii)"
         for kind in cfg.PII_PATTERNS
     ),
-    "entity_redact": f"SELECT doc_id, {_entities_sql(redact_sql('text'))} AS text FROM fx_pii",
+    "entity_redact": _ENTITIES,
     "homoglyph_normalize": f"SELECT request_id, {_GLYPHS} AS text FROM fx_injection",
     "base64_expand": _expand_sql("SELECT request_id, text FROM fx_injection"),
     "injection_detect": "SELECT request_id, pattern IS NOT NULL AS is_injection, pattern FROM fx_flagged",
