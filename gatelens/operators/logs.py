@@ -20,12 +20,16 @@ def usage(response: Column) -> Column:
     return F.struct(tokens("prompt_tokens"), tokens("completion_tokens"), tokens("total_tokens"))
 
 
-def request_rows(completions: DataFrame) -> DataFrame:
-    """Completions as log rows, with the defaults of the log."""
+def request_rows(completions: DataFrame, cached_cost: str = "logged") -> DataFrame:
+    """Completions as log rows, with the defaults of the log.
+
+    Cached rows cost what their answer did, or nothing with ``cached_cost`` "zero".
+    """
 
     def or_default(column: str, default) -> Column:
         return F.coalesce(F.col(column), F.lit(default))
 
+    free = or_default("cached", False) & F.lit(cached_cost == "zero")
     counted = completions.withColumn("u", usage(F.struct("usage")))
     return typed(
         counted.select(
@@ -36,7 +40,7 @@ def request_rows(completions: DataFrame) -> DataFrame:
             "u.prompt_tokens",
             "u.completion_tokens",
             "u.total_tokens",
-            or_default("estimated_cost", 0.0).alias("cost"),
+            F.when(free, F.lit(0.0)).otherwise(or_default("estimated_cost", 0.0)).alias("cost"),
             or_default("strategy", "direct").alias("strategy"),
             or_default("latency_ms", 0).alias("latency_ms"),
             or_default("cached", False).alias("cached"),
@@ -57,14 +61,14 @@ def first_per_id(rows: DataFrame) -> DataFrame:
     return rows.groupBy("id").agg(first.alias("r")).select("id", "r.*").select(*rows.columns)
 
 
-def append_requests(new: DataFrame, existing: DataFrame) -> DataFrame:
+def append_requests(new: DataFrame, existing: DataFrame, cached_cost: str = "logged") -> DataFrame:
     """The log rows to insert: one per id, ids already logged left out.
 
     The log is first reduced to the ids that come again.  The new ids are the
     hashed side of that join, so old ones pass by without being sorted; as an
     ``id_table``, which is bucketed, they are not shuffled either.
     """
-    rows = first_per_id(request_rows(new))
+    rows = first_per_id(request_rows(new, cached_cost))
     seen = existing.select("id").join(rows.select("id").hint("shuffle_hash"), "id", "left_semi")
     return rows.join(seen, "id", "left_anti").select(*REQUEST_LOGS.fieldNames())
 

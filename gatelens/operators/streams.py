@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatelens import settings as cfg
 from gatelens.functions.once import compute_once
-from gatelens.functions.sse import sse_delta
+from gatelens.functions.sse import DONE, sse_delta
 from gatelens.functions.text import token_count
 from gatelens.operators.cost import with_cost
 
@@ -60,16 +60,44 @@ def stream_records(streams: DataFrame, price_table: DataFrame | None = None,
     )
 
 
-def rechunk(df: DataFrame, text: str = "text", words: int = cfg.CACHED_CHUNK_WORDS) -> DataFrame:
-    """Cached text as chunks of ``words`` words; all but the last end in a blank."""
-    parts = F.split(F.col(text), " ")
-    starts = F.sequence(F.lit(0), F.size(parts) - 1, F.lit(words))
-    others = [c for c in df.columns if c != text]
-    chunks = F.transform(
-        starts,
+def _chunks(text: Column, words: int) -> Column:
+    parts = F.split(text, " ")
+    return F.transform(
+        F.sequence(F.lit(0), F.size(parts) - 1, F.lit(words)),
         lambda i: F.concat(
             F.array_join(F.slice(parts, i + 1, F.lit(words)), " "),
             F.when(i + words < F.size(parts), F.lit(" ")).otherwise(F.lit("")),
         ),
     )
-    return df.select(*others, F.posexplode(chunks).alias("chunk_no", "chunk"))
+
+
+def rechunk(df: DataFrame, text: str = "text", words: int = cfg.CACHED_CHUNK_WORDS) -> DataFrame:
+    """Cached text as chunks of ``words`` words; all but the last end in a blank."""
+    others = [c for c in df.columns if c != text]
+    return df.select(*others, F.posexplode(_chunks(F.col(text), words)).alias("chunk_no", "chunk"))
+
+
+def replay_lines(answers: DataFrame, words: int = cfg.CACHED_CHUNK_WORDS) -> DataFrame:
+    """(stream_id, seq, line): cached answers as the event lines a client that streams is sent.
+
+    ``answers`` holds (stream_id, created, model, text); ``created`` is in seconds.
+    Every line of an answer bears one id, made of ``stream_id``, so that it is the
+    same on every re-run; the last line says that the answer is done.  A null text
+    is an empty one.
+    """
+    lines = F.concat(_chunks(F.coalesce("text", F.lit("")), words), F.array(F.lit(None).cast("string")))
+    parts = answers.select("stream_id", "created", "model", F.posexplode(lines).alias("seq", "__chunk"))
+    choice = F.struct(
+        F.lit(0).alias("index"),
+        F.struct(F.col("__chunk").alias("content")).alias("delta"),
+        F.lit(None).cast("string").alias("finish_reason"),
+    )
+    event = F.struct(
+        F.concat(F.lit("chatcmpl-"), F.col("stream_id").cast("string")).alias("id"),
+        F.lit("chat.completion.chunk").alias("object"),
+        "created",
+        F.coalesce("model", F.lit("cached-model")).alias("model"),
+        F.array(choice).alias("choices"),
+    )
+    sent = F.concat(F.lit("data: "), F.to_json(event, {"ignoreNullFields": "false"}))
+    return parts.select("stream_id", "seq", F.when(F.col("__chunk").isNull(), F.lit(DONE)).otherwise(sent).alias("line"))

@@ -152,6 +152,20 @@ def response_rechunk(spark, sf):
     )
 
 
+def response_event_lines(spark, sf):
+    """Cached answers as event lines; every fourth does not name its model."""
+    answers = fx.conversations(spark, sf).filter(F.col("role") == "assistant")
+    stream = F.col("conv_id") * 100 + F.col("turn")
+    return streams.replay_lines(
+        answers.select(
+            stream.alias("stream_id"),
+            (stream + 1704067200).alias("created"),
+            F.when(stream % 4 > 0, "gpt-4o").alias("model"),
+            "text",
+        )
+    )
+
+
 def provider_request_normalize(spark, sf):
     good, _ = req.parse_requests(fx.chat_requests(spark, sf))
     return providers.normalize_request(good).select(
@@ -219,6 +233,7 @@ QUERIES = {
         stream_text_assemble,
         stream_completion_record,
         response_rechunk,
+        response_event_lines,
         provider_request_normalize,
         provider_response_normalize,
         usage_extract,
@@ -321,6 +336,14 @@ SQL = {
           array_to_string(words[c.i + 1 : c.i + 5], ' ') || CASE WHEN c.i + 5 < len(words) THEN ' ' ELSE '' END AS chunk
         FROM (SELECT stream_id, string_split(text, ' ') AS words FROM fx_answers) a,
           LATERAL (SELECT unnest(range(0, len(a.words), 5)) AS i) c""",
+    "response_event_lines": """
+        SELECT stream_id, (c.i // 5)::INTEGER AS seq, CASE WHEN c.i >= len(words) THEN 'data: [DONE]' ELSE
+          'data: ' || json_object('id', 'chatcmpl-' || stream_id, 'object', 'chat.completion.chunk', 'created', stream_id + 1704067200,
+            'model', CASE WHEN stream_id % 4 > 0 THEN 'gpt-4o' ELSE 'cached-model' END, 'choices', json_array(json_object('index', 0,
+              'delta', json_object('content', array_to_string(words[c.i + 1 : c.i + 5], ' ') || CASE WHEN c.i + 5 < len(words) THEN ' ' ELSE '' END),
+              'finish_reason', NULL)))::VARCHAR END AS line
+        FROM (SELECT stream_id, string_split(text, ' ') AS words FROM fx_answers) a,
+          LATERAL (SELECT unnest(range(0, len(a.words) + 5, 5)) AS i) c""",
     "provider_request_normalize": """
         SELECT t.request_id, coalesce(first(p.json->>'$.model'), 'auto') AS model,
           nullif(trim(coalesce(string_agg(t.text, chr(10) ORDER BY t.pos) FILTER (t.role = 'system'), ''),
