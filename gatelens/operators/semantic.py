@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -11,7 +13,7 @@ from gatelens import settings as cfg
 
 QUERIES_PER_GROUP = 20_000
 INDEX_PER_BLOCK = 10_000
-_SCORES_PER_STEP = 4_000_000  # cells of one score matrix held at a time
+_SCORES_PER_STEP = 1_000_000  # cells of one score matrix held at a time
 _TIE = 1e-12
 _ALWAYS = (-(1 << 63), (1 << 63) - 1)  # an entry without times, in microseconds
 
@@ -52,7 +54,11 @@ def semantic_top1(
     v = with_cells(v, v, INDEX_PER_BLOCK, "blocks", scope).withColumn(
         "block", F.pmod(F.xxhash64("seq"), F.col("blocks")).cast("int")
     )
-    return best_of_cells(q, v, ["block"], threshold)
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _best_in_cell(left, right, threshold)
+
+    return best_of_cells(q, v, ["block"], best)
 
 
 def asked(queries: DataFrame, by: Column, timed: bool) -> DataFrame:
@@ -77,10 +83,18 @@ def stored(index: DataFrame, by: Column, timed: bool, *others: str) -> DataFrame
     )
 
 
-def best_of_cells(q: DataFrame, v: DataFrame, cells: list[str], threshold: float) -> DataFrame:
+def best_of_cells(
+    q: DataFrame,
+    v: DataFrame,
+    cells: list[str],
+    best: Callable[[pa.Table, pa.Table], pa.Table],
+    asked_with: tuple[str, ...] = (),
+    stored_with: tuple[str, ...] = (),
+) -> DataFrame:
     """(query_id, seq, score): the best entry over all cells in which a query meets entries.
 
     Both sides have ``slices``, into how many the queries of their scope are dealt.
+    ``best`` searches one cell; it sees the named columns of either side as well.
     """
     q = q.withColumn("slice", F.pmod(F.xxhash64("query_id"), F.col("slices")).cast("int"))
     v = v.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
@@ -92,13 +106,10 @@ def best_of_cells(q: DataFrame, v: DataFrame, cells: list[str], threshold: float
     seq_type = v.schema["seq"].dataType.simpleString()
     schema = f"query_id {id_type}, seq {seq_type}, score double"
 
-    def best(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _best_in_cell(left, right, threshold)
-
     best_rows = (
-        q.select(*cell, "query_id", "vector", "at")
+        q.select(*cell, "query_id", "vector", "at", *asked_with)
         .groupBy(*cell)
-        .cogroup(v.select(*cell, "seq", "vector", "since", "until").groupBy(*cell))
+        .cogroup(v.select(*cell, "seq", "vector", "since", "until", *stored_with).groupBy(*cell))
         .applyInArrow(best, schema)
     )
     # One candidate per cell: the best score wins, on a tie the oldest entry.
@@ -141,38 +152,51 @@ def unit_matrix(column: pa.ChunkedArray) -> np.ndarray:
     return np.divide(rows, lengths, out=rows.copy(), where=lengths > 0)
 
 
+def unit_parts(column: pa.ChunkedArray, width: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Unit vectors with the place of the first, so many at a time that ``width`` figures for each stay few."""
+    step = max(1, _SCORES_PER_STEP // max(1, width))
+    for start in range(0, len(column), step):
+        yield start, unit_matrix(column.slice(start, step))
+
+
+def top_entries(
+    wanted: np.ndarray, entries: np.ndarray, at: np.ndarray, since: np.ndarray, until: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """(place, score) of the best entry for each wanted vector; of equal ones the first."""
+    scores = wanted @ entries.T
+    arrived = at[:, None]
+    scores[(until[None, :] <= arrived) | (since[None, :] > arrived)] = -np.inf
+    top = scores.max(axis=1)
+    return np.argmax(scores >= top[:, None] - _TIE, axis=1), top
+
+
 def _best_in_cell(left: pa.Table, right: pa.Table, threshold: float) -> pa.Table:
-    empty = left.num_rows == 0 or right.num_rows == 0
-    ids = left.column("query_id")
-    if empty:
-        return pa.table(
-            {
-                "query_id": ids.slice(0, 0),
-                "seq": right.column("seq").slice(0, 0),
-                "score": pa.array([], pa.float64()),
-            }
-        )
+    if left.num_rows == 0 or right.num_rows == 0:
+        return no_match(left, right)
     right = right.sort_by("seq")  # the first of equal scores is then the oldest
     entries = unit_matrix(right.column("vector"))
     since, until = right.column("since").to_numpy(), right.column("until").to_numpy()
-    wanted = unit_matrix(left.column("vector"))
     at = left.column("at").to_numpy()
-    step = max(1, _SCORES_PER_STEP // len(entries))
     found, where, scores = [], [], []
-    for start in range(0, len(wanted), step):
-        part = wanted[start : start + step] @ entries.T
-        arrived = at[start : start + step, None]
-        part[(until[None, :] <= arrived) | (since[None, :] > arrived)] = -np.inf
-        top = part.max(axis=1)
-        first = np.argmax(part >= top[:, None] - _TIE, axis=1)
+    for start, part in unit_parts(left.column("vector"), max(entries.shape)):
+        first, top = top_entries(part, entries, at[start : start + len(part)], since, until)
         hit = np.nonzero(top >= threshold)[0]
         found.append(hit + start)
         where.append(first[hit])
         scores.append(top[hit])
+    return matched(left, right, np.concatenate(found), np.concatenate(where), np.concatenate(scores))
+
+
+def matched(left: pa.Table, right: pa.Table, found: np.ndarray, where: np.ndarray, scores: np.ndarray) -> pa.Table:
     return pa.table(
         {
-            "query_id": ids.take(pa.array(np.concatenate(found))),
-            "seq": right.column("seq").take(pa.array(np.concatenate(where))),
-            "score": pa.array(np.concatenate(scores)),
+            "query_id": left.column("query_id").take(pa.array(found)),
+            "seq": right.column("seq").take(pa.array(where)),
+            "score": pa.array(scores),
         }
     )
+
+
+def no_match(left: pa.Table, right: pa.Table) -> pa.Table:
+    none = pa.array([], pa.float64())
+    return pa.table({"query_id": left.column("query_id").slice(0, 0), "seq": right.column("seq").slice(0, 0), "score": none})

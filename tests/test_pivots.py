@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,3 +83,39 @@ def test_odd_vectors(spark):
     assert pivots.pivot_top1(q, v.limit(0)).collect() == [] and pivots.pivot_top1(q.limit(0), v).collect() == []
     with pytest.raises(ValueError):
         pivots.pivot_top1(q, v, 0.0)
+
+
+def test_a_query_is_sent_once_to_a_part(spark):
+    """Where bounds leave out little, a query is copied per part of the index and not per cell."""
+    rng = np.random.default_rng(6)
+    stored = np.abs(rng.normal(size=(300, 24))) + 1
+    index = spark.createDataFrame([(i, "t", v.tolist()) for i, v in enumerate(stored)], "seq long, tenant string, vector array<double>")
+    queries = spark.createDataFrame([(i, "t", v.tolist()) for i, v in enumerate(stored[:50] + 0.1)], "query_id long, tenant string, vector array<double>")
+    p = pivots.choose_pivots(index, 2)
+    rings = pivots.with_pivot(index, p).withColumn("scope", F.lit("t")).groupBy("scope", "pivot").agg(
+        F.min("angle").alias("low"), F.max("angle").alias("high"), F.lit(1).alias("blocks")
+    )
+    parts = pivots.parts_of(p, np.full(len(p), 2), 100)
+    assert len(p) == 150 and set(parts) <= {0, 1, 2}
+    asked = semantic.asked(queries, F.lit("t"), False)
+    cells = pivots.visits(asked, p, rings, math.acos(0.9)).count()
+    sent = pivots.visits(asked, p, rings, math.acos(0.9), parts)
+    assert cells > 1000 and sent.count() <= 50 * 3 and sent.select("query_id", "part").distinct().count() == sent.count()
+    again = spark.createDataFrame([(i, "t", v.tolist()) for i, v in enumerate(stored[:40])], "query_id long, tenant string, vector array<double>")
+    found = pivots.pivot_top1(again, index, rows_per_cell=2).collect()
+    assert {(r.query_id, r.seq) for r in found} == {(i, i) for i in range(40)}
+
+
+@pytest.mark.parametrize("pivot", [False, True])
+def test_a_full_cell_is_searched_in_little_memory(pivot):
+    rng = np.random.default_rng(7)
+    table = lambda n, **more: pa.table({"vector": pa.array(list(rng.normal(size=(n, 8)))), **more})
+    left = table(6000, query_id=np.arange(6000), at=np.zeros(6000, int), nearest=np.zeros(6000))
+    right = table(2000, seq=np.arange(2000), since=np.full(2000, -1), until=np.full(2000, 1), pivot=np.zeros(2000, np.int32), angle=np.zeros(2000))
+    tracemalloc.start()
+    if pivot:
+        pivots._best_in_part(left, right, np.eye(8)[:1], 0.5, 7.0)
+    else:
+        semantic._best_in_cell(left, right, 0.5)
+    assert tracemalloc.get_traced_memory()[1] < 25e6
+    tracemalloc.stop()
