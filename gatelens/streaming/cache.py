@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -17,65 +18,115 @@ from gatelens.streaming.log import write_batch
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+_SPAN = 24  # lifetimes
+_ROWS_HELD = 100_000  # requests of one key held in memory at a time
+
+
 class _Fills(StatefulProcessor):
     """When a key's entry was filled, and the requests the watermark has not passed yet.
 
-    Requests wait until none before them can come any more; then they are answered in
-    the order of their own times, whatever the order they came in.
+    Requests wait until none before them can come any more; then they are answered by
+    their own times, whatever the order they came in.  They wait in pieces, by spans of
+    ``_SPAN`` lifetimes.  The fills of a span follow from its instants alone, and the
+    requests are answered piece by piece, so memory does not grow with a key's history.
     """
 
     def __init__(self, ttl_s: int):
         self._ttl = ttl_s * 1_000_000
+        self._span = self._ttl * _SPAN
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
         self._fill = handle.getValueState("fill", "at long")
-        self._waiting = handle.getListState("waiting", "t long, id string")
+        self._pieces = handle.getMapState("pieces", "span long", "n long")
+        self._waiting = handle.getMapState("waiting", "span long, piece long", "requests binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # A micro-batch of one key; its size is bounded by the rate limit of the source.
-        newest = 0
+        held, n = [], 0
         for batch in rows:
-            times = batch["t"].astype(int).tolist()
-            newest = max(newest, *times)
-            self._waiting.appendList(list(zip(times, batch["request_id"].astype(str).tolist(), strict=True)))
-        self._handle.registerTimer(newest // 1000 + 1)
+            held.append(pd.DataFrame({"t": batch["t"].astype(int), "id": batch["request_id"].astype(str)}))
+            n += len(batch)
+            if n >= _ROWS_HELD:
+                self._wait(pd.concat(held))
+                held, n = [], 0
+        if held:
+            self._wait(pd.concat(held))
         yield from ()
 
+    def _wait(self, requests: pd.DataFrame) -> None:
+        for span, some in requests.groupby(requests["t"] // self._span):
+            n = self._n_pieces(int(span))
+            self._put(int(span), n, some)
+            self._pieces.updateValue((int(span),), (n + 1,))
+            self._handle.registerTimer(int(some["t"].max()) // 1000 + 1)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        # Timers expire in their order and every span has one after its newest request: earlier spans are answered.
         passed = expiredTimerInfo.getExpiryTimeInMs()
-        waiting = sorted(self._waiting.get()) if self._waiting.exists() else []
-        due = [w for w in waiting if w[0] < passed * 1000]
-        if due:
-            self._waiting.clear()
-            if len(due) < len(waiting):
-                self._waiting.appendList(waiting[len(due) :])
-            yield self._answered(key[0], np.array([t for t, _ in due]), [i for _, i in due])
+        span = (passed - 1) * 1000 // self._span
+        n = self._n_pieces(span)
+        before = self._fill.get()[0] if self._fill.exists() else None
+        if n:
+            fills = self._next_fills(span, n, before, passed * 1000)
+            known = np.array([before, *fills] if before is not None else fills)
+            left = 0
+            for piece in range(n):
+                requests = self._get(span, piece)
+                due = requests["t"] < passed * 1000
+                if due.any():
+                    yield self._answered(key[0], requests[due], known)
+                if not due.all():
+                    self._put(span, left, requests[~due])
+                    left += 1
+            for piece in range(left, n):
+                self._waiting.removeKey((span, piece))
+            if left:
+                self._pieces.updateValue((span,), (left,))
+            else:
+                self._pieces.removeKey((span,))
+            if fills:
+                before = fills[-1]
+                self._fill.update((before,))
+                self._handle.registerTimer(self._ends(before))
         # An entry that ended before the watermark is of no use.  A younger fill has a timer of its own.
-        if len(due) == len(waiting) and self._fill.exists() and self._ends(self._fill.get()[0]) <= passed:
+        if before is not None and self._ends(before) <= passed:
             self._fill.clear()
 
+    def _n_pieces(self, span: int) -> int:
+        found = self._pieces.getValue((span,))
+        return found[0] if found else 0
+
+    def _put(self, span: int, piece: int, requests: pd.DataFrame) -> None:
+        sink = pa.BufferOutputStream()
+        table = pa.Table.from_pandas(requests, preserve_index=False)
+        with pa.ipc.new_stream(sink, table.schema) as out:
+            out.write_table(table)
+        self._waiting.updateValue((span, piece), (sink.getvalue().to_pybytes(),))
+
+    def _get(self, span: int, piece: int) -> pd.DataFrame:
+        return pa.ipc.open_stream(bytes(self._waiting.getValue((span, piece))[0])).read_pandas()
+
     def _ends(self, fill: int) -> int:
         return (fill + self._ttl) // 1000 + 1
 
-    def _answered(self, key: str, times: np.ndarray, ids: list[str]) -> pd.DataFrame:
-        before = self._fill.get()[0] if self._fill.exists() else None
-        fills, is_fill, at = [], np.zeros(len(times), bool), 0
-        if before is not None:
-            at = int(np.searchsorted(times, before + self._ttl))
+    def _next_fills(self, span: int, n: int, before: int | None, until: int) -> list[int]:
+        """The instants of a span, earlier than ``until``, at which the entry is filled anew."""
+        times = np.empty(0, int)
+        for piece in range(n):
+            asked = self._get(span, piece)["t"].to_numpy()
+            times = np.union1d(times, asked[asked < until])
+        fills, at = [], 0 if before is None else int(np.searchsorted(times, before + self._ttl))
         while at < len(times):
-            fills.append(times[at])
-            is_fill[at] = True
+            fills.append(int(times[at]))
             at = int(np.searchsorted(times, times[at] + self._ttl))
-        known = np.array([before, *fills] if before is not None else fills)
+        return fills
+
+    def _answered(self, key: str, due: pd.DataFrame, known: np.ndarray) -> pd.DataFrame:
+        times = due["t"].to_numpy()
         filled_at = known[np.searchsorted(known, times, side="right") - 1]
         # Requests at the instant of a fill are fills as well, as in the batch form.
-        is_fill |= np.isin(times, known)
-        if fills:
-            self._fill.update((int(fills[-1]),))
-            self._handle.registerTimer(self._ends(int(fills[-1])))
-        status = np.where(is_fill, "fill", "hit")
-        return pd.DataFrame({"request_id": ids, "k": key, "t": times, "status": status, "filled_at": filled_at})
+        status = np.where(times == filled_at, "fill", "hit")
+        return pd.DataFrame({"request_id": due["id"].to_numpy(), "k": key, "t": times, "status": status, "filled_at": filled_at})
 
     def close(self) -> None:
         pass
