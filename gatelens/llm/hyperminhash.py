@@ -19,7 +19,8 @@ if sizes and estimate allow it and the full sets confirm it.  Cells that then st
 several components are compared register by register, in blocks and between components
 only.  First each cell gives the most similar pairs that would span its components, and
 these are confirmed, again and again until none is; what still holds apart then has all
-its possible pairs confirmed.  So big
+its possible pairs confirmed.  Each time after the first, only nodes that were in a
+possible pair the time before are compared again.  So big
 groups of near copies are joined by few pairs, and no pair that shares a cell is left out.
 Sets and sketches are written once, bucketed by node, and joins do not shuffle them.
 
@@ -257,22 +258,28 @@ def _hub_links(cells: DataFrame, full: DataFrame, turn: int, percent: int) -> Da
     return _near(pairs.join(_side(full, "b"), "b").join(_side(own_hubs, "a"), "a"), percent)
 
 
-def _rest_pairs(cells: DataFrame, full: DataFrame, percent: int, cell_rows: int, every: bool) -> DataFrame:
-    """(a, b) between components within a cell whose sketches allow the least similarity.
-
-    All of them, or the pairs with the best estimates that span what they connect.
-    """
+def _dealt(cells: DataFrame, cell_rows: int) -> DataFrame:
+    """(cell, pair, block, node, root) of cells with several components, once for each pair of blocks to be compared."""
     several = cells.groupBy("cell").agg(
         F.min("root").alias("least"), F.max("root").alias("most"), F.ceil(F.count(F.lit(1)) / cell_rows).alias("blocks")
     )
     several = written(several.filter("least <> most").select("cell", "blocks"), "open-cells")
-    dealt = (
+    return (
         cells.join(several, "cell")
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         .withColumn("pair", F.least("block", "other") * F.col("blocks") + F.greatest("block", "other"))
         .select("cell", "pair", "block", "node", "root")
     )
+
+
+def _rest_pairs(dealt: DataFrame, full: DataFrame, percent: int, every: bool) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) between components within a cell whose sketches allow the least similarity, and what has such pairs.
+
+    All of them, or the pairs with the best estimates that span what they connect.
+    The second table is ``dealt`` without roots and without the nodes that are in no
+    possible pair: components only grow, so these never will be.
+    """
     rows = dealt.join(full.select("node", "n", "sketch"), "node")
     ordered = rows.repartition("cell", "pair").sortWithinPartitions("cell", "pair", "block")
 
@@ -290,8 +297,10 @@ def _rest_pairs(cells: DataFrame, full: DataFrame, percent: int, cell_rows: int,
             j_all.append(later)
             guesses.append(estimate(sketch[[i]], sketch[later], n[[i]], n[later])[0])
         i, j, guess = (np.concatenate(c) for c in (i_all, j_all, guesses))
-        here = _first_shared(sketch, i, j, table.column("cell")[0].as_py())  # other cells of a pair leave it out
+        cell, pair = (table.column(k)[0].as_py() for k in ("cell", "pair"))
+        here = _first_shared(sketch, i, j, cell)  # other cells of a pair leave it out
         i, j, guess = i[here], j[here], guess[here]
+        used = np.empty(0, np.int64) if every else np.unique(np.concatenate([i, j]))
         turned = root[i] > root[j]
         i, j = np.where(turned, j, i), np.where(turned, i, j)
         if not every and len(i):
@@ -302,7 +311,18 @@ def _rest_pairs(cells: DataFrame, full: DataFrame, percent: int, cell_rows: int,
             best = best[np.argsort(-guess[best], kind="stable")]
             keep = best[_spanning(root[i[best]].tolist(), root[j[best]].tolist())]
             i, j, guess = i[keep], j[keep], guess[keep]
-        return [node[i], node[j], root[i], root[j], guess]
+        # First the pairs, then the nodes in any; the latter have no guess.
+        none, size = np.zeros(len(used), np.int64), len(i) + len(used)
+        return [
+            np.concatenate([node[i], node[used]]),
+            np.concatenate([node[j], none]),
+            np.concatenate([root[i], none]),
+            np.concatenate([root[j], none]),
+            np.concatenate([guess, np.full(len(used), np.nan)]),
+            np.full(size, cell),
+            np.full(size, pair),
+            np.concatenate([block[i], block[used]]),
+        ]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -319,13 +339,17 @@ def _rest_pairs(cells: DataFrame, full: DataFrame, percent: int, cell_rows: int,
             groups = [table.slice(at, to - at) for at, to in itertools.pairwise(starts[: None if batch is None else -1].tolist())]
             columns = [np.concatenate(c) for c in zip(*[group(g.combine_chunks()) for g in groups], strict=True)]
             if columns and len(columns[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "root_a", "root_b", "guess"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
-    found = ordered.mapInArrow(run, "a long, b long, root_a long, root_b long, guess double")
+    schema = "a long, b long, root_a long, root_b long, guess double, cell long, pair long, block long"
+    names = [f.split()[0] for f in schema.split(", ")]
+    found = written(ordered.mapInArrow(run, schema), "rest-candidates")
+    still = found.filter(F.isnan("guess")).select("cell", "pair", "block", F.col("a").alias("node"))
+    found = found.filter(~F.isnan("guess"))
     if every:
-        return found.select("a", "b").distinct()
+        return found.select("a", "b").distinct(), still
     best = F.max_by(F.struct("a", "b"), F.struct("guess", "a", "b")).alias("best")
-    return found.groupBy("root_a", "root_b").agg(best).select("best.*")
+    return found.groupBy("root_a", "root_b").agg(best).select("best.*"), still
 
 
 def _first_shared(sketches: np.ndarray, i: np.ndarray, j: np.ndarray, cell: int) -> np.ndarray:
@@ -390,15 +414,19 @@ def near_components(
         rooted = cells.filter(F.col("turn") == turn).join(roots, "node")
         found = written(_hub_links(rooted, full, turn, percent), "hub-links")
         roots = _joined(found, roots)
+    dealt = _dealt(cells.join(roots, "node"), cell_rows)
     for every in (False, True):
         while True:
-            pairs = written(_rest_pairs(cells.join(roots, "node"), full, percent, cell_rows, every), "rest-pairs")
+            pairs, still = _rest_pairs(dealt, full, percent, every)
+            pairs = written(pairs, "rest-pairs")
             found = written(_rest_links(pairs, full, percent), "rest-links")
-            if found.isEmpty():
-                break
-            roots = _joined(found, roots)
-            if every:
+            more = not found.isEmpty()
+            if more:
+                roots = _joined(found, roots)
+            if every or not more:
                 break
+            dealt = still.join(roots, "node")
+        dealt = still.join(roots, "node")
         if pairs.isEmpty():
             break
     to = F.coalesce("root", "node")

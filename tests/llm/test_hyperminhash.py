@@ -129,6 +129,27 @@ def test_large_groups_and_small_blocks(spark):
     assert sorted(found(docs, cell_rows=100), key=key) == want
 
 
+def test_later_rounds_compare_only_nodes_with_possible_pairs(spark, monkeypatch):
+    rng = random.Random(9)
+    phrase = [f"p{i}" for i in range(24)]
+    rows = [" ".join(phrase + [f"v{rng.randrange(10**6)}" for _ in range(10)]) for _ in range(200)]  # share cells, but unlike
+    for k in range(4):
+        chain = [f"c{k}x{i}" for i in range(60)]
+        rows += [" ".join(chain[3 * i : 3 * i + 40]) for i in range(6)]
+    rows = list(enumerate(rows))
+    docs, sizes, rest = spark.createDataFrame(rows, "doc_id long, text string"), [], hyperminhash._rest_pairs
+
+    def counted(dealt, *others):
+        sizes.append(dealt.count())
+        return rest(dealt, *others)
+
+    none = lambda cells, *_: cells.limit(0).selectExpr("node AS a", "node AS b")
+    monkeypatch.setattr(hyperminhash, "_hub_links", none)  # the rounds after the hubs find all links
+    monkeypatch.setattr(hyperminhash, "_rest_pairs", counted)
+    assert sorted(found(docs), key=key) == sorted(brute(rows), key=key)
+    assert len(sizes) > 1 and sizes[0] > 200 and max(sizes[1:]) < sizes[0] / 4
+
+
 def test_bands_by_their_rule():
     rng = np.random.default_rng(6)
     for occupied in (1, 3, 8, 9, 30, 120, 255, 256):
