@@ -98,9 +98,12 @@ def _candidates(text: Column, rule: int, threshold: float) -> Column:
         return F.transform(starts(v), span)
 
     reached = lambda s: s["end"].isNotNull() & (s["rank"]["score"] >= threshold)
-    found = F.filter(let(F.struct(hits.alias("hits"), gaps.alias("gaps")), spans), reached).cast(_SPAN)
+    none = F.array().cast(_SPAN)
+    # Most rules find nothing in most texts, and the gaps need a second search.
+    beyond = lambda h: F.filter(let(F.struct(h.alias("hits"), gaps.alias("gaps")), spans), reached).cast(_SPAN)
+    found = let(hits, lambda h: F.when(F.size(h) > 0, beyond(h)).otherwise(none))
     possible = F.contains(text, F.lit("@")) if "@" in pattern else F.lit(True)
-    return F.when(possible, found).otherwise(F.array().cast(_SPAN))
+    return F.when(possible, found).otherwise(none)
 
 
 def _span(start: Column, length: Column, points: Column, rule: int, kind: str) -> Column:

@@ -112,3 +112,12 @@ def test_threshold(spark):
 @pytest.mark.parametrize("kind", [k for k in cfg.ENTITY_TYPES if k != "PERSON"])
 def test_every_type_is_found(kind):
     assert any(f"[REDACTED_{kind}]" in redacted(t) for t in TEXTS)
+
+
+def test_texts_without_a_match_are_searched_once_per_rule(spark):
+    """The gaps between matches, a second search, are only looked for behind a match."""
+    spans = spark.createDataFrame([("a",)], "text string").select(entities.entity_spans(F.col("text")))
+    plan = spans._jdf.queryExecution().analyzed().toString()
+    rules = len(cfg.ENTITY_RULES)
+    assert plan.count("split(") >= rules
+    assert len(re.findall(r"CASE WHEN \(size\(namedlambdavariable\(\)[^)]*\) > 0\) THEN cast\(filter|CASE WHEN \(size\(lambda [^)]*\) > 0\) THEN cast\(filter", plan)) == rules
