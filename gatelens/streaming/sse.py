@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -23,50 +22,76 @@ class _Parts(StatefulProcessor):
     After a DONE line a stream waits for the watermark to pass its newest line, so
     that lines which were overtaken still count; without one it waits for a pause.
     A finished stream is remembered for a while and swallows what still comes.
+
+    Every call of the state is a message to the JVM and back, so all that is known
+    of a stream, its one timer too, is a single value.
     """
 
+    _NEW = {"done": False, "closed": False, "newest": 0, "timer": None, "seqs": [], "deltas": []}
+    _SCHEMA = "done boolean, closed boolean, newest long, timer long, seqs array<long>, deltas array<string>"
+
     def __init__(self, idle_ms: int, keep_ms: int):
         self._idle, self._keep = idle_ms, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._parts = handle.getListState("parts", "seq long, delta string")
-        self._state = handle.getValueState("state", "done boolean, closed boolean, newest long")
+        self._state = handle.getValueState("state", self._SCHEMA)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        done, closed, newest = self._state.get() if self._state.exists() else (False, False, 0)
-        for batch in rows:
-            if closed:
-                continue
-            done = done or bool(batch["done"].any())
-            newest = max(newest, int(batch["at_ms"].max()))
-            text = batch[batch["delta"].notna()]
-            if len(text):
-                self._parts.appendList(
-                    list(zip(text["seq"].astype(int).tolist(), text["delta"].tolist(), strict=True))
-                )
-        if not closed:
-            self._state.update((done, False, newest))
-            self._wait(newest + (1 if done else self._idle))
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        known = self._load() or self._fresh()
+        self._add(known, rows)
+        if not known["closed"]:
+            self._save(known)
         yield from ()
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        _, closed, newest = self._state.get()
-        if closed:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        known = self._load()
+        if known["closed"]:
             self._state.clear()
             return
-        parts = sorted(self._parts.get()) if self._parts.exists() else []
-        self._parts.clear()
-        self._state.update((True, True, newest))
-        self._wait(expiredTimerInfo.getExpiryTimeInMs() + self._keep)
-        if parts:
-            text = "".join(delta for _, delta in parts)
-            yield pd.DataFrame({"stream_id": [key[0]], "text": [text]})
-
-    def _wait(self, until: int) -> None:
-        for timer in list(self._handle.listTimers()):
-            self._handle.deleteTimer(timer)
-        self._handle.registerTimer(until)
+        text = self._close(known, expiredTimerInfo)
+        self._save(known)
+        if text is not None:
+            yield Row(stream_id=key[0], text=text)
+
+    def _add(self, known: dict, lines: Iterator[Row]) -> None:
+        """Lines that come; a closed stream only reads them."""
+        for line in lines:
+            if known["closed"]:
+                continue
+            known["done"] = known["done"] or bool(line["done"])
+            if line["at_ms"] is not None:
+                known["newest"] = max(known["newest"], line["at_ms"])
+            if line["delta"] is not None:
+                known["seqs"].append(line["seq"])
+                known["deltas"].append(line["delta"])
+        if not known["closed"]:
+            self._wait(known, known["newest"] + (1 if known["done"] else self._idle))
+
+    def _close(self, known: dict, expired) -> str | None:
+        """The text of a stream that is over, if it has any."""
+        parts = sorted(zip(known["seqs"], known["deltas"], strict=True))
+        known.update(done=True, closed=True, timer=None, seqs=[], deltas=[])  # Spark deletes a timer that went off
+        self._wait(known, expired.getExpiryTimeInMs() + self._keep)
+        return "".join(delta for _, delta in parts) if parts else None
+
+    def _wait(self, known: dict, until: int) -> None:
+        if known["timer"] != until:
+            if known["timer"] is not None:
+                self._handle.deleteTimer(known["timer"])
+            self._handle.registerTimer(until)
+            known["timer"] = until
+
+    def _fresh(self) -> dict:
+        return {k: list(v) if isinstance(v, list) else v for k, v in self._NEW.items()}
+
+    def _load(self) -> dict | None:
+        values = self._state.get()
+        known = None if values is None else dict(zip(self._NEW, values, strict=True))
+        return known and known | {k: list(known[k]) for k in ("seqs", "deltas")}
+
+    def _save(self, known: dict) -> None:
+        self._state.update(tuple(known[k] for k in self._NEW))
 
     def close(self) -> None:
         pass
@@ -75,42 +100,40 @@ class _Parts(StatefulProcessor):
 class _Records(_Parts):
     """The same, with the request that the answer belongs to; it may come before, during or after the answer."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self._request = handle.getValueState("request", "prompt string, model string, strategy string, latency_ms long")
-        self._text = handle.getValueState("text", "text string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        lines = []
-        for batch in rows:
-            asked = batch["model"].notna()
-            for r in batch[asked].itertuples():
-                self._request.update((r.prompt, r.model, r.strategy, int(r.latency_ms)))
-            if not asked.all():
-                lines.append(batch[~asked])
+    _ASKED = ("prompt", "model", "strategy", "latency_ms")
+    _NEW = _Parts._NEW | {"asked": False} | dict.fromkeys(_ASKED) | {"text": None}
+    _SCHEMA = _Parts._SCHEMA + ", asked boolean, prompt string, model string, strategy string, latency_ms long, text string"
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        before = self._load()
+        known, lines = before or self._fresh(), []
+        for row in rows:
+            if row["model"] is not None:
+                known.update({c: row[c] for c in self._ASKED}, asked=True)
+            else:
+                lines.append(row)
         if lines:
-            yield from super().handleInputRows(key, iter(lines), timerValues)
-        elif not self._state.exists():  # a request whose answer never comes is forgotten
-            self._state.update((False, False, timerValues.getCurrentWatermarkInMs()))
-            self._wait(timerValues.getCurrentWatermarkInMs() + self._keep)
-        yield from self._both(key)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        closed = self._state.get()[1]
-        for done in super().handleExpiredTimer(key, timerValues, expiredTimerInfo):
-            self._text.update((done["text"].iloc[0],))
-        yield from self._both(key)
-        if closed:
-            self._request.clear()
-            self._text.clear()
-
-    def _both(self, key) -> Iterator[pd.DataFrame]:
-        if self._text.exists() and self._request.exists():
-            prompt, model, strategy, latency = self._request.get()
-            row = {"stream_id": key[0], "text": self._text.get()[0], "prompt": prompt, "model": model}
-            yield pd.DataFrame([row | {"strategy": strategy, "latency_ms": latency}])
-            self._text.clear()
-            self._request.clear()
+            self._add(known, iter(lines))
+        elif before is None:  # a request whose answer never comes is forgotten
+            known["newest"] = timerValues.getCurrentWatermarkInMs()
+            self._wait(known, known["newest"] + self._keep)
+        yield from self._both(key, known)
+        self._save(known)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        known = self._load()
+        if known["closed"]:
+            self._state.clear()
+            return
+        known["text"] = self._close(known, expiredTimerInfo)
+        yield from self._both(key, known)
+        self._save(known)
+
+    def _both(self, key, known: dict) -> Iterator[Row]:
+        if known["text"] is not None and known["asked"]:
+            row = Row(stream_id=key[0], text=known["text"], **{c: known[c] for c in self._ASKED})
+            known.update(dict.fromkeys(self._ASKED), asked=False, text=None)
+            yield row
 
 
 def stream_completion_records(lines: DataFrame, requests: DataFrame, ts: str = "ts", idle_ms: int = IDLE_MS,
@@ -132,7 +155,7 @@ def stream_completion_records(lines: DataFrame, requests: DataFrame, ts: str = "
         F.col("latency_ms").cast("long").alias("latency_ms"),
     )
     kind = lines.schema["stream_id"].dataType.simpleString()
-    finished = left.unionByName(right).withWatermark(ts, late).groupBy("stream_id").transformWithStateInPandas(
+    finished = left.unionByName(right).withWatermark(ts, late).groupBy("stream_id").transformWithState(
         _Records(idle_ms, keep_ms),
         f"stream_id {kind}, text string, prompt string, model string, strategy string, latency_ms long",
         "Append",
@@ -158,6 +181,6 @@ def stream_sse_assemble(lines: DataFrame, ts: str = "ts", idle_ms: int = IDLE_MS
     """
     parts = _text_lines(lines.withWatermark(ts, late), ts)
     kind = lines.schema["stream_id"].dataType.simpleString()
-    return parts.groupBy("stream_id").transformWithStateInPandas(
+    return parts.groupBy("stream_id").transformWithState(
         _Parts(idle_ms, keep_ms), f"stream_id {kind}, text string", "Append", "EventTime"
     )

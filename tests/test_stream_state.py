@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import pandas as pd
 import pytest
+from pyspark.sql import Row
 
-from gatelens.streaming import cache
+from gatelens.streaming import cache, sse
 
 
 class _Value:
@@ -91,3 +92,36 @@ def test_requests_wait_in_pieces(monkeypatch, held):
     assert rows["filled_at"].tolist() == [want[t] for t in rows["t"]]
     assert (rows["status"] == "fill").tolist() == [want[t] == t for t in rows["t"]]
     assert not handle.states["waiting"] and not handle.states["pieces"] and not handle.states["fill"].exists()
+
+
+class _Counted(_Value):
+    calls = 0
+
+    def get(self):
+        _Counted.calls += 1
+        return self.value
+
+    def update(self, value):
+        _Counted.calls += 1
+        self.value = value
+
+
+def test_a_stream_is_one_value_with_few_calls():
+    """Lines in two parts and the end of a stream: three reads, three writes, and timers only where they move."""
+    handle, operator = _Handle(), sse._Records(1000, 10_000)
+    handle.deleteTimer = handle.timers.discard
+    handle.getValueState = lambda name, schema: handle._state(_Counted, name)
+    operator.init(handle)
+    none = dict.fromkeys(("prompt", "model", "strategy", "latency_ms"))
+    line = lambda seq, delta, done, at: Row(seq=seq, delta=delta, done=done, at_ms=at, **none)
+    asked = Row(seq=None, delta=None, done=False, at_ms=0, prompt=None, model="m", strategy="s", latency_ms=5)
+    _Counted.calls = 0
+    assert list(operator.handleInputRows((1,), iter([line(2, "c", False, 20), asked, line(9, None, True, 30)]), None)) == []
+    assert handle.timers == {31}
+    assert list(operator.handleInputRows((1,), iter([line(1, "b", False, 40), line(0, "a", False, None)]), None)) == []
+    assert handle.timers == {41}
+    got = handle.passed(operator, 50)
+    assert [r.asDict() for r in got] == [{"stream_id": "k", "text": "abc", "prompt": None, "model": "m", "strategy": "s", "latency_ms": 5}]
+    assert _Counted.calls == 6 and handle.timers == {10_041} and len(handle.states) == 1
+    assert list(operator.handleInputRows((1,), iter([line(3, "late", False, 60)]), None)) == [] and handle.timers == {10_041}
+    assert handle.passed(operator, 10_041) == [] and not handle.states["state"].exists()
