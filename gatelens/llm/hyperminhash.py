@@ -48,6 +48,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gatelens.llm.common import lower_words, map_rows, written
 from gatelens.llm.simhash import components
@@ -61,6 +62,7 @@ SHORT = 8  # sketches with at most so many occupied registers get short bands to
 SIGMAS = 5
 HUB_ROUNDS = 3
 CELL_ROWS = 1024  # members of a cell compared at a time
+BITS_PER_NODE, MOST_BITS = 16, 1 << 28  # of the bitmap that tells which texts are needed: 32 MB at most
 EMPTY = 0xFFFF
 _HASH_BITS = 52  # of a hash behind its bucket, as many as a float holds exactly
 _ORDERS = np.argsort(np.random.Generator(np.random.PCG64(13)).random((BANDS, BUCKETS)), axis=1)
@@ -193,8 +195,26 @@ def _cells(nodes: DataFrame) -> DataFrame:
         return [pa.array(np.concatenate(own)), batch.column(0).take(pa.array(rows)), pa.array(turns)]
 
     every = map_rows(nodes.select("node", "sketch"), run, "cell long, node long, turn int")
-    several = every.groupBy("cell").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("cell")
-    return written(every.join(written(several, "shared-cells"), "cell"), "cells")
+    # Hardly a cell has two members in one task, so counts per task would save nothing: the rows are shuffled once.
+    members = F.count(F.lit(1)).over(Window.partitionBy("cell"))
+    return written(every.withColumn("members", members).filter("members > 1").drop("members"), "cells")
+
+
+def _perhaps(rows: DataFrame, needed: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
+    """The rows whose ``node`` is in ``needed``, and a few others, without a shuffle of ``rows``.
+
+    The needed nodes are bits of a bitmap of bounded size, which is broadcast; others
+    pass by chance, more of them where ``most_bits`` are few for the needed.
+    """
+    bits = min(most_bits, 1 << max(15, (BITS_PER_NODE * needed.count() - 1).bit_length()))
+    place = F.pmod(F.xxhash64("node"), F.lit(bits))
+    marks = needed.select(F.bitmap_bucket_number(place).alias("part"), F.bitmap_bit_position(place).alias("bit"))
+    # By part first: a task makes whole bitmaps of its parts, not sparse ones of all.
+    maps = marks.repartition("part").groupBy("part").agg(F.bitmap_construct_agg("bit").alias("map"))
+    asked = rows.withColumn("part", F.bitmap_bucket_number(place)).withColumn("bit", F.bitmap_bit_position(place).cast("int"))
+    byte = F.conv(F.hex(F.substring("map", F.floor(F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    there = F.getbit(byte, F.pmod("bit", F.lit(8))) == 1
+    return asked.join(F.broadcast(maps), "part").filter(there).select(*rows.columns)
 
 
 def _full(docs: DataFrame, needed: DataFrame, size: int) -> DataFrame:
@@ -206,7 +226,8 @@ def _full(docs: DataFrame, needed: DataFrame, size: int) -> DataFrame:
         return [batch.column(0), [len(s) for s in sets], sketches, [s.tobytes() for s in sets]]
 
     spark = docs.sparkSession
-    texts = docs.select(F.xxhash64("doc_id", "text").alias("node"), "text").groupBy("node").agg(F.first("text").alias("text"))
+    texts = _perhaps(docs.select(F.xxhash64("doc_id", "text").alias("node"), "text"), needed)
+    texts = texts.groupBy("node").agg(F.first("text").alias("text"))
     rows = map_rows(texts.join(needed, "node", "left_semi"), run, "node long, n long, sketch binary, hashes binary")
     name, buckets = f"full_sets_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = fresh_path(spark, "full-sets")
@@ -218,7 +239,8 @@ def _full(docs: DataFrame, needed: DataFrame, size: int) -> DataFrame:
 
 
 def _side(table: DataFrame, side: str) -> DataFrame:
-    return table.select(F.col("node").alias(side), F.struct("n", "sketch", "hashes").alias(f"own_{side}"))
+    own = [c for c in ("n", "sketch", "hashes") if c in table.columns]
+    return table.select(F.col("node").alias(side), F.struct(*own).alias(f"own_{side}"))
 
 
 def _sketches(column: pa.Array) -> np.ndarray:
@@ -226,12 +248,16 @@ def _sketches(column: pa.Array) -> np.ndarray:
 
 
 def _near(both: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that sketches allow and full sets confirm."""
+    """Pairs (a, b) that sketches, where they are given, allow and full sets confirm."""
+
+    compared = "sketch" in both.schema["own_a"].dataType.names
 
     def run(batch: pa.RecordBatch) -> list:
         x, y = batch.column(2), batch.column(3)
-        n_x, n_y = x.field("n").to_numpy(), y.field("n").to_numpy()
-        possible = may_be_near(_sketches(x.field("sketch")), _sketches(y.field("sketch")), n_x, n_y, percent)
+        possible = np.ones(batch.num_rows, bool)
+        if compared:
+            n_x, n_y = x.field("n").to_numpy(), y.field("n").to_numpy()
+            possible = may_be_near(_sketches(x.field("sketch")), _sketches(y.field("sketch")), n_x, n_y, percent)
         near = np.zeros(batch.num_rows, bool)
         sets_x, sets_y = x.field("hashes"), y.field("hashes")
         for i in np.nonzero(possible)[0].tolist():
@@ -387,9 +413,9 @@ def _spanning(a: list[int], b: list[int]) -> list[int]:
 
 
 def _rest_links(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """The confirmed ones of any pairs."""
+    """The confirmed ones of pairs that sketches allow; only the sets travel."""
     named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    own = written(full.join(named, "node"), "rest-sets")
+    own = written(full.select("node", "hashes").join(named, "node"), "rest-sets")
     return _near(pairs.join(_side(own, "a"), "a").join(_side(own, "b"), "b"), percent)
 
 

@@ -176,6 +176,58 @@ def test_spanning_pairs_connect_and_nothing_more():
     assert hyperminhash._spanning([1, 1, 2, 4, 3], [2, 3, 3, 5, 4]) == [0, 1, 3, 4]
 
 
+def test_texts_that_are_not_needed_are_not_shuffled(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(20_000).select(F.xxhash64("id").alias("node"), F.col("id").cast("string").alias("text"))
+    needed = rows.filter("text % 50 = 0").select("node")
+    for most_bits, others in ((1 << 28, 0.2), (1 << 15, 0.2), (64, 1)):
+        some = hyperminhash._perhaps(rows, needed, most_bits)
+        kept = {r.node for r in some.collect()}
+        assert some.columns == rows.columns and kept >= {r.node for r in needed.collect()}
+        assert len(kept) - 400 <= 20_000 * others
+    assert hyperminhash._perhaps(rows, needed.limit(0)).isEmpty()
+    assert "hashpartitioning(node" not in hyperminhash._perhaps(rows, needed)._jdf.queryExecution().toString()
+
+
+def test_full_sets_shuffle_only_needed_texts(spark, monkeypatch):
+    """Whatever else a join would do: the rows that go into the grouping by node are the needed ones and a few."""
+    docs = spark.createDataFrame([(i, f"w{i} a{i} b{i} c{i} d{i}") for i in range(3000)], "doc_id long, text string")
+    needed = hyperminhash.signatures(docs.filter("doc_id < 40")).selectExpr("place AS node")
+    seen, rest = [], hyperminhash._perhaps
+
+    def counted(rows, *others):
+        seen.append(rest(rows, *others).count())
+        return rest(rows, *others)
+
+    monkeypatch.setattr(hyperminhash, "_perhaps", counted)
+    assert hyperminhash._full(docs, needed, 4).count() == 40
+    assert len(seen) == 1 and 40 <= seen[0] < 300
+
+
+def test_cells_are_made_and_shuffled_once(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 50000, (30, 256)).astype(np.uint16)
+    near = np.where(rng.random(base.shape) < 0.05, 60000, base).astype(np.uint16)[:20]
+    sketches = [*base, *near]
+    nodes = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sketches)], "node long, sketch binary")
+    plans, rest = [], hyperminhash.written
+
+    def watched(df, purpose):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return rest(df, purpose)
+
+    monkeypatch.setattr(hyperminhash, "written", watched)
+    cells = hyperminhash._cells(nodes)
+    holders = {}
+    for i, s in enumerate(sketches):
+        for k, c in enumerate(hyperminhash.bands(s).tolist()):
+            holders.setdefault(c, []).append((c, i, k % hyperminhash.HUB_ROUNDS))
+    assert cells.columns == ["cell", "node", "turn"]
+    assert sorted(map(tuple, cells.collect())) == sorted(r for h in holders.values() if len(h) > 1 for r in h)
+    assert sum(p.count("MapInArrow") for p in plans) == 1
+
+
 def test_odd_rows(spark):
     rows = [(5, None), (3, ""), (9, " \n"), (7, "One two"), (7, "one TWO"), (8, "one  two"), (None, "one two"), (1, "x y z " * 3000),
             (2, "x y z " * 2900), (4, "a b c d"), (6, "a b c d e"), (10, "a b c"), (None, "only here"), (11, "É é"), (12, "é é")]
