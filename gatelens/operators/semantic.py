@@ -8,12 +8,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gatelens import settings as cfg
 
 QUERIES_PER_GROUP = 20_000
 INDEX_PER_BLOCK = 10_000
 _SCORES_PER_STEP = 1_000_000  # cells of one score matrix held at a time
+_ROWS_PER_STEP = 1_000  # vectors made unit vectors at a time
 _TIE = 1e-12
 _ALWAYS = (-(1 << 63), (1 << 63) - 1)  # an entry without times, in microseconds
 
@@ -66,7 +68,7 @@ def asked(queries: DataFrame, by: Column, timed: bool) -> DataFrame:
     return searchable(queries).select(
         by.alias("scope"),
         "query_id",
-        F.col("vector").cast("array<double>").alias("vector"),
+        _narrow(queries).alias("vector"),
         _moment("arrival", timed, 0).alias("at"),
     )
 
@@ -76,13 +78,19 @@ def stored(index: DataFrame, by: Column, timed: bool, *others: str) -> DataFrame
     return searchable(index).select(
         by.alias("scope"),
         "seq",
-        F.col("vector").cast("array<double>").alias("vector"),
+        _narrow(index).alias("vector"),
         _moment("stored_at", timed and "stored_at" in index.columns, _ALWAYS[0]).alias("since"),
         _moment("expires_at", timed and "expires_at" in index.columns, _ALWAYS[1]).alias("until"),
         *others,
     )
 
 
+def _narrow(df: DataFrame) -> Column:
+    """Vectors of floats travel as they are, others as doubles; either is computed with as doubles."""
+    floats = df.schema["vector"].dataType == T.ArrayType(T.FloatType(), df.schema["vector"].dataType.containsNull)
+    return F.col("vector") if floats else F.col("vector").cast("array<double>")
+
+
 def best_of_cells(
     q: DataFrame,
     v: DataFrame,
@@ -147,9 +155,12 @@ def with_cells(df: DataFrame, counted: DataFrame, size: int, name: str, scope: s
 
 def unit_matrix(column: pa.ChunkedArray) -> np.ndarray:
     flat = column.combine_chunks()
-    rows = flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
-    lengths = np.linalg.norm(rows, axis=1, keepdims=True)
-    return np.divide(rows, lengths, out=rows.copy(), where=lengths > 0)
+    rows = flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1).astype(np.float64)
+    for start in range(0, len(rows), _ROWS_PER_STEP):  # the one copy is all that is held
+        some = rows[start : start + _ROWS_PER_STEP]
+        lengths = np.linalg.norm(some, axis=1, keepdims=True)
+        np.divide(some, lengths, out=some, where=lengths > 0)
+    return rows
 
 
 def unit_parts(column: pa.ChunkedArray, width: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -175,6 +186,7 @@ def _best_in_cell(left: pa.Table, right: pa.Table, threshold: float) -> pa.Table
         return no_match(left, right)
     right = right.sort_by("seq")  # the first of equal scores is then the oldest
     entries = unit_matrix(right.column("vector"))
+    right = right.drop_columns(["vector"])
     since, until = right.column("since").to_numpy(), right.column("until").to_numpy()
     at = left.column("at").to_numpy()
     found, where, scores = [], [], []

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import datetime
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from gatelens.operators import cache, embed, routing, semantic
 from gatelens.plans import samples
@@ -176,3 +179,33 @@ def test_explicit_model_is_kept_on_request(spark):
     )
     kept = [r.target_model for r in routing.decide_route(df, respect_explicit=True).collect()]
     assert kept == ["gpt-4o", "my-model", "gpt-4o", "gpt-3.5-turbo"]
+
+
+def test_vectors_of_floats_travel_as_floats(spark):
+    def side(kind):
+        return spark.range(3).selectExpr("id AS query_id", "id AS seq", "'t' AS tenant", f"CAST(array(id + 1, 0.1, 2) AS array<{kind}>) AS vector")
+
+    for kind, travels in (("float", "float"), ("double", "double"), ("int", "double"), ("decimal(20,3)", "double")):
+        by = F.lit("*")
+        for moved in (semantic.asked(side(kind), by, False), semantic.stored(side(kind), by, False)):
+            assert moved.schema["vector"].dataType.elementType.simpleString() == travels
+    # Floats against doubles: both are computed with as doubles.
+    wide = side("float").withColumn("vector", F.col("vector").cast("array<double>"))
+    same = [sorted(map(tuple, semantic.semantic_top1(q, v, 0.5).collect())) for q in (side("float"), wide) for v in (side("float"), wide)]
+    assert len(same[0]) == 3 and all(s == same[0] for s in same)
+
+
+def test_unit_vectors_hold_one_copy():
+    rng = np.random.default_rng(3)
+    for kind in (np.float32, np.float64):
+        rows = rng.normal(size=(5000, 200)).astype(kind)
+        rows[7] = 0
+        flat = pa.array(rows.ravel())
+        column = pa.chunked_array([pa.ListArray.from_arrays(np.arange(0, rows.size + 1, 200, dtype=np.int32), flat)])
+        tracemalloc.start()
+        unit = semantic.unit_matrix(column)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 1.5 * unit.nbytes
+        lengths = np.linalg.norm(rows.astype(float), axis=1, keepdims=True)
+        assert unit.dtype == float and np.array_equal(unit, rows.astype(float) / np.where(lengths > 0, lengths, 1))
